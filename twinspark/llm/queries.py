@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinspark.llm import exact_dedup, packing, piece_codec
+from twinspark.llm import chat_format, exact_dedup, fingerprints, lm_score, ngram_join, packing, piece_codec, quality, suffix_dedup, toxicity
 from twinspark.llm.shared import read_table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain dialogue of `conversations` as calls (a user's turn) and results (the next assistant's)."""
+    return chat_format.format_chat(chat_format.dialogue_turns(read_table(spark, sf_dir, "conversations")), chat_format.DIALOGUE_SCHEMAS).drop("in_cycle")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -21,13 +31,67 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lm_score.sampled_out("doc_id", 5, 0)
+    scored = quality.score_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edited(read_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lm_score.sampled_out("doc_id", 3, 1)
+    scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.transform("evidence", lambda e: e["doc_id"]).alias("evidence"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_passages(read_table(spark, sf_dir, "documents"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"), ~lm_score.sampled_out("doc_id", 7, 2), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_ngram_join": op2_ngram_join,
     "op3_piece_codec": op3_piece_codec,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_toxicity": op8_toxicity,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL = {
+    "op1_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, role, text,
+                   CASE WHEN role = 'user' THEN coalesce(conv_id::VARCHAR, '') || ':' || turn::VARCHAR END AS call_id,
+                   CASE WHEN role = 'assistant' THEN coalesce(conv_id::VARCHAR, '') || ':' || (turn - 1)::VARCHAR END AS result_of,
+                   len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+            FROM conversations),
+        c AS (SELECT conv_id AS of_conv, call_id AS of_call, min(turn) AS call_turn, count(*) AS n FROM t WHERE call_id IS NOT NULL GROUP BY ALL)
+        SELECT t.conv_id, t.turn, t.role, t.call_id, t.result_of,
+               CASE WHEN t.call_id IS NULL AND t.result_of IS NOT NULL THEN c.of_call IS NOT NULL END AS linked,
+               c.call_turn, coalesce(c.n, 0) AS same_id_calls,
+               CASE WHEN t.call_id IS NOT NULL THEN t.text IS NOT NULL AND t.words >= 1 END AS valid_arguments,
+               coalesce(c.call_turn, t.turn) AS order_turn, 0::BIGINT AS order_level,
+               CASE WHEN t.result_of IS NOT NULL AND c.of_call IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS order_step,
+               '{' || array_to_string(list_filter([
+                   '"content":' || to_json(t.text)::VARCHAR,
+                   '"role":' || to_json(t.role)::VARCHAR,
+                   CASE WHEN c.of_call IS NOT NULL THEN '"tool_call_id":' || to_json(t.result_of)::VARCHAR END,
+                   CASE WHEN t.call_id IS NOT NULL THEN '"tool_calls":[{"arguments":{' || coalesce('"prompt":' || to_json(t.text)::VARCHAR || ',', '')
+                       || '"words":' || t.words || '},"id":' || to_json(t.call_id)::VARCHAR || ',"name":"reply"}]' END,
+                   '"turn":' || t.turn], lambda x: x IS NOT NULL), ',') || '}' AS json
+        FROM t LEFT JOIN c ON t.conv_id IS NOT DISTINCT FROM c.of_conv AND coalesce(t.call_id, t.result_of) = c.of_call
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(length(text), 0) AS points,

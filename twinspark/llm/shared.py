@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,15 +18,25 @@ STEP_BYTES = 4 << 20
 BLANKS = r"[\x20\x09-\x0D]"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to spark.checkpoint.dir and read it back; a folder of our own only if none is set."""
-    context = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> str:
+    """The shared folder: spark.checkpoint.dir, or one of our own only if none is set."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="twinspark-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="twinspark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each part holds at most `max_bytes` of `column`, or one row."""
     for batch in batches:
@@ -118,3 +129,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+
+
+def bounded_labels(docs: DataFrame, labels: DataFrame, learns, label: str, rows: int, text: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled rows where `learns` holds: the smallest hashes of ids.
+
+    Rows without an id or a label, and ids with labels that differ, are not learned from.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learns)
+    known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).alias("most")).where("label = most").drop("most")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(known), "doc_id")
