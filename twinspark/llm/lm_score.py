@@ -211,6 +211,18 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def common_words(words: DataFrame, most: int) -> dict[str, int]:
+    """The commonest words, as many classes of like counts as hold `most` words at most together."""
+    kind = F.floor(F.log2("n") * 8).cast("int")
+    least, total = None, 0
+    for k, n in sorted(words.groupBy(kind.alias("kind")).count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = k
+    return {} if least is None else {r["word"]: r["n"] for r in words.where(kind >= least).select("word", "n").collect()}
+
+
 def fit_lattice(words: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Log weights of pieces: the vocabulary's own, reweighted by their expected uses in `words`.
 
@@ -267,9 +279,9 @@ def score_documents(docs: DataFrame, learns: Column, path: str, text: str = "tex
     discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
     back_off = min(0.5, discount * distinct / tokens) if distinct else 0.5
     logs = fit_lattice(words, path).tobytes()
-    head = words.orderBy(F.desc("n"), "word").limit(head_words).collect()
-    known = docs.sparkSession.sparkContext.broadcast((dict(head), logs))
-    whole = len(head) < head_words  # no other words are known
+    head = common_words(words, head_words)
+    known = docs.sparkSession.sparkContext.broadcast((head, logs))
+    whole = len(head) == distinct - (ends > 0)  # no other words are known
     unit = math.log10(tokens + distinct + 1)
     end_base = math.log10(ends + 1)
     # A third of the mass is the end's where nothing was learned from.
