@@ -29,7 +29,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def _chunks(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Starts of chunks: of texts, after each cut by content, and every CHUNK characters between."""
     h = np.zeros(len(points), np.uint32)
-    for k in range(CUT_CHARS):
+    for k in range(min(CUT_CHARS, len(points))):
         h[k:] += points[: len(points) - k] * _TURN[k]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
