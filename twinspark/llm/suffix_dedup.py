@@ -258,7 +258,9 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
                 )
 
     anchors = source.select("doc_id", "tie", "text").mapInArrow(find, kind)
+    # Written first, so that both sides of the join are plain shuffles and a hot anchor's rows can be split.
     shared = anchors.select("h", "own").groupBy("h").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("h", (F.col("a") == F.col("b")).alias("pure"))
+    shared = cut_lineage(shared)
     again = cut_lineage(anchors.join(shared, "h"))
     several = again.where("not pure").groupBy("h", "own").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "lo", "span", "at")).alias("one"))
     several = cut_lineage(several.select("h", "own", "n", "one.*"))
