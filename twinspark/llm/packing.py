@@ -17,7 +17,7 @@ CAPACITY = 2048
 #: Cost of n tokens of one document: n + ATTENTION * n * n, the ratio of a model 4096 wide.
 ATTENTION = 1 / (12 * 4096)
 #: Tokens that one task holds before it packs them.
-GROUP_TOKENS = 4_000_000
+GROUP_TOKENS = 2_000_000
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SEPARATOR = "<|startoftext|>"
 
@@ -29,7 +29,7 @@ class WordTokens:
     space, so a text's ids are those of its words in turn.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -49,6 +49,7 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = STEP_
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers live on: the next operator's tasks need the room
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
