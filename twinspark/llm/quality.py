@@ -51,7 +51,7 @@ def tokens_of(word: str) -> list[str]:
 class Buckets:
     """Bucket ids of words' tokens, kept for words seen."""
 
-    def __init__(self, most: int = 120_000):
+    def __init__(self, most: int = 80_000):
         self.known: dict[str, list[int]] = {}
         self.most = most
 

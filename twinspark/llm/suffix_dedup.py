@@ -218,7 +218,7 @@ def _sorted_regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         columns = [table.column("doc_id").take(of), table.column("tie").take(of), pa.array(base + start[a]), pa.array(base + start[b] + LENGTH)]
         return pa.RecordBatch.from_arrays([pc.cast(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c, pa.int64()) for c in columns], names=names)
 
-    for batch in batches:
+    for batch in steps(batches, "bytes", 1 << 20):
         if not batch.num_rows:
             continue
         key = batch.column("key").to_numpy()
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = "doc_id long, tie long, lo int, span int, at int, h long, own long"
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", 2 << 20):
+        for batch in steps(batches, "text", 1 << 20):
             data, offsets = _bytes_of(batch.column("text"))
             row, lo, span, at, h, own = regions(data, offsets)
             if len(row):
