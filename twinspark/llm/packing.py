@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import array
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,37 +22,64 @@ ATTENTION = 1 / (12 * 4096)
 GROUP_TOKENS = 2_000_000
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SEPARATOR = "<|startoftext|>"
+#: Words that normalising only lower-cases: printable characters of Latin-1.
+_PLAIN = re.compile("[!-~\u00a1-\u00ff]+").fullmatch
+#: The tokenizer's pattern, its letters and numbers those of lower-cased Latin-1.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
+#: Byte-level spelling: bytes that are no visible character of Latin-1 stand from 256 on, in order.
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class WordTokens:
-    """Token ids of words; new words are encoded together, once, and kept up to a bound.
+    """Token ids of words; pieces of words are encoded once and kept up to a bound.
 
     The tokenizer's normaliser turns white space to one space, and its pattern never spans white
-    space, so a text's ids are those of its words in turn.
+    space, so a text's ids are those of its words in turn.  A word of printable Latin-1
+    characters is only lower-cased and cut by the pattern, so the model alone encodes its pieces;
+    the whole tokenizer encodes the others, together.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.separator = self.tokenizer.token_to_id(_SEPARATOR)
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = [w for w in words if w not in known]
-        plain = [w for w in new if _SEPARATOR not in w]
-        for k in range(0, len(plain), 20_000):
-            some = plain[k : k + 20_000]
+        self.model, self.separator = self.tokenizer.model, self.tokenizer.token_to_id(_SEPARATOR)
+        self.model._resize_cache(0)  # `known` keeps more
+
+    def _encode_pieces(self, pieces: set[str]) -> None:
+        encode = self.model.tokenize
+        for piece in pieces:
+            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+            self.known[piece] = array.array("I", [t.id for t in encode(spelt)]).tobytes()
+
+    def _encode_whole(self, words: list[str]) -> None:
+        joined = [w for w in words if _SEPARATOR not in w]
+        for k in range(0, len(joined), 20_000):
+            some = joined[k : k + 20_000]
             ids = np.asarray(self.tokenizer.encode(_SEPARATOR.join(some), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(ids == self.separator)
             for w, s, e in zip(some, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
-                known[w] = ids[s:e].tobytes()
-        for w in set(new).difference(plain):
-            known[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        return [known[w] for w in words]
+                self.known[w] = ids[s:e].tobytes()
+        for w in set(words).difference(joined):
+            self.known[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        known, cut, whole = self.known, [], []
+        for word in words:
+            if not _PLAIN(word) or "<|" in word:
+                cut.append(word)
+                if word not in known:
+                    whole.append(word)
+            else:
+                low = word.lower()
+                cut.append(low if low.isalpha() else _PIECES.findall(low))
+        self._encode_whole(whole)
+        pieces = {c for c in cut if type(c) is str}.union(*(c for c in cut if type(c) is list))
+        self._encode_pieces(pieces.difference(known))
+        return [known[c] if type(c) is str else b"".join([known[p] for p in c]) for c in cut]
 
 
 _loaded: dict[str, WordTokens] = {}
