@@ -58,6 +58,18 @@ def test_piece_codec(spark, frame):
     assert piece_codec.round_trip(frame.where("false"), PIECES).count() == 0
 
 
+def test_word_tokens_equal_the_library():
+    """Latin-1 words take a shorter way; a bound of one piece makes every call start afresh."""
+    rng, plain = random.Random(7), [chr(c) for c in (*range(33, 127), *range(0xA1, 0x100))]
+    mixed = [*plain, "'s", "'LL", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "日", "e\u0301", "İ", "ŉ", "\x00", "\x1c", "\x85", "\xa0", "🙂"]
+    words = list(dict.fromkeys([*mixed, *("".join(rng.choice(a) for _ in range(rng.randint(1, 9))) for a in (plain[:94], plain, mixed) for _ in range(1500))]))
+    library = Tokenizer.from_file(WORDS)
+    want = [np.asarray(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    for most in (1, 300_000):
+        tokens = packing.WordTokens(WORDS, most)
+        assert [x for k in range(0, len(words), 1000) for x in tokens.ids(words[k : k + 1000])] == want
+
+
 def test_packing(spark, frame):
     tokenizer = Tokenizer.from_file(WORDS)
     rows = packing.pack_documents(frame, WORDS, group_tokens=9000).collect()
