@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,19 +19,26 @@ from twinspark.llm.shared import bounded_labels, split_words, steps, texts_of
 
 #: Labelled rows that are examples, at most; those with the smallest hash of their id.
 EXAMPLE_ROWS = 16384
-#: Terms of the vectors, at most: those most associated with the label, by chi-square.
-VOCABULARY, LEAST_CHI2, LEAST_ROWS, LEAST_SHARE = 4096, 40.0, 4, 0.6
+#: Terms held as a dense matrix, at most: those of most examples; the others are lists of examples.
+COMMON = 1536
+#: Texts searched at a time.
+SEARCHED = 256
 #: Letters of the word beginnings that are terms too.
 STEMS = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
+#: Groups of like examples, and the blocks of the highest bounds that set a text's first limit.
+GROUPS, FIRST_BLOCKS = 16, 4
 THRESHOLD = 0.7
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> list[str]:
-    """Runs of letters in lower case, and the beginnings of longer ones: inflected and compound forms share them."""
+    """Runs of letters in lower case, and the beginnings of longer ones: inflected and compound forms share them.
+
+    A word without letters is a term itself.
+    """
     runs = [x.lower() for x in _LETTERS.findall(word)]
-    return runs + [f"{x[:k]}-" for x in runs for k in STEMS if len(x) > k]
+    return runs + [f"{x[:k]}-" for x in runs for k in STEMS if len(x) > k] or [word]
 
 
 class Terms:
@@ -45,12 +56,18 @@ class Terms:
             if x is None:
                 x = terms_of(w)
                 if self.ids is not None:
-                    x = [self.ids[t] for t in x if t in self.ids]
+                    x = tuple([self.ids[t] for t in x if t in self.ids])  # numbers that the vocabulary holds
                 known[w] = x
             out.append(x)
         return out
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... of sizes[i] values each, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def counts_by_row(batch: pa.RecordBatch, text: str, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, count), by row and term, of a batch under a vocabulary."""
     offsets, codes, words = split_words(texts_of(batch, text))
@@ -58,71 +75,150 @@ def counts_by_row(batch: pa.RecordBatch, text: str, terms: Terms) -> tuple[np.nd
     sizes = np.array([len(x) for x in lists], np.int64)
     hit = np.flatnonzero(sizes[codes]) if len(codes) else np.zeros(0, np.int64)
     of = np.searchsorted(offsets, hit, side="right") - 1
-    row = np.repeat(of, sizes[codes[hit]] if len(hit) else 0)
-    term = np.fromiter((t for c in codes[hit].tolist() for t in lists[c]), np.int64, len(row))
+    n = sizes[codes[hit]] if len(hit) else np.zeros(0, np.int64)
+    row = np.repeat(of, n)
+    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+    term = flat[ranges((np.cumsum(sizes) - sizes)[codes[hit]] if len(hit) else n, n)]
     keys, n = np.unique(row << 32 | term, return_counts=True)
     return keys >> 32, keys & 0xFFFFFFFF, n
 
 
 @dataclass
 class Index:
-    """Examples as unit vectors, dealt into blocks, with each term's largest weight in each block."""
+    """Examples as whole unit vectors, dealt into blocks, with each common term's largest weight in each block.
+
+    The common terms of the examples are a dense matrix; each other term has the list of its examples.
+    """
 
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    rows: list[np.ndarray] = field(default_factory=list)
-    terms: list[np.ndarray] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)
+    block: int = BLOCK
+    offsets: np.ndarray | None = None
+    terms: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    column: np.ndarray | None = None
+    listed: np.ndarray | None = None
+    listed_at: np.ndarray | None = None
+    listed_weights: np.ndarray | None = None
+    dense: np.ndarray | None = None
     top: np.ndarray | None = None
     blank: float = 0.5
     steps_at: np.ndarray | None = None
     steps_to: np.ndarray | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "top": None}
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / (np.linalg.norm(w) or 1.0)
 
     def build(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Blocks hold examples with like terms, so that few blocks can hold a near one."""
-        self.rows, self.terms, self.weights = [], [], []
-        blocks = -(-len(examples) // BLOCK)
-        self.top = np.zeros((len(self.idf), blocks), np.float32)
-        for b in range(blocks):
-            rows, terms, weights = [], [], []
-            for k, (t, n) in enumerate(examples[b * BLOCK : (b + 1) * BLOCK]):
-                rows.append(np.full(len(t), k))
-                terms.append(t)
-                weights.append(self.vector(t, n))
-            self.rows.append(np.concatenate(rows))
-            self.terms.append(np.concatenate(terms))
-            self.weights.append(np.concatenate(weights))
-            np.maximum.at(self.top[:, b], self.terms[-1], self.weights[-1].astype(np.float32))
+        self.block = BLOCK
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t, _ in examples])]).astype(np.int64)
+        self.terms = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in examples]]).astype(np.int32)
+        self.weights = np.zeros(len(self.terms))
+        for k, (t, n) in enumerate(examples):
+            self.weights[self.offsets[k] : self.offsets[k + 1]] = self.vector(t, n)
+        of = np.bincount(self.terms, minlength=len(self.idf))
+        common = np.sort(np.argsort(-of, kind="stable")[:COMMON])
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        rare = np.flatnonzero(self.column[self.terms] < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.listed = np.repeat(np.arange(len(examples), dtype=np.int32), np.diff(self.offsets))[rare]
+        self.listed_weights = self.weights[rare]
+        self.listed_at = np.concatenate([[0], np.cumsum(np.where(self.column < 0, of, 0))])
+        self.dense = self.top = None
+
+    def fill(self) -> None:
+        """The dense matrix and its blocks' largest weights, made where they are used."""
+        blocks = -(-(len(self.offsets) - 1) // self.block)
+        self.dense = np.zeros((blocks * self.block, int(self.column.max(initial=-1)) + 1), np.float32)
+        for k, (a, b) in enumerate(zip(self.offsets[:-1], self.offsets[1:], strict=True)):
+            at = self.column[self.terms[a:b]]
+            self.dense[k, at[at >= 0]] = self.weights[a:b][at >= 0]
+        self.top = self.dense.reshape(blocks, self.block, -1).max(axis=1)
+
+    def alike(self) -> np.ndarray:
+        """An order of the examples that puts like ones together, so that few blocks can hold a near one."""
+        n = len(self.offsets) - 1
+        if not n:
+            return np.zeros(0, np.int64)
+        self.fill()
+        x = self.dense[:n]
+        centres = x[np.linspace(0, n - 1, GROUPS).astype(int)]
+        for _ in range(5):
+            of = np.argmax(x @ centres.T, axis=1)
+            centres = np.stack([x[of == g].sum(axis=0) for g in range(GROUPS)])
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        self.dense = self.top = None
+        return np.lexsort((self.ids, of))
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples, ties by place; exact.
+        return self.search([(terms, counts)], [without])[0]
 
-        Blocks are read from the highest bound down, until no bound reaches the worst of the best.
+    def search(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the nearest examples of each text, ties by id; exact.
+
+        The lists of rare terms are summed for all examples.  A block's bound is the largest such
+        sum in it and what its common terms can add; blocks that cannot reach the last of the
+        nearest in the blocks of the highest bounds are not read.  Sums are in single precision
+        but for the examples that they leave, whose cosines are worked out again.
         """
-        if self.top is None or not self.top.shape[1] or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        q = self.vector(terms, counts)
-        bounds = q @ self.top[terms] * (1 + 1e-5) + 1e-6  # the bounds are kept in single precision
-        dense = np.zeros(len(self.idf))
-        dense[terms] = q
-        best, places, worst = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] < worst or bounds[b] <= 1e-6:
-                break
-            got = np.bincount(self.rows[b], self.weights[b] * dense[self.terms[b]], BLOCK)
-            at = np.flatnonzero(got > max(worst - 1e-12, 0))
-            at = at[at + b * BLOCK != without]
-            best, places = np.concatenate([best, got[at]]), np.concatenate([places, at + b * BLOCK])
-            order = np.lexsort((places, -np.round(best, 9)))[:NEIGHBOURS]
-            best, places = best[order], places[order]
-            if len(best) == NEIGHBOURS:
-                worst = best[-1]
-        return places, best
+        if self.offsets is None or len(self.offsets) < 2:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in texts]
+        if self.dense is None:
+            self.fill()
+        block, (blocks, width) = self.block, self.top.shape
+        common = np.zeros((len(texts), width), np.float32)
+        found = np.zeros((len(texts), blocks * block), np.float32)
+        vectors = []
+        for k, (t, n) in enumerate(texts):
+            q = self.vector(t, n)
+            vectors.append(q)
+            at = self.column[t]
+            common[k, at[at >= 0]] = q[at >= 0]
+            t, q = t[at < 0], q[at < 0]
+            size = self.listed_at[t + 1] - self.listed_at[t]
+            places = ranges(self.listed_at[t], size)
+            if len(places):
+                found[k] = np.bincount(self.listed[places], self.listed_weights[places] * np.repeat(q, size), blocks * block)
+            if without is not None and without[k] >= 0:
+                found[k, without[k]] = -10
+        bounds = found.reshape(len(texts), blocks, block).max(axis=2) + common @ self.top.T + 1e-4
+        early = np.zeros(bounds.shape, bool)
+        np.put_along_axis(early, np.argpartition(-bounds, min(FIRST_BLOCKS, blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+
+        def read(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows, part = np.flatnonzero(wanted[:, b]), slice(b * block, (b + 1) * block)
+                found[rows, part] += common[rows] @ self.dense[part].T
+
+        def last() -> np.ndarray:
+            """What the last of the nearest has by now, at least."""
+            n = found.shape[1]
+            return np.maximum(np.partition(found, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS], 0) - 1e-4 if n >= NEIGHBOURS else np.zeros(len(found))
+
+        read(early)
+        limit = last()
+        late = (bounds >= limit[:, None]) & ~early
+        read(late)
+        limit = last()
+        out = []
+        for k, (t, _) in enumerate(texts):
+            places = np.flatnonzero(found[k] > max(limit[k], 0))
+            whole = np.zeros(len(self.idf)) if k == 0 else whole
+            whole[t] = vectors[k]
+            size = self.offsets[places + 1] - self.offsets[places]
+            at = ranges(self.offsets[places], size)
+            cosines = np.add.reduceat(self.weights[at] * whole[self.terms[at]], np.cumsum(size) - size) if len(places) else np.zeros(0)
+            whole[t] = 0
+            places, cosines = places[cosines > 1e-12], cosines[cosines > 1e-12]
+            order = np.lexsort((self.ids[places], -np.round(cosines, 9)))[:NEIGHBOURS]
+            out.append((places[order], cosines[order]))
+        return out
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1 among the neighbours, each weighted by the inverse of its distance."""
@@ -152,105 +248,118 @@ class Index:
         return float(np.interp(vote, self.steps_at, self.steps_to))
 
 
-def vocabulary(sample: DataFrame, text: str = "text", most: int = VOCABULARY) -> list[str]:
-    """The terms of (text, label) rows that are most associated with the label."""
+def vocabulary(sample: DataFrame, text: str = "text") -> list[str]:
+    """The terms of the rows' texts, all of them."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, seen = Terms(), set()
         for batch in steps(batches, text):
-            offsets, codes, words = split_words(texts_of(batch, text))
-            lists = terms.of(words.to_pylist())
-            got: dict[str, list[int]] = {}
-            for a, b, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("label").to_pylist(), strict=True):
-                for t in {t for c in set(codes[a:b].tolist()) for t in lists[c]}:
-                    got.setdefault(t, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([x[0] for x in got.values()], pa.int64()), pa.array([x[1] for x in got.values()], pa.int64())], names=["term", "n0", "n1"])
-
-    all0, all1 = sample.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
-    if not all0 or not all1:
-        return []
-    total = sample.mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n, other = F.col("n0") + F.col("n1"), F.lit(all0 + all1) - F.col("n0") - F.col("n1")
-    cross = F.col("n1").cast("double") * (F.lit(all0) - F.col("n0")) - F.col("n0").cast("double") * (F.lit(all1) - F.col("n1"))
-    chi2 = F.when(other > 0, cross * cross * float(all0 + all1) / (n.cast("double") * other * float(all0) * float(all1)))
-    found = total.withColumn("chi2", chi2).where((n >= LEAST_ROWS) & (F.col("chi2") >= LEAST_CHI2) & (F.col("n1") >= n * LEAST_SHARE))
-    return sorted(r["term"] for r in found.orderBy(F.desc("chi2"), "term").limit(most).collect())
-
-
-def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "toxic", text: str = "text", rows: int = EXAMPLE_ROWS) -> tuple[list[str], Index]:
-    """Vocabulary and index of at most `rows` labelled rows where `learns` holds.
-
-    A term's inverse document frequency is over all of `docs`.  The driver gets the vocabulary,
-    its frequencies, and the examples' counts of its terms; no text.
+            seen.update(chain.from_iterable(terms.of(split_words(texts_of(batch, text))[2].to_pylist())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["term"])
+
+    return sorted(sample.select(text).mapInArrow(find, "term string").distinct().toArrow().column("term").to_pylist())
+
+
+def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "toxic", text: str = "text", rows: int = EXAMPLE_ROWS) -> tuple[Broadcast, Broadcast, Index]:
+    """Vocabulary and index, sent to the tasks, of at most `rows` labelled rows where `learns` holds; and the calibrated index.
+
+    The vocabulary is every term of those rows; a term's inverse document frequency is over all of
+    `docs`.  The driver gets the vocabulary, its frequencies, and the examples' counts of its
+    terms; no text.
     """
     sample = bounded_labels(docs, labels, learns, label, rows, text).persist()
     terms = vocabulary(sample, text)
-    ids = {t: k for k, t in enumerate(terms)}
+    spark, size = docs.sparkSession, len(terms)
+    known = spark.sparkContext.broadcast({t: k for k, t in enumerate(terms)})  # the driver has little room
+    del terms
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, df, n = Terms(ids), np.zeros(len(ids) + 1, np.int64), 0
+        own, df = Terms(known.value), np.zeros(size + 1, np.int64)
         for batch in steps(batches, text):
-            df[: len(ids)] += np.bincount(counts_by_row(batch, text, own)[1], minlength=len(ids))
-            df[len(ids)] += batch.num_rows
+            df[:size] += np.bincount(counts_by_row(batch, text, own)[1], minlength=size)
+            df[size] += batch.num_rows
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(df[used])], names=["term", "n"])
 
-    df = np.zeros(len(ids) + 1)
-    for t, n in docs.select(text).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        df[t] = n
+    df = np.zeros(size + 1)
+    of_terms = docs.select(text).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[of_terms.column("term").to_numpy()] = of_terms.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Terms(ids)
+        own = Terms(known.value)
         for batch in steps(batches, text):
             row, term, n = counts_by_row(batch, text, own)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             cut = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([term[c] for c in cut], pa.list_(pa.int64())), pa.array([n[c] for c in cut], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts"]
-            )
+            blobs = [pa.array([x[c].astype(np.int32).tobytes() for c in cut], pa.binary()) for x in (term, n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *blobs], names=["doc_id", "label", "terms", "counts"])
 
-    got = sample.mapInArrow(vectors, "doc_id long, label int, terms array<long>, counts array<long>").collect()
+    got = sample.mapInArrow(vectors, "doc_id long, label int, terms binary, counts binary").toLocalIterator()
+    found = sorted((r["doc_id"], bytes(r["terms"]), bytes(r["counts"]), r["label"]) for r in got)
     sample.unpersist()
-    got.sort(key=lambda r: (r["terms"], r["doc_id"]))
-    blank = [r for r in got if not r["terms"]]
-    full = [r for r in got if r["terms"]]
-    index = Index(idf, np.array([r["doc_id"] for r in full], np.int64), np.array([r["label"] for r in full], np.float64))
-    examples = [(np.array(r["terms"]), np.array(r["counts"])) for r in full]
+    blank = [r[3] for r in found if not r[1]]
+    full = [r for r in found if r[1]]
+    examples = [(np.frombuffer(t, np.int32), np.frombuffer(n, np.int32)) for _, t, n, _ in full]
+    index = Index(idf, np.array([r[0] for r in full], np.int64), np.array([r[3] for r in full], np.float64))
     index.build(examples)
-    votes = [index.vote(*index.nearest(t, n, without=k)) for k, (t, n) in enumerate(examples)]
-    index.calibrate(np.array(votes + [-1.0] * len(blank)), np.array([r["label"] for r in full + blank], np.float64))
-    return terms, index
+    order = index.alike()
+    index.ids, index.labels = index.ids[order], index.labels[order]
+    index.build([examples[k] for k in order])
+    counts = [examples[k][1] for k in order]
+    del found, full, examples
+    gc.collect()
+    sent, each = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(counts)
+
+    def own_votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, counts = sent.value, each.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, SEARCHED):
+                places = batch.column("id").to_numpy()[start : start + SEARCHED].tolist()
+                texts = [(index.terms[index.offsets[k] : index.offsets[k + 1]], counts[k]) for k in places]
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([index.vote(*x) for x in index.search(texts, places)], pa.float64())], names=["place", "vote"])
+
+    votes = np.zeros(len(counts))
+    for k, v in spark.range(0, len(counts), 1, len(counts) // (2 * SEARCHED) + 1).mapInArrow(own_votes, "place long, vote double").collect():
+        votes[k] = v
+    each.unpersist()
+    index.calibrate(np.append(votes, [-1.0] * len(blank)), np.append(index.labels, blank))
+    return known, sent, index
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text", label: str = "toxic", rows: int = EXAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= threshold) and evidence, for every row.
 
     `evidence` lists the nearest examples: their doc_id, cosine and label.  Null texts count as
-    empty; a text without a term of the vocabulary, the empty one too, has the share of label 1
+    empty; a text without a term of any example, the empty one too, has the share of label 1
     among such examples and no evidence.  Equal texts have equal results, repeated rows too.
     Without examples of both labels, every score is that share.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learns, label, text, rows))
+    known, sent, fitted = fit(docs, labels, learns, label, text, rows)
+    calibrated = fitted.blank, fitted.steps_at, fitted.steps_to
+    del fitted
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, index = sent.value
-        own, kept = Terms({t: k for k, t in enumerate(names)}), {}
+        index = sent.value
+        index.blank, index.steps_at, index.steps_to = calibrated
+        own, kept = Terms(known.value), {}
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in steps(batches, text):
             row, term, n = counts_by_row(batch, text, own)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            scores, evidence = [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                key = (term[a:b].tobytes(), n[a:b].tobytes())
-                if key not in kept:
-                    if len(kept) > 100_000:
-                        kept.clear()
-                    places, cosines = index.nearest(term[a:b], n[a:b])
+            keys = [(term[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            keys = [hashlib.sha256(len(t).to_bytes(8) + t + c).digest() for t, c in keys]
+            if len(kept) > 20_000:
+                kept.clear()
+            fresh = list({key: k for k, key in enumerate(keys) if key not in kept}.items())
+            for k in range(0, len(fresh), SEARCHED):
+                part = fresh[k : k + SEARCHED]
+                texts = [(term[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for _, i in part]
+                for (key, _), (places, cosines) in zip(part, index.search(texts), strict=True):
                     why = [{"doc_id": int(index.ids[p]), "cosine": float(c), "label": int(index.labels[p])} for p, c in zip(places, cosines, strict=True)]
                     kept[key] = (index.score(index.vote(places, cosines)), why)
-                scores.append(kept[key][0])
-                evidence.append(kept[key][1])
+            scores = [kept[key][0] for key in keys]
+            evidence = [kept[key][1] for key in keys]
             p = np.array(scores)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
 
