@@ -96,50 +96,57 @@ class Index:
     block: int = BLOCK
     offsets: np.ndarray | None = None
     terms: np.ndarray | None = None
-    weights: np.ndarray | None = None
-    column: np.ndarray | None = None
-    listed: np.ndarray | None = None
-    listed_at: np.ndarray | None = None
-    listed_weights: np.ndarray | None = None
-    dense: np.ndarray | None = None
-    top: np.ndarray | None = None
+    counts: np.ndarray | None = None
+    filled: bool = False
     blank: float = 0.5
     steps_at: np.ndarray | None = None
     steps_to: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"dense": None, "top": None}
+        self.empty()
+        return self.__dict__
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / (np.linalg.norm(w) or 1.0)
 
     def build(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.empty()
         self.block = BLOCK
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t, _ in examples])]).astype(np.int64)
         self.terms = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in examples]]).astype(np.int32)
+        counts = np.concatenate([np.zeros(0, np.int32), *[n for _, n in examples]])
+        self.counts = counts.astype(np.min_scalar_type(int(counts.max(initial=1))))
+
+    def example(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.terms[self.offsets[k] : self.offsets[k + 1]], self.counts[self.offsets[k] : self.offsets[k + 1]].astype(np.int64)
+
+    def empty(self) -> None:
+        self.weights = self.column = self.listed = self.listed_at = self.listed_weights = self.dense = self.top = None
+        self.filled = False
+
+    def fill(self) -> None:
+        """The weights, lists, dense matrix and its blocks' largest weights, made where they are used."""
+        n = len(self.offsets) - 1
         self.weights = np.zeros(len(self.terms))
-        for k, (t, n) in enumerate(examples):
-            self.weights[self.offsets[k] : self.offsets[k + 1]] = self.vector(t, n)
+        for k in range(n):
+            self.weights[self.offsets[k] : self.offsets[k + 1]] = self.vector(*self.example(k))
         of = np.bincount(self.terms, minlength=len(self.idf))
         common = np.sort(np.argsort(-of, kind="stable")[:COMMON])
         self.column = np.full(len(self.idf), -1, np.int32)
         self.column[common] = np.arange(len(common))
         rare = np.flatnonzero(self.column[self.terms] < 0)
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.listed = np.repeat(np.arange(len(examples), dtype=np.int32), np.diff(self.offsets))[rare]
+        self.listed = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.offsets))[rare]
         self.listed_weights = self.weights[rare]
         self.listed_at = np.concatenate([[0], np.cumsum(np.where(self.column < 0, of, 0))])
-        self.dense = self.top = None
-
-    def fill(self) -> None:
-        """The dense matrix and its blocks' largest weights, made where they are used."""
-        blocks = -(-(len(self.offsets) - 1) // self.block)
-        self.dense = np.zeros((blocks * self.block, int(self.column.max(initial=-1)) + 1), np.float32)
+        blocks = -(-n // self.block)
+        self.dense = np.zeros((blocks * self.block, len(common)), np.float32)
         for k, (a, b) in enumerate(zip(self.offsets[:-1], self.offsets[1:], strict=True)):
             at = self.column[self.terms[a:b]]
             self.dense[k, at[at >= 0]] = self.weights[a:b][at >= 0]
         self.top = self.dense.reshape(blocks, self.block, -1).max(axis=1)
+        self.filled = True
 
     def alike(self) -> np.ndarray:
         """An order of the examples that puts like ones together, so that few blocks can hold a near one."""
@@ -153,7 +160,7 @@ class Index:
             of = np.argmax(x @ centres.T, axis=1)
             centres = np.stack([x[of == g].sum(axis=0) for g in range(GROUPS)])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-        self.dense = self.top = None
+        self.empty()
         return np.lexsort((self.ids, of))
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +176,7 @@ class Index:
         """
         if self.offsets is None or len(self.offsets) < 2:
             return [(np.zeros(0, np.int64), np.zeros(0)) for _ in texts]
-        if self.dense is None:
+        if not self.filled:
             self.fill()
         block, (blocks, width) = self.block, self.top.shape
         common = np.zeros((len(texts), width), np.float32)
@@ -306,23 +313,21 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "toxic"
     order = index.alike()
     index.ids, index.labels = index.ids[order], index.labels[order]
     index.build([examples[k] for k in order])
-    counts = [examples[k][1] for k in order]
     del found, full, examples
     gc.collect()
-    sent, each = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(counts)
+    sent = spark.sparkContext.broadcast(index)
 
     def own_votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts = sent.value, each.value
+        index = sent.value
         for batch in batches:
             for start in range(0, batch.num_rows, SEARCHED):
                 places = batch.column("id").to_numpy()[start : start + SEARCHED].tolist()
-                texts = [(index.terms[index.offsets[k] : index.offsets[k + 1]], counts[k]) for k in places]
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([index.vote(*x) for x in index.search(texts, places)], pa.float64())], names=["place", "vote"])
+                found = index.search([index.example(k) for k in places], places)
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([index.vote(*x) for x in found], pa.float64())], names=["place", "vote"])
 
-    votes = np.zeros(len(counts))
-    for k, v in spark.range(0, len(counts), 1, len(counts) // (2 * SEARCHED) + 1).mapInArrow(own_votes, "place long, vote double").collect():
+    votes = np.zeros(len(order))
+    for k, v in spark.range(0, len(order), 1, len(order) // (2 * SEARCHED) + 1).mapInArrow(own_votes, "place long, vote double").collect():
         votes[k] = v
-    each.unpersist()
     index.calibrate(np.append(votes, [-1.0] * len(blank)), np.append(index.labels, blank))
     return known, sent, index
 
