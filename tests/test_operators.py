@@ -209,3 +209,13 @@ def test_stream_of_rates(spark, tmp_path):
 
 def test_dates_are_utc(spark):
     assert filters.date_span("2020-01")[1] - filters.date_span("2020-01")[0] == dt.timedelta(days=31) / dt.timedelta(milliseconds=1)
+
+
+def test_line_diff_pairs_long_texts_too(spark):
+    from twinspark.plans import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    base = queries.source.base(spark, "/root/testdata/sf0.01").select("repo", "rel_path").collect()
+    left, right = ([r["rel_path"] for r in base if r["repo"] == repo] for repo in ("r0", "r1"))
+    assert docs.count() == len(base)
+    assert queries.QUERIES["line_diff"](spark, "/root/testdata/sf0.01").count() == sum(left.count(p) * right.count(p) for p in set(left))

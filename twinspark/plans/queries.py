@@ -354,7 +354,7 @@ def _pairs_of_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def _texts_of_one_path(spark: SparkSession, d: str) -> DataFrame:
     """Documents of r0 beside those of r1 that have the same path."""
-    b = source.base(spark, d).where("size < 3000")
+    b = source.base(spark, d)
     left = b.where("repo = 'r0'").select("rel_path", F.col("content").alias("a"))
     return left.join(b.where("repo = 'r1'").select("rel_path", F.col("content").alias("b")), "rel_path")
 
