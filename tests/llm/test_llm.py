@@ -213,6 +213,18 @@ def test_fewer_edits_are_nearer():
     assert likeness[0] == 1 and likeness == sorted(likeness, reverse=True) and likeness[1] > 0.8 > 0.4 > likeness[3]
 
 
+def test_walks_read_whole_chunks():
+    """In chunks without content cuts, edits of the last characters change the fingerprint about as often as those of the first."""
+    texts = [c * fingerprints.CHUNK for c in "abcdefgh" if len(fingerprints._chunks(np.full(fingerprints.CHUNK, ord(c), np.uint32), np.zeros(1, np.int64))) == 1]
+    assert texts
+    seen = []
+    for text in texts:
+        got = fingerprints.embed([text, *(text[:k] + "#" + text[k + 1 :] for k in range(len(text)))])
+        seen.append((got[1:] != got[0]).any(axis=1))
+    head, tail = (np.stack(seen)[:, part].mean() for part in (slice(30), slice(60, None)))
+    assert tail > 0.8 * head > 0.3
+
+
 def labelled(spark, name):
     rng = random.Random(6)
     words = [a + b for a in ("an", "er", "th", "on") for b in ("ing", "ea", "le", "st")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,16 @@ from twinspark.llm.shared import components, cut_lineage, mixed, steps, texts_of
 
 #: A fingerprint's slots; samples of walk positions that they share; positions in a sample.
 SLOTS, SAMPLES, SAMPLED = 64, 4, 8
-#: Steps of a walk, and characters of a chunk at most; a chunk ends where a hash of its last characters says.
-STEPS, CHUNK, CUT_BITS, CUT_CHARS = 72, 96, 5, 5
+#: Characters of a chunk at most, and steps after which a walk's bits and samples come round again;
+#: a chunk ends where a hash of its last characters says.
+CHUNK, CUT_BITS, CUT_CHARS = 96, 5, 5
+STEPS, PERIOD = 3 * CHUNK, 72
 BANDS = 16
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _rng = np.random.default_rng(11)
 _TURN = _rng.integers(1, 1 << 32, STEPS, dtype=np.uint32) | np.uint32(1)
 _SHIFT = _rng.integers(0, 1 << 32, STEPS, dtype=np.uint32)
-_AT = np.stack([np.sort(_rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(SAMPLES)])
+_AT = np.stack([np.sort(_rng.choice(PERIOD, SAMPLED, replace=False)) for _ in range(SAMPLES)])
 _SALT = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,8 +50,8 @@ def embed(texts: list[str]) -> np.ndarray:
 
     A chunk's walk reads a character at each step and moves on if the bit that all walks share for
     that step and character is set, so after an edit two walks meet again soon, and edit distance
-    becomes Hamming distance between what they read.  A code is what a walk reads at the sampled
-    steps, and a slot is the least value of the chunks' codes under the slot's own hash, so the
+    becomes Hamming distance between what they read.  A walk goes on to the end of its chunk.  A
+    code is what it reads at the sampled steps, which come again every PERIOD, and a slot is the least value of the chunks' codes under the slot's own hash, so the
     share of equal slots is the likeness of two texts.  A text without characters has the largest
     value in all slots.
     """
@@ -62,15 +65,18 @@ def embed(texts: list[str]) -> np.ndarray:
     at = _chunks(points, (ends - lengths)[real])
     stop = np.append(at[1:], len(points))
     padded = np.append(points, np.uint32(0)) + np.uint32(1)
-    place = at.copy()
     codes = np.zeros((SAMPLES, len(at)), np.uint64)
-    for j in range(STEPS):
-        inside = place < stop
-        read = np.where(inside, padded[np.minimum(place, len(points))], np.uint32(0))
-        for s in np.flatnonzero((_AT == j).any(axis=1)):
-            codes[s] = (codes[s] ^ read) * _BASE
-            codes[s] ^= codes[s] >> np.uint64(29)
-        place += ((read * _TURN[j] + _SHIFT[j]) >> np.uint32(31)).astype(np.int64) & inside
+    live, now, end = np.arange(len(at)), at.copy(), stop
+    for j in count():
+        if not len(live):
+            break
+        read = padded[now]
+        for s in np.flatnonzero((_AT == j % PERIOD).any(axis=1)):
+            mixed_in = (codes[s, live] ^ read) * _BASE
+            codes[s, live] = mixed_in ^ (mixed_in >> np.uint64(29))
+        now = now + ((read * _TURN[j % STEPS] + _SHIFT[j % STEPS]) >> np.uint32(31)).astype(np.int64)
+        on = now < end
+        live, now, end = live[on], now[on], end[on]
     first = np.searchsorted(at, (ends - lengths)[real])
     for k in range(SLOTS):
         out[real, k] = (np.minimum.reduceat(mixed(codes[k % SAMPLES] ^ _SALT[k]), first) >> np.uint64(7)).astype(np.uint16)
