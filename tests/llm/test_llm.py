@@ -213,6 +213,30 @@ def test_fewer_edits_are_nearer():
     assert likeness[0] == 1 and likeness == sorted(likeness, reverse=True) and likeness[1] > 0.8 > 0.4 > likeness[3]
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+def test_near_documents_compares_all_pairs_of_a_band(spark, monkeypatch, block):
+    """Texts that share a band with a lower id unlike them are still linked with each other: as brute force says."""
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", block)
+    rng = random.Random(21)
+    width = fingerprints.SLOTS // fingerprints.BANDS
+    value = lambda: rng.randrange(1 << 16)
+    prints = [[7] * 4 * width + [value() for _ in range(fingerprints.SLOTS - 4 * width)] for _ in range(9)]
+    for base in prints[1:]:
+        now = list(base)
+        for band in range(4, fingerprints.BANDS):  # alike, but with no other band in common
+            now[band * width + rng.randrange(width)] = value()
+        prints.append(now)
+    rows = [(i, "".join(f"{x:04x}" for x in p)) for i, p in enumerate(prints)]
+    monkeypatch.setattr(fingerprints, "fingerprint_documents", lambda docs, text: spark.createDataFrame(rows, "doc_id long, fingerprint string"))
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sum(x == y for x, y in zip(prints[a], prints[b], strict=True)) >= 0.8 * fingerprints.SLOTS:
+                root = [min(root[a], root[b]) if v in (root[a], root[b]) else v for v in root]
+    assert len(set(root)) == 9
+    assert {r["doc_id"]: r["class_id"] for r in fingerprints.near_documents(None).collect()} == dict(enumerate(root))
+
+
 def test_walks_read_whole_chunks():
     """In chunks without content cuts, edits of the last characters change the fingerprint about as often as those of the first."""
     texts = [c * fingerprints.CHUNK for c in "abcdefgh" if len(fingerprints._chunks(np.full(fingerprints.CHUNK, ord(c), np.uint32), np.zeros(1, np.int64))) == 1]

@@ -20,6 +20,8 @@ SLOTS, SAMPLES, SAMPLED = 64, 4, 8
 CHUNK, CUT_BITS, CUT_CHARS = 96, 5, 5
 STEPS, PERIOD = 3 * CHUNK, 72
 BANDS = 16
+#: Fingerprints of one band's group that a task compares with as many others.
+BLOCK_ROWS = 2048
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _rng = np.random.default_rng(11)
 _TURN = _rng.integers(1, 1 << 32, STEPS, dtype=np.uint32) | np.uint32(1)
@@ -161,20 +163,42 @@ def compare_with_edited(docs: DataFrame, text: str = "text") -> DataFrame:
 def near_documents(docs: DataFrame, likeness: float = 0.8, text: str = "text") -> DataFrame:
     """(doc_id, class_id) of every row: rows linked by fingerprints of at least `likeness`.
 
-    Equal fingerprints are one class from the start.  Each band of sampled slots deals the
-    distinct ones into groups; a group's members are compared with its least member, and pairs
-    that differ in more slots than allowed are dropped.  A class has its least doc_id.
+    Equal fingerprints are one class from the start.  Each band of consecutive min-hash slots
+    deals the distinct ones into groups, and all pairs of a group are compared; large groups are
+    cut into blocks, and blocks of pairs go to different tasks.  What comes out of one is a row
+    for each linked fingerprint and a connected one.  A class has its least doc_id.
     """
     prints = cut_lineage(fingerprint_documents(docs, text))
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
+    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
     width = SLOTS // BANDS * 4
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.substring(F.col("fingerprint"), b * width + 1, F.lit(width)).alias("key")))
     dealt = nodes.select("node", "fingerprint", F.explode(bands).alias("e")).select("node", "fingerprint", "e.*")
-    least = dealt.groupBy("band", "key").agg(F.min(F.struct("node", "fingerprint")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = dealt.join(least, ["band", "key"]).where(F.col("node") > F.col("first.node"))
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    same = F.size(F.filter(slots, lambda k: F.substring(F.col("fingerprint"), k * 4 + 1, F.lit(4)) == F.substring(F.col("first.fingerprint"), k * 4 + 1, F.lit(4))))
-    links = pairs.where(same >= likeness * SLOTS).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
-    labels = components(links)
-    named = nodes.join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("class_id"))
-    return prints.join(named, "fingerprint").select("doc_id", "class_id")
+    sizes = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = sizes.select("band", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    placed = dealt.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(pair))
+    placed = placed.select("band", "key", "pair.i", "pair.j", "block", "node", "fingerprint")
+
+    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        slots = np.frombuffer(bytes.fromhex("".join(group.column("fingerprint").to_pylist())), ">u2").reshape(-1, SLOTS)
+        first = group.column("block").to_numpy() == key[2].as_py()
+        one = key[2].as_py() == key[3].as_py()
+        left = np.flatnonzero(first)
+        right = left if one else np.flatnonzero(~first)
+        root = np.arange(len(node))
+        for k, i in enumerate(left.tolist()):
+            others = right[k + 1 :] if one else right
+            near = others[(slots[others] == slots[i]).sum(axis=1) >= likeness * SLOTS]
+            if len(near):
+                tops = np.unique(np.append(root[near], root[i]))
+                root[np.isin(root, tops)] = tops[0]
+        used = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": node[used], "b": node[root[used]]})
+
+    links = placed.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    labels = components(cut_lineage(links))
+    named = cut_lineage(nodes.join(labels, "node", "left").select("fingerprint", "least_id", F.coalesce("label", "node").alias("label")))
+    classes = named.groupBy("label").agg(F.min("least_id").alias("class_id"))
+    return prints.join(named.select("fingerprint", "label"), "fingerprint").join(classes, "label").select("doc_id", "class_id")
