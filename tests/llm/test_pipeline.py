@@ -1,5 +1,8 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import collections
+import random
+
 import corpus_pipeline
 
 FOLDER = "/root/testdata/sf0.01"
@@ -18,3 +21,24 @@ def test_stages_in_turn(spark):
     assert packed.select("doc_id").distinct().count() == rows
     text = " ".join(r["text"] for r in docs.collect())
     assert text
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, shared ids and null ids: exactly one row of each group of copies, exact and near."""
+    rng = random.Random(5)
+    text = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(90)}" for _ in range(150))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, a), (1, a), (2, b), (3, b), (2, c), (None, a), (None, d), (None, d), (None, near(d)), (None, e), (None, e), (7, near(e)), (7, c), (7, near(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    of = {a: "a", b: "b", c: "c", d: "d", e: "e", near(d): "near d", near(e): "near e", near(b): "near b"}
+    once = corpus_pipeline.without_copies(spark, docs, FOLDER)
+    got = sorted((of[r["text"]], r["doc_id"]) for r in once.collect())
+    assert [x for x, _ in got] == sorted(of.values())
+    want = {t: min((i for i, u in rows if u == t and i is not None), default=None) for t in of}
+    assert dict(got) == {of[t]: i for t, i in want.items()}
+    for frame in (once, docs):
+        left = corpus_pipeline.without_near_copies(spark, frame, FOLDER).collect()
+        assert collections.Counter(of[r["text"]][-1] for r in left) == dict.fromkeys("abcde", 1)
+    cut = corpus_pipeline.without_passages(spark, corpus_pipeline.without_near_copies(spark, once, FOLDER), FOLDER)
+    assert cut.count() == 5

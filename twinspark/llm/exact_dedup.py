@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import BLANKS, cut_lineage
+from twinspark.llm.shared import BLANKS, cut_lineage, numbered
 
 #: Distinct buckets of (length, prefix hash) that can be broadcast: a proven bound of the side's rows.
 SURVIVOR_BUCKETS = 1 << 18
@@ -13,14 +13,15 @@ SURVIVOR_BUCKETS = 1 << 18
 PREFIX_CHARS = 64
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest: bool = False, row: str | None = None) -> DataFrame:
     """Group rows whose texts are equal but for ASCII white space.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, and with `digest` also
     text_sha256 of the normalised text (rows outside surviving groups are then hashed for the
     report only).  The row with most code points, then the smallest doc_id, stays; a null doc_id
     counts as the largest.  Null texts count as empty, so all null, empty and blank texts are one
-    group.  Of repeated rows with one doc_id and text, one row stays.  Other columns are not read.
+    group.  Of repeated rows with one doc_id and text, one row stays.  Other columns are not read,
+    but for `row`, a number of each row, which comes back as the column row.
 
     A first pass groups lengths, then prefix hashes of texts that share their length.  Only rows
     that may be in a group of both get the full hash: their buckets, at most SURVIVOR_BUCKETS
@@ -28,7 +29,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dig
     shuffled.
     """
     normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANKS + "+", "")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.char_length(F.col(text)), F.lit(0)).alias("points"), normal.alias("normal"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.char_length(F.col(text)), F.lit(0)).alias("points"), normal.alias("normal"), *([F.col(row).alias("row")] if row else []))
     keyed = rows.withColumns({"length": F.octet_length("normal"), "prefix": F.xxhash64(F.substring("normal", 1, PREFIX_CHARS))})
     seen = cut_lineage(keyed.groupBy("length", "prefix").agg(F.count("*").alias("n")))
     shared_length = seen.groupBy("length").agg(F.sum("n").alias("of_length")).where("of_length > 1")
@@ -39,7 +40,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dig
     full = F.sha2(F.col("normal"), 256)
     hashed = cut_lineage(
         marked.select(
-            F.monotonically_increasing_id().alias("row"),
+            F.col("row") if row else F.monotonically_increasing_id().alias("row"),
             "doc_id",
             "points",
             "length",
@@ -62,11 +63,12 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dig
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         *([F.coalesce("full", "alone").alias("text_sha256")] if digest else []),
+        *(["row"] if row else []),
     )
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact_dedup keeps, with all their columns."""
-    stays = exact_dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("stays"))
-    # Equal rows of one doc_id differ in nothing; distinct texts of one doc_id all stay.
-    return docs.join(stays.select("doc_id"), docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    rows = numbered(docs)
+    stays = exact_dedup(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import components, cut_lineage, hashed, mixed, segment_sums, split_words, steps, texts_of
+from twinspark.llm.shared import components, cut_lineage, hashed, mixed, numbered, segment_sums, split_words, steps, texts_of
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair of Jaccard 0.8 shares none of 40 bands of 5 values with a probability of 1.3e-7.
@@ -162,13 +162,14 @@ def _verified(threshold: float, tolerance: float):
     return run
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", row: str | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, class_id, n_links, class_size, kept.
 
     n_links counts the other rows whose shingle sets have a Jaccard similarity of at least
     `threshold`; a class is what such links connect, named by its least doc_id (null if it has
     none), whose first row is `kept`.  Null texts count as empty; a text without words is similar
     to nothing, a class of its own with no links.  Repeated rows are rows of their own.
+    With `row`, a column of numbers of rows, they come back as the column row.
 
     Equal sets are one node from the start, with a count.  Nodes that share a band of MinHash
     values are connected to the least of that band's, which gives groups that hold every candidate
@@ -178,7 +179,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     one is a row for each linked node, its links and a connected node, so that n alike documents
     make n rows, not n * n.
     """
-    source = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.col(row).alias("row")] if row else []))
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -192,9 +193,10 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
                 keys[:, b] = h
             h1, h2 = set_keys(offsets, values)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h1), pa.array(h2), pa.array(np.diff(offsets)), bands], names=["doc_id", "h1", "h2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h1), pa.array(h2), pa.array(np.diff(offsets)), bands, *([batch.column("row")] if row else [])], names=["doc_id", "h1", "h2", "n", "bands", *(["row"] if row else [])])
 
-    rows = cut_lineage(source.mapInArrow(signed, "doc_id long, h1 long, h2 long, n long, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
+    rows = source.mapInArrow(signed, "doc_id long, h1 long, h2 long, n long, bands array<long>" + (", row long" if row else ""))
+    rows = cut_lineage(rows if row else rows.withColumn("row", F.monotonically_increasing_id()))
     nodes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("row"))).alias("first"), F.count("*").alias("copies"))
     nodes = cut_lineage(nodes)
     dealt = rows.join(nodes.select("node"), rows["row"] == nodes["node"], "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("key"))
@@ -240,12 +242,13 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     classes = named.groupBy("label").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size"))
     out = named.join(classes, "label").select("h1", "h2", F.col("best.b").alias("class_id"), F.col("best.row").alias("kept_row"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size")
     plain = rows.select("row", "doc_id", "h1", "h2", "n")
-    found = plain.where("n > 0").join(out, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "class_size", (F.col("row") == F.col("kept_row")).alias("kept"))
-    blank = plain.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    found = plain.where("n > 0").join(out, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "class_size", (F.col("row") == F.col("kept_row")).alias("kept"), *(["row"] if row else []))
+    blank = plain.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), *(["row"] if row else []))
     return found.unionByName(blank)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that similar_documents keeps, with all their columns."""
-    stays = similar_documents(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi")
+    rows = numbered(docs)
+    stays = similar_documents(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)

@@ -32,6 +32,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with a number of each row, _row; written, so that the numbers stay."""
+    return cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
