@@ -293,20 +293,27 @@ def test_block_max_search_is_exact(monkeypatch):
         assert np.allclose(got, np.sort(dense @ dense[k])[::-1][: len(got)]) and len(got) == min(15, (dense @ dense[k] > 1e-12).sum())
 
 
+def toxicity_terms(word):
+    import regex
+
+    runs = regex.findall(r"\p{L}+", word.lower())
+    return runs + [f"{x[:k]}-" for x in runs for k in toxicity.STEMS if len(x) > k] or [word]
+
+
 def test_toxicity_searches_whole_vectors(spark, monkeypatch):
     """Every example is found by all its terms, those of clean texts too, in blocks of lists and common terms."""
     monkeypatch.setattr(toxicity, "COMMON", 5)
     monkeypatch.setattr(toxicity, "BLOCK", 4)
     rng = random.Random(12)
-    words = [a + b for a in ("tree", "stone", "river", "cloud") for b in "abcdefghijk"] + ["12", "%%", "7"]
+    words = [a + b for a in ("tree", "Stöne", "river", "straße-cloud") for b in "abcdefghijk"] + ["12", "%%", "7"]
     rows = [(i, " ".join(rng.choice(words[i % 3 :: 3]) for _ in range(rng.randint(1, 25)))) for i in range(60)] + [(60, "12 %%"), (61, " \n"), (62, None)]
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, toxic int")
     got = by_id(toxicity.score_toxicity(docs(spark, rows), labels, F.lit(True)))
-    counts = {i: collections.Counter(x for w in WORD.findall(t or "") for x in toxicity.terms_of(w)) for i, t in rows}
+    counts = {i: collections.Counter(x for w in WORD.findall(t or "") for x in toxicity_terms(w)) for i, t in rows}
     known, df = {x for i in range(40) for x in counts[i]}, collections.Counter(x for c in counts.values() for x in c)
     unit = {}
     for i, c in counts.items():
-        w = {x: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[x])) + 1) for x, n in c.items() if x in known}
+        w = {x: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[x])) + 1) ** 2 for x, n in c.items() if x in known}
         unit[i] = {x: v / math.sqrt(sum(v * v for v in w.values())) for x, v in w.items()}
     for i, _ in rows:
         cosines = {e: round(sum(v * unit[e].get(x, 0) for x, v in unit[i].items()), 9) for e in range(40)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; a single longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: ASCII white space, the only characters that separate words.
 BLANKS = r"[\x20\x09-\x0D]"
 
@@ -54,7 +57,15 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = STEP_
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # workers live on: the next operator's tasks need the room
+    release()
+
+
+def release() -> None:
+    """Give memory that nothing uses back to the system: workers live on, and the next operator's tasks need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -102,7 +113,13 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out anew if its files give fewer partitions than there are cores: a small table in one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

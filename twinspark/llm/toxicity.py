@@ -4,62 +4,64 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import bounded_labels, split_words, steps, texts_of
+from twinspark.llm.shared import bounded_labels, mixed, release, segment_sums, split_words, steps, texts_of
+from twinspark.llm.suffix_dedup import Hashes
 
 #: Labelled rows that are examples, at most; those with the smallest hash of their id.
-EXAMPLE_ROWS = 16384
+EXAMPLE_ROWS = 4096
 #: Terms held as a dense matrix, at most: those of most examples; the others are lists of examples.
 COMMON = 1536
 #: Texts searched at a time.
 SEARCHED = 256
 #: Letters of the word beginnings that are terms too.
 STEMS = (4, 5, 6)
-NEIGHBOURS, BLOCK = 15, 64
+#: Neighbours that vote: a 25th of the examples, within these bounds; those that are told as evidence.
+NEIGHBOURS, EVIDENCE, BLOCK = (15, 100), 15, 64
 #: Groups of like examples, and the blocks of the highest bounds that set a text's first limit.
-GROUPS, FIRST_BLOCKS = 16, 4
+GROUPS, FIRST_BLOCKS = 16, 8
 THRESHOLD = 0.7
-_LETTERS = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = r"[^\p{L}]+"
 
 
-def terms_of(word: str) -> list[str]:
-    """Runs of letters in lower case, and the beginnings of longer ones: inflected and compound forms share them.
+def word_terms(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each word's terms, and the terms, word by word, as 64-bit hashes.
 
-    A word without letters is a term itself.
+    Terms are a word's runs of letters in lower case and the beginnings of longer ones, of as many
+    letters as STEMS says: inflected and compound forms share them.  A word without letters is a
+    term itself.  Hashes of beginnings follow from those of prefixes of all bytes.
     """
-    runs = [x.lower() for x in _LETTERS.findall(word)]
-    return runs + [f"{x[:k]}-" for x in runs for k in STEMS if len(x) > k] or [word]
-
-
-class Terms:
-    """Terms of words, kept for words seen; with a vocabulary, the ids of the terms in it."""
-
-    def __init__(self, ids: dict[str, int] | None = None, most: int = 400_000):
-        self.ids, self.most, self.known = ids, most, {}
-
-    def of(self, words: list[str]) -> list[list]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, out = self.known, []
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                x = terms_of(w)
-                if self.ids is not None:
-                    x = tuple([self.ids[t] for t in x if t in self.ids])  # numbers that the vocabulary holds
-                known[w] = x
-            out.append(x)
-        return out
+    low = pc.utf8_lower(words.cast(pa.string()))
+    lists = pc.split_pattern_regex(low, pattern=_NO_LETTERS)
+    runs, word = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(runs), 0)
+    runs, word = runs.filter(full), word[full.to_numpy(zero_copy_only=False)]
+    bare = np.setdiff1d(np.arange(len(words)), word)
+    strings = pa.concat_arrays([runs, low.take(pa.array(bare, pa.int64()))])
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8, int(offsets[-1]))
+    hashes, leads = Hashes(data), (data & 0xC0) != 0x80
+    at = np.append(np.flatnonzero(leads), len(data))
+    rank = np.concatenate([[0], np.cumsum(leads)])
+    begin, end = offsets[:-1], offsets[1:]
+    found = [(np.append(word, bare), begin, end - begin, 0)]
+    letters = (rank[end] - rank[begin])[: len(runs)]
+    for k in STEMS:
+        longer = np.flatnonzero(letters > k)
+        found.append((word[longer], begin[longer], at[rank[begin[longer]] + k] - begin[longer], k))
+    of = np.concatenate([f[0] for f in found])
+    terms = np.concatenate([mixed(hashes.of(start, size) + np.uint64((k + 1) << 32) + size.astype(np.uint64)) for _, start, size, k in found])
+    order = np.argsort(of, kind="stable")
+    return np.bincount(of, minlength=len(words)), terms[order].view(np.int64)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -68,17 +70,17 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def counts_by_row(batch: pa.RecordBatch, text: str, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count), by row and term, of a batch under a vocabulary."""
+def counts_by_row(batch: pa.RecordBatch, text: str, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count), by row and term, of a batch; a term is its place in the sorted hashes `known`."""
     offsets, codes, words = split_words(texts_of(batch, text))
-    lists = terms.of(words.to_pylist())
-    sizes = np.array([len(x) for x in lists], np.int64)
-    hit = np.flatnonzero(sizes[codes]) if len(codes) else np.zeros(0, np.int64)
-    of = np.searchsorted(offsets, hit, side="right") - 1
-    n = sizes[codes[hit]] if len(hit) else np.zeros(0, np.int64)
-    row = np.repeat(of, n)
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-    term = flat[ranges((np.cumsum(sizes) - sizes)[codes[hit]] if len(hit) else n, n)]
+    sizes, terms = word_terms(words)
+    place = np.searchsorted(known, terms)
+    there = known[np.minimum(place, len(known) - 1)] == terms if len(known) else np.zeros(len(terms), bool)
+    sizes = segment_sums(there.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
+    flat = place[there]
+    n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+    row = np.repeat(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), n)
+    term = flat[ranges((np.cumsum(sizes) - sizes)[codes], n)] if len(codes) else flat[:0]
     keys, n = np.unique(row << 32 | term, return_counts=True)
     return keys >> 32, keys & 0xFFFFFFFF, n
 
@@ -87,7 +89,8 @@ def counts_by_row(batch: pa.RecordBatch, text: str, terms: Terms) -> tuple[np.nd
 class Index:
     """Examples as whole unit vectors, dealt into blocks, with each common term's largest weight in each block.
 
-    The common terms of the examples are a dense matrix; each other term has the list of its examples.
+    A term weighs (1 + log count) * idf ** 2.  The common terms of the examples are a dense matrix;
+    each other term has the list of its examples.
     """
 
     idf: np.ndarray
@@ -107,7 +110,7 @@ class Index:
         return self.__dict__
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.idf[terms] ** 2
         return w / (np.linalg.norm(w) or 1.0)
 
     def build(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -121,16 +124,20 @@ class Index:
     def example(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.terms[self.offsets[k] : self.offsets[k + 1]], self.counts[self.offsets[k] : self.offsets[k + 1]].astype(np.int64)
 
+    @property
+    def neighbours(self) -> int:
+        return int(np.clip((len(self.offsets) - 1) // 25, *NEIGHBOURS))
+
     def empty(self) -> None:
-        self.weights = self.column = self.listed = self.listed_at = self.listed_weights = self.dense = self.top = None
+        self.weights = self.column = self.listed = self.listed_at = self.listed_weights = self.exact = self.dense = self.top = None
         self.filled = False
 
     def fill(self) -> None:
         """The weights, lists, dense matrix and its blocks' largest weights, made where they are used."""
         n = len(self.offsets) - 1
-        self.weights = np.zeros(len(self.terms))
-        for k in range(n):
-            self.weights[self.offsets[k] : self.offsets[k + 1]] = self.vector(*self.example(k))
+        self.weights = (1 + np.log(self.counts.astype(np.float64))) * self.idf[self.terms] ** 2
+        norms = np.sqrt(segment_sums(self.weights**2, self.offsets))
+        self.weights /= np.repeat(np.maximum(norms, 1e-12), np.diff(self.offsets))
         of = np.bincount(self.terms, minlength=len(self.idf))
         common = np.sort(np.argsort(-of, kind="stable")[:COMMON])
         self.column = np.full(len(self.idf), -1, np.int32)
@@ -141,10 +148,11 @@ class Index:
         self.listed_weights = self.weights[rare]
         self.listed_at = np.concatenate([[0], np.cumsum(np.where(self.column < 0, of, 0))])
         blocks = -(-n // self.block)
-        self.dense = np.zeros((blocks * self.block, len(common)), np.float32)
+        self.exact = np.zeros((blocks * self.block, len(common)))
         for k, (a, b) in enumerate(zip(self.offsets[:-1], self.offsets[1:], strict=True)):
             at = self.column[self.terms[a:b]]
-            self.dense[k, at[at >= 0]] = self.weights[a:b][at >= 0]
+            self.exact[k, at[at >= 0]] = self.weights[a:b][at >= 0]
+        self.dense = self.exact.astype(np.float32)
         self.top = self.dense.reshape(blocks, self.block, -1).max(axis=1)
         self.filled = True
 
@@ -172,7 +180,7 @@ class Index:
         The lists of rare terms are summed for all examples.  A block's bound is the largest such
         sum in it and what its common terms can add; blocks that cannot reach the last of the
         nearest in the blocks of the highest bounds are not read.  Sums are in single precision
-        but for the examples that they leave, whose cosines are worked out again.
+        but for the examples that they leave, whose sums are then made in double precision.
         """
         if self.offsets is None or len(self.offsets) < 2:
             return [(np.zeros(0, np.int64), np.zeros(0)) for _ in texts]
@@ -181,6 +189,7 @@ class Index:
         block, (blocks, width) = self.block, self.top.shape
         common = np.zeros((len(texts), width), np.float32)
         found = np.zeros((len(texts), blocks * block), np.float32)
+        rare = np.zeros((len(texts), blocks * block))
         vectors = []
         for k, (t, n) in enumerate(texts):
             q = self.vector(t, n)
@@ -191,7 +200,8 @@ class Index:
             size = self.listed_at[t + 1] - self.listed_at[t]
             places = ranges(self.listed_at[t], size)
             if len(places):
-                found[k] = np.bincount(self.listed[places], self.listed_weights[places] * np.repeat(q, size), blocks * block)
+                rare[k] = np.bincount(self.listed[places], self.listed_weights[places] * np.repeat(q, size), blocks * block)
+            found[k] = rare[k]
             if without is not None and without[k] >= 0:
                 found[k, without[k]] = -10
         bounds = found.reshape(len(texts), blocks, block).max(axis=2) + common @ self.top.T + 1e-4
@@ -205,8 +215,8 @@ class Index:
 
         def last() -> np.ndarray:
             """What the last of the nearest has by now, at least."""
-            n = found.shape[1]
-            return np.maximum(np.partition(found, n - NEIGHBOURS, axis=1)[:, n - NEIGHBOURS], 0) - 1e-4 if n >= NEIGHBOURS else np.zeros(len(found))
+            n, wanted = found.shape[1], self.neighbours
+            return np.maximum(np.partition(found, n - wanted, axis=1)[:, n - wanted], 0) - 1e-4 if n >= wanted else np.zeros(len(found))
 
         read(early)
         limit = last()
@@ -216,14 +226,13 @@ class Index:
         out = []
         for k, (t, _) in enumerate(texts):
             places = np.flatnonzero(found[k] > max(limit[k], 0))
-            whole = np.zeros(len(self.idf)) if k == 0 else whole
-            whole[t] = vectors[k]
-            size = self.offsets[places + 1] - self.offsets[places]
-            at = ranges(self.offsets[places], size)
-            cosines = np.add.reduceat(self.weights[at] * whole[self.terms[at]], np.cumsum(size) - size) if len(places) else np.zeros(0)
-            whole[t] = 0
+            q = np.zeros(width)
+            at = self.column[t]
+            q[at[at >= 0]] = vectors[k][at >= 0]
+            used = np.flatnonzero(q)
+            cosines = self.exact[np.ix_(places, used)] @ q[used] + rare[k, places]
             places, cosines = places[cosines > 1e-12], cosines[cosines > 1e-12]
-            order = np.lexsort((self.ids[places], -np.round(cosines, 9)))[:NEIGHBOURS]
+            order = np.lexsort((self.ids[places], -np.round(cosines, 9)))[: self.neighbours]
             out.append((places[order], cosines[order]))
         return out
 
@@ -255,38 +264,39 @@ class Index:
         return float(np.interp(vote, self.steps_at, self.steps_to))
 
 
-def vocabulary(sample: DataFrame, text: str = "text") -> list[str]:
-    """The terms of the rows' texts, all of them."""
+def vocabulary(sample: DataFrame, text: str = "text") -> np.ndarray:
+    """The terms of the rows' texts, all of them, as sorted hashes."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, seen = Terms(), set()
+        seen = np.zeros(0, np.int64)
         for batch in steps(batches, text):
-            seen.update(chain.from_iterable(terms.of(split_words(texts_of(batch, text))[2].to_pylist())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["term"])
+            seen = np.union1d(seen, word_terms(split_words(texts_of(batch, text))[2])[1])
+        yield pa.RecordBatch.from_arrays([pa.array(seen)], names=["term"])
 
-    return sorted(sample.select(text).mapInArrow(find, "term string").distinct().toArrow().column("term").to_pylist())
+    return np.sort(sample.select(text).mapInArrow(find, "term long").distinct().toArrow().column("term").to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "toxic", text: str = "text", rows: int = EXAMPLE_ROWS) -> tuple[Broadcast, Broadcast, Index]:
     """Vocabulary and index, sent to the tasks, of at most `rows` labelled rows where `learns` holds; and the calibrated index.
 
-    The vocabulary is every term of those rows; a term's inverse document frequency is over all of
-    `docs`.  The driver gets the vocabulary, its frequencies, and the examples' counts of its
-    terms; no text.
+    The vocabulary is every term of those rows, told by 64-bit hashes; a term's inverse document
+    frequency is over all of `docs`.  The driver gets the vocabulary, its frequencies, and the
+    examples' counts of its terms; no text.
     """
     sample = bounded_labels(docs, labels, learns, label, rows, text).persist()
     terms = vocabulary(sample, text)
     spark, size = docs.sparkSession, len(terms)
-    known = spark.sparkContext.broadcast({t: k for k, t in enumerate(terms)})  # the driver has little room
+    known = spark.sparkContext.broadcast(terms)
     del terms
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, df = Terms(known.value), np.zeros(size + 1, np.int64)
+        df = np.zeros(size + 1, np.int64)
         for batch in steps(batches, text):
-            df[:size] += np.bincount(counts_by_row(batch, text, own)[1], minlength=size)
+            df[:size] += np.bincount(counts_by_row(batch, text, known.value)[1], minlength=size)
             df[size] += batch.num_rows
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(df[used])], names=["term", "n"])
+        release()
 
     df = np.zeros(size + 1)
     of_terms = docs.select(text).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -294,9 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "toxic"
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Terms(known.value)
         for batch in steps(batches, text):
-            row, term, n = counts_by_row(batch, text, own)
+            row, term, n = counts_by_row(batch, text, known.value)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             cut = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
             blobs = [pa.array([x[c].astype(np.int32).tobytes() for c in cut], pa.binary()) for x in (term, n)]
@@ -335,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "toxic"
 def score_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text", label: str = "toxic", rows: int = EXAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= threshold) and evidence, for every row.
 
-    `evidence` lists the nearest examples: their doc_id, cosine and label.  Null texts count as
+    `evidence` lists the nearest EVIDENCE examples: their doc_id, cosine and label.  Null texts count as
     empty; a text without a term of any example, the empty one too, has the share of label 1
     among such examples and no evidence.  Equal texts have equal results, repeated rows too.
     Without examples of both labels, every score is that share.
@@ -347,25 +356,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, text: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         index.blank, index.steps_at, index.steps_to = calibrated
-        own, kept = Terms(known.value), {}
+        kept = {}
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in steps(batches, text):
-            row, term, n = counts_by_row(batch, text, own)
+            row, term, n = counts_by_row(batch, text, known.value)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             keys = [(term[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             keys = [hashlib.sha256(len(t).to_bytes(8) + t + c).digest() for t, c in keys]
-            if len(kept) > 20_000:
+            if len(kept) > 5_000:
                 kept.clear()
             fresh = list({key: k for k, key in enumerate(keys) if key not in kept}.items())
             for k in range(0, len(fresh), SEARCHED):
                 part = fresh[k : k + SEARCHED]
                 texts = [(term[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for _, i in part]
                 for (key, _), (places, cosines) in zip(part, index.search(texts), strict=True):
-                    why = [{"doc_id": int(index.ids[p]), "cosine": float(c), "label": int(index.labels[p])} for p, c in zip(places, cosines, strict=True)]
+                    why = [{"doc_id": int(index.ids[p]), "cosine": float(c), "label": int(index.labels[p])} for p, c in zip(places[:EVIDENCE], cosines[:EVIDENCE], strict=True)]
                     kept[key] = (index.score(index.vote(places, cosines)), why)
             scores = [kept[key][0] for key in keys]
             evidence = [kept[key][1] for key in keys]
             p = np.array(scores)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
+        index.empty()
+        release()
 
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
