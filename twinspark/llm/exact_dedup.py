@@ -56,7 +56,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dig
         .where("group_size > 1")
         .select("length", "full", "group_size", F.col("best.i").alias("keep"), F.col("best.r").alias("keep_row"))
     )
-    out = hashed.join(groups, ["length", "full"], "left")
+    # Written first, so that both sides of the join are plain shuffles and the rows of a large group can be split.
+    out = hashed.hint("merge").join(cut_lineage(groups).hint("merge"), ["length", "full"], "left")
     return out.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),

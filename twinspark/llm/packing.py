@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from twinspark.llm.shared import split_words, steps, texts_of
+from twinspark.llm.shared import release, split_words, steps, texts_of
 
 CAPACITY = 2048
 #: Cost of n tokens of one document: n + ATTENTION * n * n, the ratio of a model 4096 wide.
@@ -45,7 +45,6 @@ class WordTokens:
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.model, self.separator = self.tokenizer.model, self.tokenizer.token_to_id(_SEPARATOR)
-        self.model._resize_cache(0)  # `known` keeps more
 
     def _encode_pieces(self, pieces: set[str]) -> None:
         encode = self.model.tokenize
@@ -82,15 +81,6 @@ class WordTokens:
         return [known[c] if type(c) is str else b"".join([known[p] for p in c]) for c in cut]
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
-
-
 def assign(lengths: np.ndarray, capacity: int = CAPACITY, attention: float = ATTENTION) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) for documents of these lengths.
 
@@ -129,7 +119,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capaci
     """
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = word_tokens(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tokens, end = WordTokens(tokenizer_path), np.array([end_id], "<u4").tobytes()
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 36
         names: list = []
@@ -164,6 +154,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capaci
                     yield flush()
         if held:
             yield flush()
+        del tokens
+        release()
 
     return docs.select("doc_id", text).mapInArrow(packed, PACKED)
 

@@ -12,26 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinspark.llm.shared import bounded_labels, segment_sums, split_words, steps, texts_of
+from twinspark.llm.shared import bounded_labels, release, split_words, steps, texts_of
 
 BUCKETS, DIMENSIONS, WINDOW, NONZERO = 1 << 14, 48, 2, 6
-#: Labelled rows that the classifier is fit on, at most; those with the smallest hash of their id.
+#: Labelled rows that the network is fit on, at most; those with the smallest hash of their id.
 TRAIN_ROWS = 8192
-#: Tasks over the labelled rows: each sends one matrix of BUCKETS x DIMENSIONS to the driver.
-TRAIN_TASKS = 8
 THRESHOLD = 0.3
+#: Bytes of text of a step; a step's words have a few arrays of one value each.
+WORD_STEP = 1 << 20
 #: Stands after a word that repeats the one before it; holds a blank, so no text holds it.
 AGAIN = "\x03 again"
 _PART = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
 def index_vectors(seed: int = 7) -> np.ndarray:
-    """The sparse ternary random vector of each bucket."""
+    """The sparse random vector of 1 and -1 of each bucket, by dimension."""
     rng = np.random.default_rng(seed)
     out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     at = np.argsort(rng.random((BUCKETS, DIMENSIONS)), axis=1)[:, :NONZERO]
     np.put_along_axis(out, at, np.where(np.arange(NONZERO) % 2, -1, 1).astype(np.float32)[None, :], axis=1)
-    return out / np.sqrt(NONZERO)
+    return np.ascontiguousarray(out.T)
 
 
 def tokens_of(word: str) -> list[str]:
@@ -73,9 +73,6 @@ class Buckets:
         return offsets, np.fromiter((i for x in lists for i in x), np.int64, int(offsets[-1]))
 
 
-_buckets = Buckets()
-
-
 def _words(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """split_words, with the word AGAIN after each word that repeats the one before it."""
     offsets, codes, words = split_words(texts_of(batch, text))
@@ -88,18 +85,6 @@ def _words(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, li
     return offsets + again[offsets], codes, [*words.to_pylist(), AGAIN]
 
 
-def _sequences(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's tokens in turn: offsets of rows, and bucket ids."""
-    offsets, codes, words = _words(batch, text)
-    starts, ids = _buckets.of(words)
-    sizes = np.diff(starts)[codes]
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    flat = np.repeat(starts[codes] - (ends - sizes), sizes) + np.arange(total)
-    at = np.concatenate([[0], ends])
-    return at[offsets], ids[flat]
-
-
 @dataclass
 class Network:
     """Two layers over standardised pooled vectors; probabilities at a temperature."""
@@ -157,63 +142,83 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed
     return net
 
 
-def pooled(batch: pa.RecordBatch, text: str, vectors: np.ndarray) -> np.ndarray:
+def pooled(batch: pa.RecordBatch, text: str, vectors: np.ndarray, buckets: Buckets) -> np.ndarray:
     """Mean vector of each row's tokens, and the log of their number; zeros for no token."""
     offsets, codes, words = _words(batch, text)
-    starts, ids = _buckets.of(words)
+    starts, ids = buckets.of(words)
     n = np.diff(starts)
-    by_word = segment_sums(vectors[ids], starts).astype(np.float32) if len(ids) else np.zeros((len(n), DIMENSIONS), np.float32)
+    word = np.repeat(np.arange(len(n)), n)
     out = np.zeros((batch.num_rows, DIMENSIONS + 1))
+    if not len(codes):
+        return out
     of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    tokens = np.bincount(of, n[codes], batch.num_rows) if len(codes) else np.zeros(batch.num_rows)
+    tokens = np.bincount(of, n[codes], batch.num_rows)
     for d in range(DIMENSIONS):
-        out[:, d] = np.bincount(of, by_word[codes, d], batch.num_rows) if len(codes) else 0
+        out[:, d] = np.bincount(of, np.bincount(word, vectors[d][ids], len(n))[codes], batch.num_rows)
     out[:, :DIMENSIONS] /= np.maximum(tokens, 1)[:, None]
     out[:, DIMENSIONS] = np.log1p(tokens)
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "quality", text: str = "text", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from at most `rows` labelled rows where `learns` holds.
+def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Random-indexing vectors by dimension and bucket, at unit length, from all rows of `docs`.
 
-    A word's vector is the sum of the index vectors of the tokens around it, and its own, over
-    the labelled rows, at unit length.  Texts stay in the tasks: the driver gets one matrix of
-    fixed size from each of TRAIN_TASKS tasks and then a pooled vector for each labelled row.
+    A token's vector is the sum of the index vectors of the tokens of its own word and of the
+    WINDOW words on either side, over all its occurrences.  Each task sums its rows, a shuffle
+    adds up the tasks' sums by bucket, and the driver gets one row for each bucket.  Sums are
+    whole numbers, so their order does not matter.
     """
-    sample = bounded_labels(docs, labels, learns, label, rows, text).repartition(TRAIN_TASKS).persist()
+    names = [f"v{d}" for d in range(DIMENSIONS)]
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        total = np.zeros((BUCKETS, DIMENSIONS))
-        for batch in steps(batches, text, 1 << 20):
-            offsets, ids = _sequences(batch, text)
-            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            around = index[ids].copy()
-            for k in range(1, WINDOW + 1):
-                same = (of[k:] == of[:-k])[:, None]
-                around[k:] += index[ids[:-k]] * same
-                around[:-k] += index[ids[k:]] * same
+        index, buckets = index_vectors(), Buckets()
+        total = np.zeros((DIMENSIONS, BUCKETS))
+        for batch in steps(batches, text, WORD_STEP):
+            offsets, codes, words = _words(batch, text)
+            starts, ids = buckets.of(words)
+            word = np.repeat(np.arange(len(words)), np.diff(starts))
+            # The code after the last word's has no vector; WINDOW of these stand between rows.
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            line = np.full(len(codes) + WINDOW * (batch.num_rows + 1), len(words))
+            line[np.arange(len(codes)) + WINDOW * (row + 1)] = codes
             for d in range(DIMENSIONS):
-                total[:, d] += np.bincount(ids, around[:, d], BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["total"])
-
-    total = np.zeros((BUCKETS, DIMENSIONS))
-    for (blob,) in sample.select(text).mapInArrow(contexts, "total binary").toLocalIterator():
-        total += np.frombuffer(blob, np.float32).reshape(BUCKETS, DIMENSIONS)
-    length = np.linalg.norm(total, axis=1, keepdims=True)
-    vectors = (total / np.maximum(length, 1e-9)).astype(np.float32)
+                own = np.bincount(word, index[d][ids], len(words) + 1).astype(np.float32)[line]
+                around = own.copy()
+                for k in range(1, WINDOW + 1):
+                    around[k:] += own[:-k]
+                    around[:-k] += own[k:]
+                total[d] += np.bincount(ids, np.bincount(line, around, len(words) + 1)[word], BUCKETS)
+        used = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(total[d][used].astype(np.int64)) for d in range(DIMENSIONS)]], names=["bucket", *names])
+        del total, buckets
+        release()
+
+    sums = docs.select(text).mapInArrow(contexts, "bucket int, " + ", ".join(f"{x} long" for x in names)).groupBy("bucket").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    total = np.zeros((DIMENSIONS, BUCKETS))
+    for d, x in enumerate(names):
+        total[d, sums.column("bucket").to_numpy()] = sums.column(x).to_numpy()
+    return (total / np.maximum(np.linalg.norm(total, axis=0), 1e-9)).astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "quality", text: str = "text", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
+    """Word vectors of all of `docs`, and a network fit on at most `rows` labelled rows where `learns` holds.
+
+    Texts stay in the tasks: the driver gets a pooled vector for each labelled row.
+    """
+    vectors = word_vectors(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text):
-            x = pooled(batch, text, sent.value)
+        buckets = Buckets()
+        for batch in steps(batches, text, WORD_STEP):
+            x = pooled(batch, text, sent.value, buckets)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
-    got = sample.select("label", text).mapInArrow(pool, "label int, x array<double>").collect()
-    sample.unpersist()
-    x = np.array([r["x"] for r in got]).reshape(len(got), DIMENSIONS + 1)
+    sample = bounded_labels(docs, labels, learns, label, rows, text)
+    got = sample.select("label", text).mapInArrow(pool, "label int, x array<double>").toArrow()
+    x = np.array(got.column("x").to_pylist()).reshape(len(got), DIMENSIONS + 1)
     order = np.lexsort(x.T)  # the rows' order is not fixed; the fit's is
-    return vectors, train(x[order], np.array([r["label"] for r in got])[order])
+    return vectors, train(x[order], got.column("label").to_numpy()[order])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learns: Column, text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -229,8 +234,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, learns: Column, text: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = sent.value
-        for batch in steps(batches, text):
-            p = net.probability(pooled(batch, text, vectors))
+        buckets = Buckets()
+        for batch in steps(batches, text, WORD_STEP):
+            p = net.probability(pooled(batch, text, vectors, buckets))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+        del buckets
+        release()
 
     return plain.mapInArrow(run, schema)

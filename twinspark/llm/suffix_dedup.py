@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from twinspark.llm.shared import cut_lineage, mixed, steps
 
 LENGTH = 400
-#: Bytes under an anchor's hash; every string of LENGTH bytes holds LENGTH - ANCHOR + 1 such.
-ANCHOR = 200
 #: Distinct regions of one anchor that one task sorts; beyond, they are dealt by what their strings share.
 MOST_REGIONS = 2000
 #: Starts that share a key when the regions of an anchor are dealt.
@@ -60,20 +58,20 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[: len(now) - rest], now[rest:]) if rest else now
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Anchors of all strings of `length` bytes: (text, start, span, anchor's place, anchor hash, region hash).
+def regions(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Anchors of all strings of `length` bytes: (text, start, span, anchor's place, anchor hash).
 
-    A string's anchor is the substring of `anchor` bytes with the least hash, the first of equals,
+    A string's anchor is the substring of half its length with the least hash, the first of equals,
     so that equal strings have equal anchors at equal places.  A region is what a run of strings
     with one anchor covers.
     """
-    n = len(data)
+    n, anchor = len(data), length // 2
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     hashes = Hashes(data)
     x = mixed(hashes.of(np.arange(n - anchor + 1), anchor))
-    low = np.uint64((1 << 24) - 1)
+    low = np.uint64((1 << 24) - 1)  # a window is shorter, so places modulo this tell the first of equals but at a wrap
     least = _window_min((x & ~low) | (np.arange(len(x), dtype=np.uint64) & low), length - anchor + 1)
     sizes = np.diff(offsets)
     starts = np.maximum(sizes - length + 1, 0)
@@ -81,16 +79,15 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
     ends = np.cumsum(starts)
     start = np.arange(len(text)) - np.repeat(ends - starts, starts) + offsets[:-1][text]
     if not len(start):
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     place = start + (((least[start] & low).astype(np.int64) - start) & int(low))
     fresh = np.ones(len(start), bool)
     fresh[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(start)) - 1
     lo, span = start[first], start[last] - start[first] + length
-    own = mixed(hashes.of(lo, span) + span.astype(np.uint64) * np.uint64(_BASE))
     text = text[first]
-    return text, lo - offsets[:-1][text], span, place[first] - lo, x[place[first]].view(np.int64), own.view(np.int64)
+    return text, lo - offsets[:-1][text], span, place[first] - lo, x[place[first]].view(np.int64)
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -187,45 +184,36 @@ def repeated_starts(data: np.ndarray, start: np.ndarray, group: np.ndarray, leng
     return out
 
 
-def _sorted_regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of repeated strings, from regions that come ordered by key."""
+def _sorted_regions(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of repeated strings, from distinct regions that come ordered by anchor."""
     names = ["doc_id", "tie", "start", "end"]
     held: list[pa.RecordBatch] = []
 
     def out(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        key = table.column("key").to_numpy()
-        own = table.column("own").to_numpy()
-        off = table.column("off").to_numpy()
-        # One of each region: repeated rows bring theirs more than once.
-        first = np.lexsort((off, own, key))
-        twice = np.zeros(len(first), bool)
-        twice[1:] = (key[first][1:] == key[first][:-1]) & (own[first][1:] == own[first][:-1]) & (off[first][1:] == off[first][:-1])
-        table = table.take(pa.array(np.sort(first[~twice])))
-        key = table.column("key").to_numpy()
+        key = table.column("h").to_numpy()
         data, offsets = _bytes_of(table.column("bytes").combine_chunks())
-        count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+        count = np.maximum(np.diff(offsets) - length + 1, 0)
         region = np.repeat(np.arange(len(count)), count)
         ends = np.cumsum(count)
         start = np.arange(len(region)) - np.repeat(ends - count, count) + offsets[:-1][region]
-        hit = np.flatnonzero(repeated_starts(data, start, np.unique(key, return_inverse=True)[1][region]) & table.column("alone").to_numpy(zero_copy_only=False)[region])
+        hit = np.flatnonzero(repeated_starts(data, start, np.unique(key, return_inverse=True)[1][region], length) & table.column("alone").to_numpy(zero_copy_only=False)[region])
         fresh, last = np.ones(len(hit), bool), np.ones(len(hit), bool)
         fresh[1:] = (hit[1:] != hit[:-1] + 1) | (region[hit[1:]] != region[hit[:-1]])
         last[:-1] = fresh[1:]
         a, b = hit[fresh], hit[last]
         of = pa.array(region[a])
         base = table.column("lo").to_numpy()[region[a]] - offsets[:-1][region[a]]
-        columns = [table.column("doc_id").take(of), table.column("tie").take(of), pa.array(base + start[a]), pa.array(base + start[b] + LENGTH)]
+        columns = [table.column("doc_id").take(of), table.column("tie").take(of), pa.array(base + start[a]), pa.array(base + start[b] + length)]
         return pa.RecordBatch.from_arrays([pc.cast(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c, pa.int64()) for c in columns], names=names)
 
     for batch in steps(batches, "bytes", 1 << 20):
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        last = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
-        if key[0] == key[-1]:
-            last = 0
-        if last or (held and held[-1].column("key")[0].as_py() != key[0]):
+        key = batch.column("h").to_numpy()
+        other = np.flatnonzero(key != key[-1])
+        last = int(other[-1]) + 1 if len(other) else 0  # where the last anchor's regions begin
+        if last or (held and held[-1].column("h")[0].as_py() != key[0]):
             yield out(pa.Table.from_batches([*held, batch.slice(0, last)]))
             held = []
         held.append(batch.slice(last))
@@ -233,59 +221,85 @@ def _sorted_regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out(pa.Table.from_batches(held))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, tie, spans): ranges of bytes of each text that strings of LENGTH bytes cover which start anywhere else too.
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(doc_id, tie, spans): ranges of bytes of each text that strings of `length` bytes cover which start anywhere else too.
 
     `tie` is a hash of the text, so that rows are told apart by id and text; rows that repeat both
     have one entry, as their spans are the same.
 
     Equal strings have equal anchors, so only regions whose anchor occurs more than once can hold
-    any.  A region that occurs again as a whole is one span.  Of the others, one of each goes to a
-    task with those of its anchor, where their suffixes are sorted; an anchor with very many has
-    its regions cut into a few starts each and dealt by the bytes that all their strings share.
+    any.  A region that occurs again as a whole, by the first half of its SHA-256, is one span.  Of
+    the others, one of each goes to a task with those of its anchor, where their suffixes are
+    sorted.  An anchor of more than MOST_REGIONS distinct regions is not sorted in one task: its
+    regions are cut into blocks of DEALT_STARTS starts, equal blocks are counted, and the starts of
+    one of each distinct block are counted by the digests of their strings; both are plain
+    aggregations with joins that Spark can split.
     """
     source = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    kind = "doc_id long, tie long, lo int, span int, at int, h long, own long"
+    kind = "doc_id long, tie long, lo int, span int, at int, h long, own long, more long"
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", 1 << 20):
             data, offsets = _bytes_of(batch.column("text"))
-            row, lo, span, at, h, own = regions(data, offsets)
+            row, lo, span, at, h = regions(data, offsets, length)
             if len(row):
-                of = pa.array(row)
+                of, view = pa.array(row), memoryview(data)
+                begin = offsets[:-1][row] + lo
+                digest = b"".join([hashlib.sha256(view[a:b]).digest()[:16] for a, b in zip(begin.tolist(), (begin + span).tolist(), strict=True)])
+                own, more = np.frombuffer(digest, np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(of), batch.column("tie").take(of), pa.array(lo, pa.int32()), pa.array(span, pa.int32()), pa.array(at, pa.int32()), pa.array(h), pa.array(own)], names=[f.split()[0] for f in kind.split(", ")]
+                    [batch.column("doc_id").take(of), batch.column("tie").take(of), pa.array(lo, pa.int32()), pa.array(span, pa.int32()), pa.array(at, pa.int32()), pa.array(h), pa.array(own), pa.array(more)], names=[f.split()[0] for f in kind.split(", ")]
                 )
 
+    def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sorted_regions(batches, length)
+
     anchors = source.select("doc_id", "tie", "text").mapInArrow(find, kind)
     # Written first, so that both sides of the join are plain shuffles and a hot anchor's rows can be split.
-    shared = anchors.select("h", "own").groupBy("h").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("h", (F.col("a") == F.col("b")).alias("pure"))
+    region = F.struct("own", "more")
+    shared = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min(region).alias("a"), F.max(region).alias("b")).where("n > 1").select("h", (F.col("a") == F.col("b")).alias("pure"))
     shared = cut_lineage(shared)
     again = cut_lineage(anchors.join(shared, "h"))
-    several = again.where("not pure").groupBy("h", "own").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "lo", "span", "at")).alias("one"))
-    several = cut_lineage(several.select("h", "own", "n", "one.*"))
-    whole = again.where("pure").select("doc_id", "tie", "lo", "span").unionByName(again.where("not pure").join(several.where("n > 1").select("h", "own"), ["h", "own"]).select("doc_id", "tie", "lo", "span"))
+    several = again.where("not pure").groupBy("h", "own", "more").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "lo", "span", "at")).alias("one"))
+    several = cut_lineage(several.select("h", "own", "more", "n", "one.*"))
+    twice = again.where("not pure").hint("merge").join(several.where("n > 1").select("h", "own", "more").hint("merge"), ["h", "own", "more"])
+    whole = again.where("pure").select("doc_id", "tie", "lo", "span").unionByName(twice.select("doc_id", "tie", "lo", "span"))
     whole = whole.select("doc_id", "tie", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("span")).cast("long").alias("end"))
 
     hot = several.groupBy("h").agg(F.count("*").alias("regions")).where(F.col("regions") > MOST_REGIONS).select("h", F.lit(True).alias("hot"))
-    wanted = several.join(hot, "h", "left").groupBy(F.col("doc_id").alias("i"), F.col("tie").alias("t")).agg(F.collect_list(F.struct("h", "own", "lo", "span", "at", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    wanted = several.join(hot, "h", "left").groupBy(F.col("doc_id").alias("i"), F.col("tie").alias("t")).agg(F.collect_list(F.struct("h", "lo", "span", "at", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    # Rows that repeat id and text bring their regions more than once; none of these is alone, so that nothing follows from it.
     cut = source.join(wanted, source["doc_id"].eqNullSafe(wanted["i"]) & (source["tie"] == wanted["t"])).select("doc_id", "tie", F.encode("text", "utf-8").alias("raw"), F.explode("wanted").alias("w"))
-    cut = cut.select("doc_id", "tie", F.col("w.h").alias("h"), F.col("w.own").alias("own"), F.col("w.alone").alias("alone"), F.col("w.hot").alias("hot"), F.col("w.lo").cast("long").alias("lo"), F.col("w.at").alias("at"), F.expr("substring(raw, w.lo + 1, w.span)").alias("bytes"))
-    plain = ["doc_id", "tie", "key", "own", "alone", "lo", "off", "bytes"]
-    usual = cut.where("not hot").withColumn("key", F.col("h")).withColumn("off", F.lit(0)).select(*plain)
-    # A block q of a region holds the starts that lie q * DEALT_STARTS and more before the anchor;
-    # all its strings hold the bytes from its last start to the end of its first string.
-    starts = F.octet_length("bytes") - LENGTH + 1
-    last = F.floor(F.col("at") / DEALT_STARTS).cast("int")
-    first = F.floor((F.col("at") - starts + 1) / DEALT_STARTS).cast("int")
-    dealt = cut.where("hot").withColumn("q", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.lit(0), F.col("at") - (F.col("q") + 1) * DEALT_STARTS + 1)
-    end = F.least(starts, F.col("at") - F.col("q") * DEALT_STARTS + 1)
-    dealt = dealt.withColumns({"off": begin, "upto": end})
-    core = F.expr(f"substring(bytes, at - q * {DEALT_STARTS} + 1, {LENGTH - DEALT_STARTS + 1})")
-    dealt = dealt.withColumn("key", F.xxhash64("h", "q", core)).withColumn("lo", F.col("lo") + F.col("off")).withColumn("bytes", F.expr(f"substring(bytes, off + 1, upto - off + {LENGTH - 1})")).select(*plain)
-    found = usual.unionByName(dealt).repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_regions, "doc_id long, tie long, start long, end long")
-    return whole.unionByName(found).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    cut = cut.select("doc_id", "tie", F.col("w.h").alias("h"), F.col("w.alone").alias("alone"), F.col("w.hot").alias("hot"), F.col("w.lo").cast("long").alias("lo"), F.col("w.at").alias("at"), F.expr("substring(raw, w.lo + 1, w.span)").alias("bytes"))
+    usual = cut.where("not hot").repartition("h").sortWithinPartitions("h").select("doc_id", "tie", "h", "alone", "lo", "bytes").mapInArrow(sort, "doc_id long, tie long, start long, end long")
+    return whole.unionByName(usual).unionByName(_dealt(cut.where("hot"), length)).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def _dealt(cut: DataFrame, length: int) -> DataFrame:
+    """(doc_id, tie, start, end) of repeated strings among regions (doc_id, tie, h, alone, lo, at, bytes) of hot anchors.
+
+    Equal strings have equal anchors at equal places, so they are in blocks of one number q.
+    """
+
+    def digest(column):
+        return F.substring(F.unhex(F.sha2(column, 256)), 1, 16)
+
+    starts = F.octet_length("bytes") - length + 1
+    last, first = F.floor(F.col("at") / DEALT_STARTS).cast("int"), F.floor((F.col("at") - starts + 1) / DEALT_STARTS).cast("int")
+    blocks = cut.withColumn("q", F.explode(F.sequence(first, last)))
+    blocks = blocks.withColumns({"off": F.greatest(F.lit(0), F.col("at") - (F.col("q") + 1) * DEALT_STARTS + 1), "upto": F.least(starts, F.col("at") - F.col("q") * DEALT_STARTS + 1)})
+    blocks = blocks.select("doc_id", "tie", "h", "alone", (F.col("lo") + F.col("off")).alias("lo"), (F.col("at") - F.col("off")).alias("at"), F.expr(f"substring(bytes, off + 1, upto - off + {length - 1})").alias("bytes"))
+    blocks = cut_lineage(blocks.withColumn("block", digest("bytes")))
+    one = F.min(F.struct("doc_id", "tie", "lo")).alias("one")
+    counted = cut_lineage(blocks.groupBy("h", "at", "block").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.bool_and("alone").alias("alone"), one))
+    copies = blocks.where("alone").hint("merge").join(counted.where("n > 1").select("h", "at", "block").hint("merge"), ["h", "at", "block"])
+    copies = copies.select("doc_id", "tie", F.col("lo").alias("start"), (F.col("lo") + F.octet_length("bytes")).alias("end"))
+    string = counted.select("h", "at", (F.col("alone") & (F.col("n") == 1)).alias("alone"), "one.*", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("k"))
+    string = string.select("h", (F.col("at") - F.col("k")).alias("at"), "alone", "doc_id", "tie", (F.col("lo") + F.col("k")).alias("start"), digest(F.expr(f"substring(bytes, k + 1, {length})")).alias("string"))
+    string = cut_lineage(string)
+    again = cut_lineage(string.groupBy("h", "at", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    found = string.where("alone").hint("merge").join(again.hint("merge"), ["h", "at", "string"])
+    return copies.unionByName(found.select("doc_id", "tie", "start", (F.col("start") + length).alias("end")))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -298,18 +312,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, text: str) -> DataFrame:
+def _with_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
     """`docs` with the column _spans."""
-    spans = repeated_spans(docs, text).select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t"), F.col("spans").alias("_spans"))
+    spans = repeated_spans(docs, text, length).select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t"), F.col("spans").alias("_spans"))
     tie = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     return docs.join(spans, docs["doc_id"].eqNullSafe(spans["_i"]) & (tie == spans["_t"]), "left").drop("_i", "_t")
 
 
-def removed_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+def removed_passages(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """REMOVED of every row: sizes, and the hash of the bytes that stay.
 
-    A byte goes if a string of LENGTH bytes covers it that also starts anywhere else, in the same
-    text or another.  Null texts count as empty, and texts under LENGTH bytes lose nothing.  Rows
+    A byte goes if a string of `length` bytes covers it that also starts anywhere else, in the same
+    text or another.  Null texts count as empty, and texts under `length` bytes lose nothing.  Rows
     that are repeated lose all strings, as each is the other's copy; none of a passage's copies stays.
     """
 
@@ -329,13 +343,15 @@ def removed_passages(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=[f.split()[0] for f in REMOVED.split(", ")])
 
     plain = docs.select("doc_id", F.col(text).alias("text"))
-    return _with_spans(plain, "text").select("doc_id", "text", "_spans").mapInArrow(run, REMOVED)
+    return _with_spans(plain, "text", length).select("doc_id", "text", "_spans").mapInArrow(run, REMOVED)
 
 
-def without_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+def without_passages(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """`docs` with the repeated passages cut out of `text`, and n_chars, where there is one, counted again.
 
-    A character is cut out if all its bytes are; one that is covered in part stays.
+    A character is cut out if all its bytes are; one that is covered in part stays.  Null texts
+    stay null.  Rows that repeat a text of `length` bytes or more lose it, as in removed_passages:
+    to keep one of them, drop copies first.  Other columns come through as they are.
     """
 
     @F.pandas_udf("string")
@@ -358,5 +374,5 @@ def without_passages(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append(b"".join([*kept, data[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    out = _with_spans(docs, text).withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col("_spans")))).drop("_spans")
+    out = _with_spans(docs, text, length).withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col("_spans")))).drop("_spans")
     return out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
