@@ -11,30 +11,46 @@ from twinspark.llm import exact_dedup, lm_score, ngram_join, packing, quality, s
 from twinspark.llm.shared import read_table, shared_folder
 
 
+#: Bytes that repeated passages have at least: about 50 words.
+PASSAGE = 256
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Each row is judged by its text alone, so equal texts stay or go together; null counts as
+    empty.  An empty table gives an empty one.
+    """
     scored = quality.score_quality(docs, read_table(spark, sf_dir, "labels"), ~lm_score.sampled_out("doc_id", 5, 0))
     return scored.where("predicted = 1").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts."""
+    """One row of each group whose texts are equal but for white space.
+
+    Rows that repeat, share an id or have none are told apart by a number of their own; null,
+    empty and blank texts are one group.
+    """
     return exact_dedup.keep_first_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One row of each class of near copies; rows are told apart as above, and texts without words all stay."""
     return ngram_join.keep_one_of_each(docs)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur anywhere else; those left blank go."""
-    cut = suffix_dedup.without_passages(docs)
-    return cut.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    """Documents without the passages of PASSAGE bytes or more that occur anywhere else; those left blank go.
+
+    Null and empty texts go with them.  The stages before leave no row that repeats another's text
+    of five words or more, so no document is emptied for its own copy.
+    """
+    cut = suffix_dedup.without_passages(docs, length=PASSAGE)
+    return cut.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row for each piece of a document."""
+    """Token sequences: a row for each piece of a document; every row is packed, repeated and null ones too."""
     return packing.packer()(docs)
 
 
