@@ -228,15 +228,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     have one entry, as their spans are the same.
 
     Equal strings have equal anchors, so only regions whose anchor occurs more than once can hold
-    any.  A region that occurs again as a whole, by the first half of its SHA-256, is one span.  Of
-    the others, one of each goes to a task with those of its anchor, where their suffixes are
+    any.  A region that occurs again as a whole, by its anchor's hash and 64 bits of its SHA-256, is
+    one span.  Of the others, one of each goes to a task with those of its anchor, where their suffixes are
     sorted.  An anchor of more than MOST_REGIONS distinct regions is not sorted in one task: its
     regions are cut into blocks of DEALT_STARTS starts, equal blocks are counted, and the starts of
     one of each distinct block are counted by the digests of their strings; both are plain
     aggregations with joins that Spark can split.
     """
     source = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    kind = "doc_id long, tie long, lo int, span int, at int, h long, own long, more long"
+    kind = "doc_id long, tie long, lo int, span int, at int, h long, own long"
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", 1 << 20):
@@ -245,10 +245,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             if len(row):
                 of, view = pa.array(row), memoryview(data)
                 begin = offsets[:-1][row] + lo
-                digest = b"".join([hashlib.sha256(view[a:b]).digest()[:16] for a, b in zip(begin.tolist(), (begin + span).tolist(), strict=True)])
-                own, more = np.frombuffer(digest, np.int64).reshape(-1, 2).T
+                digest = b"".join([hashlib.sha256(view[a:b]).digest()[:8] for a, b in zip(begin.tolist(), (begin + span).tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(of), batch.column("tie").take(of), pa.array(lo, pa.int32()), pa.array(span, pa.int32()), pa.array(at, pa.int32()), pa.array(h), pa.array(own), pa.array(more)], names=[f.split()[0] for f in kind.split(", ")]
+                    [batch.column("doc_id").take(of), batch.column("tie").take(of), pa.array(lo, pa.int32()), pa.array(span, pa.int32()), pa.array(at, pa.int32()), pa.array(h), pa.array(np.frombuffer(digest, np.int64))], names=[f.split()[0] for f in kind.split(", ")]
                 )
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +255,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     anchors = source.select("doc_id", "tie", "text").mapInArrow(find, kind)
     # Written first, so that both sides of the join are plain shuffles and a hot anchor's rows can be split.
-    region = F.struct("own", "more")
-    shared = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min(region).alias("a"), F.max(region).alias("b")).where("n > 1").select("h", (F.col("a") == F.col("b")).alias("pure"))
+    shared = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1").select("h", (F.col("a") == F.col("b")).alias("pure"))
     shared = cut_lineage(shared)
     again = cut_lineage(anchors.join(shared, "h"))
-    several = again.where("not pure").groupBy("h", "own", "more").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "lo", "span", "at")).alias("one"))
-    several = cut_lineage(several.select("h", "own", "more", "n", "one.*"))
-    twice = again.where("not pure").hint("merge").join(several.where("n > 1").select("h", "own", "more").hint("merge"), ["h", "own", "more"])
-    whole = again.where("pure").select("doc_id", "tie", "lo", "span").unionByName(twice.select("doc_id", "tie", "lo", "span"))
+    several = again.where("not pure").groupBy("h", "own").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "lo", "span", "at")).alias("one"))
+    several = cut_lineage(several.select("h", "own", "n", "one.*"))
+    twice = several.where("n > 1").select("h", "own", F.lit(True).alias("twice"))
+    whole = again.hint("merge").join(twice.hint("merge"), ["h", "own"], "left").where("pure or twice")
     whole = whole.select("doc_id", "tie", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("span")).cast("long").alias("end"))
 
     hot = several.groupBy("h").agg(F.count("*").alias("regions")).where(F.col("regions") > MOST_REGIONS).select("h", F.lit(True).alias("hot"))
