@@ -194,7 +194,7 @@ def test_fingerprints(spark, frame):
     edited = t[: len(t) - len(t) // 2] + order[1][1][: len(t) // 2]
     assert r[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r[i]["n_chars"] == len(t)
     assert r[None]["edited_sha256"] == hashlib.sha256((dict(odd())[None][:12] + order[0][1][:11]).encode()).hexdigest()
-    assert r[5]["fingerprint"] == r[6]["fingerprint"] and r[1]["fingerprint"] == r[2]["fingerprint"] == "f" * 4 * fingerprints.SLOTS
+    assert r[5]["fingerprint"] == r[6]["fingerprint"] and r[1]["fingerprint"] == r[2]["fingerprint"] == "00" * fingerprints.SLOTS
     near = {x["doc_id"]: x["class_id"] for x in fingerprints.near_documents(frame).collect()}
     assert near[5] == near[6] == near[7] == 5 and near[9] == 9
     assert fingerprints.compare_with_edited(frame.where("false")).count() == 0
@@ -213,20 +213,79 @@ def test_fewer_edits_are_nearer():
     assert likeness[0] == 1 and likeness == sorted(likeness, reverse=True) and likeness[1] > 0.8 > 0.4 > likeness[3]
 
 
+def read_by_walk(text):
+    """What a walk reads, step by step, and the fingerprint, by their definitions."""
+    chars, read, i = fingerprints.characters(text), [], 0
+    while i < len(chars):
+        read.append(chars[i])
+        i += fingerprints._STAYS[chars[i]][(len(read) - 1) % fingerprints.PERIOD] == 1
+    slots = []
+    for positions in fingerprints._AT.tolist():
+        taken = [p for p in positions if p < len(read)]
+        slots.append(read[taken[-1]] if taken else 0)
+    return read, bytes(slots).hex()
+
+
+def test_fingerprints_equal_brute_force(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_edited(frame).collect()}
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in frame.collect()), reverse=True)
+    assert len(got) == len(rows)
+    prints = {i: read_by_walk(t)[1] for i, t in rows}
+    alike = lambda a, b: np.mean([a[k : k + 2] == b[k : k + 2] for k in range(0, len(a), 2)])
+    for k, (i, t) in enumerate(rows):
+        j, u = rows[(k + 1) % len(rows)]
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        changed, r = read_by_walk(edited)[1], got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == prints[i] and r["edited_fingerprint"] == changed
+        assert r["near_edited"] == alike(prints[i], changed) and r["near_next"] == alike(prints[i], prints[j])
+
+
+def test_any_changed_character_changes_the_embedding():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ij") for _ in range(400))
+    whole = read_by_walk(text)[0]
+    assert all(read_by_walk(text[:k] + "Z" + text[k + 1 :])[0] != whole for k in range(len(text)))
+
+
+def test_near_documents_find_like_fingerprints(spark):
+    """Ids divisible by 100 against all rows of sf0.01: links of at least 0.8 that brute force finds, and no class without a chain of links."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in frame.collect())
+    rng = random.Random(4)
+    for k in range(0, 60, 5):  # near copies of rows of the query set
+        now = list(rows[k][1])
+        for _ in range(len(now) // 800):
+            now[rng.randrange(len(now))] = "#"
+        rows.append((10_000 + rows[k][0], "".join(now)))
+    slots = fingerprints.embed([t for _, t in rows])
+    near = {r["doc_id"]: r["class_id"] for r in fingerprints.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == len(rows)
+    found = linked = 0
+    for k, (i, _) in enumerate(rows):
+        if i % 100 == 0 or i >= 10_000:
+            for other in np.flatnonzero((slots == slots[k]).mean(axis=1) >= 0.8):
+                linked += rows[other][0] != i
+                found += rows[other][0] != i and near[rows[other][0]] == near[i]
+    assert linked >= 10 and found >= 0.9 * linked
+
+
 @pytest.mark.parametrize("block", [2, 2048])
 def test_near_documents_compares_all_pairs_of_a_band(spark, monkeypatch, block):
-    """Texts that share a band with a lower id unlike them are still linked with each other: as brute force says."""
+    """Fingerprints that share a band with a lower id unlike them are still linked with each other: as brute force says."""
     monkeypatch.setattr(fingerprints, "BLOCK_ROWS", block)
+    monkeypatch.setattr(fingerprints, "BAND", 4)
+    monkeypatch.setattr(fingerprints, "BANDS", 3)
+    monkeypatch.setattr(fingerprints, "_BAND", np.arange(12).reshape(3, 4))
     rng = random.Random(21)
-    width = fingerprints.SLOTS // fingerprints.BANDS
-    value = lambda: rng.randrange(1 << 16)
-    prints = [[7] * 4 * width + [value() for _ in range(fingerprints.SLOTS - 4 * width)] for _ in range(9)]
+    value = lambda: rng.randrange(1, 256)
+    prints = [[7] * 4 + [value() for _ in range(fingerprints.SLOTS - 4)] for _ in range(9)]
     for base in prints[1:]:
         now = list(base)
-        for band in range(4, fingerprints.BANDS):  # alike, but with no other band in common
-            now[band * width + rng.randrange(width)] = value()
+        now[5], now[9] = 256 - now[5], 256 - now[9]  # alike, but with no other band in common
         prints.append(now)
-    rows = [(i, "".join(f"{x:04x}" for x in p)) for i, p in enumerate(prints)]
+    rows = [(i, bytes(p).hex()) for i, p in enumerate(prints)]
     monkeypatch.setattr(fingerprints, "fingerprint_documents", lambda docs, text: spark.createDataFrame(rows, "doc_id long, fingerprint string"))
     root = list(range(len(rows)))
     for a in range(len(rows)):

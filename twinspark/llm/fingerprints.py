@@ -4,93 +4,113 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import components, cut_lineage, mixed, steps, texts_of
+from twinspark.llm.shared import components, cut_lineage, mixed, release, steps, texts_of
 
-#: A fingerprint's slots; samples of walk positions that they share; positions in a sample.
-SLOTS, SAMPLES, SAMPLED = 64, 4, 8
-#: Characters of a chunk at most, and steps after which a walk's bits and samples come round again;
-#: a chunk ends where a hash of its last characters says.
-CHUNK, CUT_BITS, CUT_CHARS = 96, 5, 5
-STEPS, PERIOD = 3 * CHUNK, 72
-BANDS = 16
+#: Sampled positions of a walk, a byte each.
+SLOTS = 256
+#: Steps after which the walks' shared random bits come round again.
+PERIOD = 1024
+#: Bands, and the sampled slots of each: a pair of likeness 0.8 shares a band with a probability of 0.99.
+BANDS, BAND = 40, 10
 #: Fingerprints of one band's group that a task compares with as many others.
 BLOCK_ROWS = 2048
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _rng = np.random.default_rng(11)
-_TURN = _rng.integers(1, 1 << 32, STEPS, dtype=np.uint32) | np.uint32(1)
-_SHIFT = _rng.integers(0, 1 << 32, STEPS, dtype=np.uint32)
-_AT = np.stack([np.sort(_rng.choice(PERIOD, SAMPLED, replace=False)) for _ in range(SAMPLES)])
-_SALT = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _chunks(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Starts of chunks: of texts, after each cut by content, and every CHUNK characters between."""
-    h = np.zeros(len(points), np.uint32)
-    for k in range(min(CUT_CHARS, len(points))):
-        h[k:] += points[: len(points) - k] * _TURN[k]
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x2C1B3C6D)
-    cuts = np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0)
-    cuts = cuts[cuts - starts[np.searchsorted(starts, cuts, side="right") - 1] >= CUT_CHARS - 1] + 1  # of one text's characters
-    at = np.union1d(starts, cuts[cuts < len(points)])
-    sizes = np.diff(np.append(at, len(points)))
-    parts = -(-sizes // CHUNK)
-    total = int(parts.sum())
-    return np.repeat(at, parts) + (np.arange(total) - np.repeat(np.cumsum(parts) - parts, parts)) * CHUNK
 
 
-def embed(texts: list[str]) -> np.ndarray:
-    """The slots (uint16) of each text.
-
-    A chunk's walk reads a character at each step and moves on if the bit that all walks share for
-    that step and character is set, so after an edit two walks meet again soon, and edit distance
-    becomes Hamming distance between what they read.  A walk goes on to the end of its chunk.  A
-    code is what it reads at the sampled steps, which come again every PERIOD, and a slot is the least value of the chunks' codes under the slot's own hash, so the
-    share of equal slots is the likeness of two texts.  A text without characters has the largest
-    value in all slots.
+def _stays() -> list[bytes]:
+    """For each byte that stands for a character, and each step at which it is first read, the steps until the walk has moved on."""
+    moves = np.tile(_rng.random((256, PERIOD)) < 0.5, 2)
+    moves[:, -1] = True
+    out = np.zeros((256, 2 * PERIOD), np.uint8)
+    since = np.zeros(256, np.int64)
+    for j in range(2 * PERIOD - 1, -1, -1):
+        since = np.where(moves[:, j], 1, since + 1)
+        out[:, j] = since
+    return [row[:PERIOD].tobytes() for row in out]
+
+
+def _positions() -> np.ndarray:
+    """Of each slot, the positions that it takes in turn as walks get longer.
+
+    Each is the last record of a random order of all positions: uniform over the walk, and the
+    same for walks of like length but for a share of their difference.
+    """
+    out = np.ones((SLOTS, 64))
+    for k in range(1, 64):
+        out[:, k] = np.floor(out[:, k - 1] / (1 - _rng.random(SLOTS))) + 1
+    return np.minimum(out, 1 << 62).astype(np.int64) - 1
+
+
+_STAYS, _AT = _stays(), _positions()
+_BAND = np.stack([_rng.choice(SLOTS, BAND, replace=False) for _ in range(BANDS)])
+
+
+def characters(text: str) -> bytes:
+    """A byte from 1 to 255 for each character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return ((points * np.uint32(0x9E3779B1) >> np.uint32(12)) % np.uint32(255) + np.uint32(1)).astype(np.uint8).tobytes()
+
+
+def walk(chars: bytes, steps_at: list[int], step: int = 0) -> int:
+    """Append the step at which each character is first read, from `step` on; the step after the last.
+
+    A walk reads a character at each step, and moves on to the next if the bit that all walks share
+    for that step and character is set.  After an edit two walks meet again soon, so that what
+    they read differs in few steps: edit distance becomes Hamming distance.
     """
-    out = np.full((len(texts), SLOTS), 0xFFFF, np.uint16)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    if not lengths.sum():
-        return out
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum(lengths)
-    real = np.flatnonzero(lengths)
-    at = _chunks(points, (ends - lengths)[real])
-    stop = np.append(at[1:], len(points))
-    padded = np.append(points, np.uint32(0)) + np.uint32(1)
-    codes = np.zeros((SAMPLES, len(at)), np.uint64)
-    live, now, end = np.arange(len(at)), at.copy(), stop
-    for j in count():
-        if not len(live):
-            break
-        read = padded[now]
-        for s in np.flatnonzero((_AT == j % PERIOD).any(axis=1)):
-            mixed_in = (codes[s, live] ^ read) * _BASE
-            codes[s, live] = mixed_in ^ (mixed_in >> np.uint64(29))
-        now = now + ((read * _TURN[j % STEPS] + _SHIFT[j % STEPS]) >> np.uint32(31)).astype(np.int64)
-        on = now < end
-        live, now, end = live[on], now[on], end[on]
-    first = np.searchsorted(at, (ends - lengths)[real])
-    for k in range(SLOTS):
-        out[real, k] = (np.minimum.reduceat(mixed(codes[k % SAMPLES] ^ _SALT[k]), first) >> np.uint64(7)).astype(np.uint16)
+    append, mask = steps_at.append, PERIOD - 1
+    for stays in map(_STAYS.__getitem__, chars):
+        append(step)
+        step += stays[step & mask]
+    return step
+
+
+def sampled(chars: bytes, steps_at: list[int], length: int) -> np.ndarray:
+    """The slots: what the walk reads at the sampled positions; zeros where there is no character."""
+    if not chars:
+        return np.zeros(SLOTS, np.uint8)
+    at = _AT[np.arange(SLOTS), (_AT < length).sum(axis=1) - 1]
+    return np.frombuffer(chars, np.uint8)[np.searchsorted(np.array(steps_at), at, side="right") - 1]
+
+
+def embed(texts: list[str]) -> np.ndarray:
+    """The slots of each text; the share of equal slots is the likeness of two texts."""
+    out = np.zeros((len(texts), SLOTS), np.uint8)
+    for k, text in enumerate(texts):
+        chars, steps_at = characters(text), []
+        out[k] = sampled(chars, steps_at, walk(chars, steps_at))
     return out
 
 
+def embed_edited(texts: list[str], edited: list[str], same: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of texts and of edited ones, whose first `same` characters are the text's: these are walked once."""
+    out = np.zeros((2, len(texts), SLOTS), np.uint8)
+    for k, (text, other, n) in enumerate(zip(texts, edited, same, strict=True)):
+        chars, steps_at = characters(text), []
+        end = walk(chars, steps_at)
+        out[0, k] = sampled(chars, steps_at, end)
+        chars, steps_at, end = characters(other), steps_at[:n], steps_at[n] if n < len(steps_at) else end
+        out[1, k] = sampled(chars, steps_at, walk(chars[n:], steps_at, end))
+    return out[0], out[1]
+
+
 def written(slots: np.ndarray) -> list[str]:
-    return [x.astype(">u2").tobytes().hex() for x in slots]
+    return [x.tobytes().hex() for x in slots]
+
+
+def _slots(written_ones: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(written_ones.to_pylist())), np.uint8).reshape(-1, SLOTS)
 
 
 def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every row: 4 hex digits for each slot; null counts as empty."""
+    """(doc_id, fingerprint) of every row: 2 hex digits for each slot; null counts as empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text):
@@ -104,76 +124,84 @@ def compare_with_edited(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The next document is the one with the next smaller doc_id, and after the last the first; null
     ids come last, and rows of one id are in the order of their texts' hashes.  A lone row is its
-    own next.  Rows are dealt into ranges of doc_id in one shuffle; each task reads its range in
-    order, and the first text of each range, known beforehand, is the last row's next.
+    own next.  Rows are dealt into ranges in one shuffle; each task reads its ranges in order, and
+    the first row of each range comes along once more at the end of the range before it.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []), reverse=True)
-    # Ranges in reading order: 0 above the largest cut; nulls in one of their own.
+    # Ranges in reading order: 0 above the largest cut; rows without an id after all others, by their texts' hashes.
     cut_column = F.array(*[F.lit(-c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(cut_column, lambda c: c <= -F.col("doc_id"))))
+    of_null = F.floor((F.lit(0.5) - F.col("tie") / float(1 << 64)) * n).cast("int")
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + of_null).otherwise(F.size(F.filter(cut_column, lambda c: c <= -F.col("doc_id"))))
     rows = rows.withColumn("part", part)
-    heads = rows.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie")).alias("head")).select("part", "head.*").collect()
-    if not heads:
-        return spark.createDataFrame([], FINGERPRINTS)
-    wanted = spark.createDataFrame([(r["part"], r["doc_id"], r["tie"]) for r in heads], "p int, i long, t long")
-    found = rows.join(F.broadcast(wanted), (F.col("part") == F.col("p")) & (F.coalesce("doc_id", F.lit(0)) == F.col("i")) & (F.col("tie") == F.col("t")))
-    texts = {r["part"]: r["text"] for r in found.select("part", "text").collect()}
-    order = sorted(texts)
-    after = {p: texts[order[(k + 1) % len(order)]] for k, p in enumerate(order)}
+    heads = rows.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("tie").alias("t"))).alias("head"))
+    turn = Window.orderBy("part")  # a row for each range
+    heads = heads.select(F.col("part").alias("p"), "head.*", F.coalesce(F.lag("part").over(turn), F.max("part").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    first = rows.join(F.broadcast(heads), (F.col("part") == F.col("p")) & (F.coalesce("doc_id", F.lit(0)) == F.col("i")) & (F.col("tie") == F.col("t")))
+    first = first.select("doc_id", "text", "tie", F.col("before").alias("part"), F.lit(True).alias("again"))
+
+    def out(ids: list, now: list[str], following: str) -> pa.RecordBatch:
+        nexts = [*now[1:], following]
+        same = [len(t) - len(t) // 2 for t in now]
+        edited = [t[:k] + u[: len(t) - k] for t, u, k in zip(now, nexts, same, strict=True)]
+        own, changed = embed_edited(now, edited, same)
+        after = np.concatenate([own[1:], embed([following])])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()),
+                pa.array([len(t) for t in now], pa.int64()),
+                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
+                pa.array(written(own)),
+                pa.array(written(changed)),
+                pa.array((own == changed).mean(axis=1)),
+                pa.array((own == after).mean(axis=1)),
+            ],
+            names=[f.split()[0] for f in FINGERPRINTS.split(", ")],
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def out(ids: list, now: list[str], following: str) -> pa.RecordBatch:
-            nexts = [*now[1:], following]
-            edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(now, nexts, strict=True)]
-            own = embed([*now, following])
-            changed = embed(edited)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(t) for t in now], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-                    pa.array(written(own[:-1])),
-                    pa.array(written(changed)),
-                    pa.array((own[:-1] == changed).mean(axis=1)),
-                    pa.array((own[:-1] == own[1:]).mean(axis=1)),
-                ],
-                names=[f.split()[0] for f in FINGERPRINTS.split(", ")],
-            )
-
-        for batch in steps(batches, "text", 2 << 20):
-            parts = batch.column("part").to_numpy(zero_copy_only=False)
-            ids, now = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held is not None:
-                    yield out(held[1], held[2], now[a] if held[0] == parts[a] else after[held[0]])
-                held = (int(parts[a]), ids[a:b], now[a:b])
-        if held is not None:
-            yield out(held[1], held[2], after[held[0]])
-
-    dealt = rows.repartitionByRange(n, "part").sortWithinPartitions("part", F.desc_nulls_last("doc_id"), F.desc("tie"))
-    return dealt.select("doc_id", "text", "part").mapInArrow(run, FINGERPRINTS)
+        ids, now = [], []  # the rows that wait for the text after them; all but the last of a batch have theirs
+        for batch in steps(batches, "text", 1 << 20):
+            for i, t, again in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("again").to_pylist(), strict=True):
+                if not again:
+                    ids.append(i)
+                    now.append(t)
+                elif ids:  # of repeated heads the first
+                    yield out(ids, now, t)
+                    ids, now = [], []
+            if len(ids) > 1:
+                yield out(ids[:-1], now[:-1], now[-1])
+                ids, now = ids[-1:], now[-1:]
+        release()
+
+    dealt = rows.withColumn("again", F.lit(False)).unionByName(first).repartitionByRange(n, "part").sortWithinPartitions("part", "again", F.desc_nulls_last("doc_id"), F.desc("tie"))
+    return dealt.select("doc_id", "text", "again").mapInArrow(run, FINGERPRINTS)
 
 
 def near_documents(docs: DataFrame, likeness: float = 0.8, text: str = "text") -> DataFrame:
     """(doc_id, class_id) of every row: rows linked by fingerprints of at least `likeness`.
 
-    Equal fingerprints are one class from the start.  Each band of consecutive min-hash slots
-    deals the distinct ones into groups, and all pairs of a group are compared; large groups are
+    Equal fingerprints are one class from the start; null and empty texts are such a class, and
+    repeated rows have one class.  Each band of sampled slots deals the distinct ones into groups, and all pairs of a group are compared; large groups are
     cut into blocks, and blocks of pairs go to different tasks.  What comes out of one is a row
     for each linked fingerprint and a connected one.  A class has its least doc_id.
     """
     prints = cut_lineage(fingerprint_documents(docs, text))
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    width = SLOTS // BANDS * 4
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.substring(F.col("fingerprint"), b * width + 1, F.lit(width)).alias("key")))
-    dealt = nodes.select("node", "fingerprint", F.explode(bands).alias("e")).select("node", "fingerprint", "e.*")
+
+    def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "fingerprint"):
+            slots = _slots(batch.column("fingerprint"))
+            keys = np.zeros((len(slots), BANDS), np.uint64)
+            for b in range(BANDS):
+                for k in _BAND[b]:
+                    keys[:, b] = mixed(keys[:, b] * np.uint64(257) + slots[:, k] + np.uint64(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("fingerprint"), lists], names=["node", "fingerprint", "keys"])
+
+    dealt = nodes.select("node", "fingerprint").mapInArrow(banded, "node long, fingerprint string, keys array<long>").select("node", "fingerprint", F.posexplode("keys").alias("band", "key"))
     sizes = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("band", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
@@ -182,7 +210,7 @@ def near_documents(docs: DataFrame, likeness: float = 0.8, text: str = "text") -
 
     def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
-        slots = np.frombuffer(bytes.fromhex("".join(group.column("fingerprint").to_pylist())), ">u2").reshape(-1, SLOTS)
+        slots = _slots(group.column("fingerprint"))
         first = group.column("block").to_numpy() == key[2].as_py()
         one = key[2].as_py() == key[3].as_py()
         left = np.flatnonzero(first)

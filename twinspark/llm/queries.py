@@ -41,6 +41,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edited(read_table(spark, sf_dir, "documents"))
 
 
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose fingerprints are alike: the banding and verification of op7's operator."""
+    return fingerprints.near_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lm_score.sampled_out("doc_id", 3, 1)
     scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
+    "fingerprint_classes": fingerprint_classes,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,
