@@ -53,6 +53,11 @@ def test_piece_codec(spark, frame):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    own = piece_codec.PieceCodec(PIECES)
+    for n in (2, 3, 7, 16, 17, 33, 100, 5000):
+        for end in ("", "the end", "x", "\n", ".  b"):
+            assert own.encode("a" + " " * n + end) == library.encode("a" + " " * n + end)
+    assert piece_codec.round_trip(docs(spark, [(1, " " * 200_000 + "x")]), PIECES).first()["n_tokens"] == len(library.encode(" " * 200_000 + "x"))
     coded = piece_codec.encode_documents(frame.where("doc_id = 9"), PIECES)
     assert piece_codec.decode_documents(coded, PIECES).first()["text"] == library.decode(library.encode(dict(odd())[9]))
     assert piece_codec.round_trip(frame.where("false"), PIECES).count() == 0
@@ -398,7 +403,20 @@ def test_lattice_scores(spark, frame, head):
         base = sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in w) + math.log10((ends + 1) / (total + kinds + 1))
         want.append((i or 0, len(w) + 1, sum(x in counts for x in w) + 1, total, round(base, 6)))
     assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    own = lm_score.Lattice(PIECES)
+    once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+    rest = min(0.5, discount * kinds / total)
+    scores = []
+    for i, t in odd():
+        w = WORD.findall((t or "").translate(lower))
+        lattice = dict(zip(w, own.log10s(w), strict=True))
+        score = math.log10(max(ends - discount, 0) / total + rest / total)
+        for x in w:
+            known = max(counts[x] - discount, 0) / total
+            score += math.log10(known + rest * 10 ** lattice[x]) if known else math.log10(rest) + lattice[x]
+        scores.append((i or 0, round(score, 5)))
+    assert sorted((r["doc_id"] or 0, round(r["score"], 5)) for r in got) == sorted(scores)
     assert lm_score.score_documents(frame.where("false"), F.lit(True), PIECES).count() == 0
 
 
@@ -420,6 +438,8 @@ def test_lattice_sums_all_segmentations():
             out += math.exp(sum(own.logs[i] for i in own._bytes(ord(text[0])))) * total(text[1:])
         return out
 
+    long = "".join(random.Random(3).choice("abcdefgh☃▁é") for _ in range(3000))
+    assert np.allclose(own.log10s([long, long[:70]]), [own._long(long) / math.log(10), own._long(long[:70]) / math.log(10)])
     words = ["the", "thing", "é", "日x", "▁", "a▁b", "☃☃", "erheed"]
     assert np.allclose(own.log10s(words), [math.log10(total("▁" + w)) for w in words])
 
@@ -445,11 +465,39 @@ def test_chat_format(spark):
     assert [got[1, t]["valid_arguments"] for t in (0, 1, 3, 4)] == [True, False, True, False]
     assert got[1, 2]["linked"] and got[1, 5]["linked"] is False and got[1, 3]["in_cycle"] and not got[2, 0]["in_cycle"] and got[None, None]["json"] == "{}"
     talk = chat_format.dialogue_turns(spark.createDataFrame([(1, 0, "user", " "), (1, 1, "assistant", None), (1, 2, "user", "hi"), (None, 3, "assistant", "x")], "conv_id long, turn long, role string, text string"))
-    out = chat_format.format_chat(talk, chat_format.DIALOGUE_SCHEMAS)
+    out = chat_format.format_chat(talk, chat_format.DIALOGUE_SCHEMAS, needs=True)
+    assert sorted((r["turn"], r["order_level"]) for r in out.where("conv_id = 1").collect()) == [(0, 0), (1, 0), (2, 1)]
     assert sorted((r["turn"], r["linked"], r["valid_arguments"]) for r in out.where("conv_id = 1").collect()) == [(0, None, False), (1, True, None), (2, None, True)]
     assert chat_format.format_chat(talk.where("false"), chat_format.DIALOGUE_SCHEMAS).count() == 0
 
 
+def test_call_order_of_chains_and_graphs(spark):
+    """Chains by doubling and graphs by levels, as a plain walk says; the null conversation and the empty one are two."""
+    rng = random.Random(6)
+    for most in (1, 3):
+        rows = []
+        for conv in ("a", "", None):
+            ids = [f"c{k}" for k in range(40)]
+            for k, i in enumerate(ids):
+                other = rng.sample(ids[: k + 1] if k % 9 else ids, min(most, k + 1)) if k % 7 else []
+                rows.append((conv, rng.randrange(50), "a", i, [x for x in other if x != i] + ["none"]))
+        frame = spark.createDataFrame([(c, t, r, "x", i, "f", "{}", None, n) for c, t, r, i, n in rows], "conv_id string, turn long, role string, text string, call_id string, name string, arguments string, result_of string, needs array<string>")
+        got = {(r["conv_id"], r["call_id"]): r for r in chat_format.format_chat(frame, {"f": {}}, needs=True).collect()}
+        assert len(got) == len(rows)
+        need = {(c, i): [(c, x) for x in n if x != "none"] for c, _, _, i, n in rows}
+        turn = {(c, i): t for c, t, _, i, _ in rows}
+
+        def place(k, above=()):
+            if k in above:
+                return None
+            below = [place(x, (*above, k)) for x in need[k]]
+            return None if None in below else (max([turn[k], *(t for t, _ in below)]), max([0, *(n + 1 for _, n in below)]))
+
+        for k, r in got.items():
+            want = place(k)
+            assert (r["order_turn"], r["order_level"], r["in_cycle"]) == ((*want, False) if want else (turn[k], 0, True))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(50, 51), (60, 60)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

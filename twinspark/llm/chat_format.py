@@ -37,23 +37,51 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict[str
 
 
 def call_order(calls: DataFrame) -> DataFrame:
-    """Topological places of calls (conv_id, call_id, call_turn, needs array of call ids).
+    """Topological places of calls (conv_id, call_id, call_turn, needs array of call ids), conv_id and call_id not null.
 
     Adds order_turn, the latest turn among a call and all it needs; level, the longest chain of
     needs below it; and in_cycle.  Ids that no call has are taken as met; calls of a cycle, and
-    those that need them, keep their own turn at level 0 and are marked.  One round of joins for
-    each level, each cut at the shared folder.
+    those that need them, keep their own turn at level 0 and are marked.
+
+    Where no call needs more than one other, each call's need is replaced by its need's need, and
+    so on, so that a chain of n calls takes log2(n) rounds; otherwise each level is a round.  A
+    round is a join on conversation and call, cut at the shared folder.
     """
     known = calls.select("conv_id", "call_id", "call_turn")
     needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
-    there = known.select(F.col("conv_id").alias("c"), F.col("call_id").alias("need_id"))
-    needs = cut_lineage(needs.join(there, needs["conv_id"].eqNullSafe(there["c"]) & (needs["need"] == there["need_id"])).select("conv_id", "call_id", "need"))
+    there = known.select("conv_id", F.col("call_id").alias("need"))
+    needs = cut_lineage(needs.join(there, ["conv_id", "need"], "left_semi").select("conv_id", "call_id", "need"))
+    most = needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return _by_doubling(known, needs) if most <= 1 else _by_levels(known, needs)
+
+
+def _by_doubling(known: DataFrame, needs: DataFrame) -> DataFrame:
+    """call_order where each call needs one other at most.
+
+    A row's `need` is the call `level` steps below it, and order_turn the latest turn so far; of a
+    chain's end `need` is null.  When a round ends no more chains, what is left never ends.
+    """
+    now = cut_lineage(known.join(needs, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "call_turn", "need", F.col("call_turn").alias("order_turn"), F.when(F.col("need").isNull(), 0).otherwise(1).cast("long").alias("level")))
+    left = now.where("need is not null").count()
+    while left:
+        below = now.select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("next"), F.col("order_turn").alias("t"), F.col("level").alias("l"))
+        joined = now.join(below, ["conv_id", "need"], "left")
+        now = cut_lineage(joined.select("conv_id", "call_id", "call_turn", F.col("next").alias("need"), F.greatest("order_turn", "t").alias("order_turn"), (F.col("level") + F.coalesce("l", F.lit(0))).alias("level")))
+        before, left = left, now.where("need is not null").count()
+        if left == before:
+            break
+    stuck = F.col("need").isNotNull()
+    return now.select("conv_id", "call_id", "call_turn", F.when(stuck, F.col("call_turn")).otherwise(F.col("order_turn")).alias("order_turn"), F.when(stuck, 0).otherwise(F.col("level")).cast("long").alias("level"), stuck.alias("in_cycle"))
+
+
+def _by_levels(known: DataFrame, needs: DataFrame) -> DataFrame:
+    """call_order in general."""
     waiting = known.join(needs.select("conv_id", "call_id").distinct().withColumn("waits", F.lit(True)), ["conv_id", "call_id"], "left")
     done = cut_lineage(waiting.where("waits is null").select("conv_id", "call_id", "call_turn", F.col("call_turn").alias("order_turn"), F.lit(0).cast("long").alias("level")))
     rest = cut_lineage(waiting.where("waits").drop("waits"))
     while True:
-        met = done.select(F.col("conv_id").alias("c"), F.col("call_id").alias("need"), F.col("order_turn").alias("t"), F.col("level").alias("l"))
-        state = needs.join(met, (needs["conv_id"] == met["c"]) & (needs["need"] == met["need"]), "left").groupBy("conv_id", "call_id").agg(F.bool_and(F.col("t").isNotNull()).alias("met"), F.max("t").alias("t"), (F.max("l") + 1).alias("level"))
+        met = done.select("conv_id", F.col("call_id").alias("need"), F.col("order_turn").alias("t"), F.col("level").alias("l"))
+        state = needs.join(met, ["conv_id", "need"], "left").groupBy("conv_id", "call_id").agg(F.bool_and(F.col("t").isNotNull()).alias("met"), F.max("t").alias("t"), (F.max("l") + 1).alias("level"))
         ready = cut_lineage(rest.join(state.where("met"), ["conv_id", "call_id"]).select("conv_id", "call_id", "call_turn", F.greatest("call_turn", "t").alias("order_turn"), "level"))
         if ready.isEmpty():
             break
@@ -86,9 +114,11 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict[str, dict]], needs: bo
     )
     if needs:
         calls = cut_lineage(calls)
-        placed = call_order(calls.select(F.coalesce(F.col("of_conv").cast("string"), F.lit("")).alias("conv_id"), F.col("of_call").alias("call_id"), "call_turn", "needs"))
-        placed = placed.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_call"), "order_turn", "level", "in_cycle")
-        calls = calls.join(placed, (F.coalesce(F.col("of_conv").cast("string"), F.lit("")) == F.col("p_conv")) & (F.col("of_call") == F.col("p_call"))).drop("p_conv", "p_call", "needs")
+        # A call without a turn is placed as one before all others; conversations are told apart from the null one.
+        conv = F.coalesce(F.concat(F.lit("="), F.col("of_conv").cast("string")), F.lit(""))
+        placed = call_order(calls.select(conv.alias("conv_id"), F.col("of_call").alias("call_id"), F.coalesce("call_turn", F.lit(-(1 << 62))).alias("call_turn"), "needs"))
+        placed = placed.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_call"), F.nullif("order_turn", F.lit(-(1 << 62))).alias("order_turn"), "level", "in_cycle")
+        calls = calls.join(placed, (conv == F.col("p_conv")) & (F.col("of_call") == F.col("p_call"))).drop("p_conv", "p_call", "needs")
     else:
         calls = calls.withColumns({"order_turn": F.col("call_turn"), "level": F.lit(0).cast("long"), "in_cycle": F.lit(False)})
     key = F.coalesce("call_id", "result_of")
@@ -127,7 +157,10 @@ DIALOGUE_SCHEMAS = {"reply": {"prompt": {"type": "string", "required": True}, "w
 
 
 def dialogue_turns(conversations: DataFrame) -> DataFrame:
-    """Plain dialogue as calls and results: a user's turn calls `reply`, the next assistant's turn answers it."""
+    """Plain dialogue as calls and results: a user's turn calls `reply`, the next assistant's turn answers it.
+
+    A call needs that of two turns before, if there is one: in a dialogue that takes turns, the one before it.
+    """
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), BLANKS + "+"), lambda w: w != ""))
     called, answers = F.col("role") == "user", F.col("role") == "assistant"
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
@@ -140,4 +173,5 @@ def dialogue_turns(conversations: DataFrame) -> DataFrame:
         F.when(called, F.lit("reply")).alias("name"),
         F.when(called, F.to_json(F.struct(F.col("text").alias("prompt"), words.alias("words")))).alias("arguments"),
         F.when(answers, F.concat(conv, F.lit(":"), (F.col("turn") - 1).cast("string"))).alias("result_of"),
+        F.when(called, F.array(F.concat(conv, F.lit(":"), (F.col("turn") - 2).cast("string")))).alias("needs"),
     )

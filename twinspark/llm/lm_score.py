@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -21,9 +22,8 @@ HEAD_WORDS = 1 << 17
 COUNT_WORDS = 300_000
 #: Words whose lattice value a worker keeps.
 CACHE_WORDS = 400_000
-#: A piece's pseudo-count is this share of the words, dealt by the vocabulary's own scores.
-PRIOR_SHARE = 1e-3
-EM_ROUNDS = 2
+#: Characters from which a word is scored on its own, with the last few places of the recursion only.
+LONG = 4096
 #: Edges that one vectorised recursion holds.
 CELLS = 1 << 18
 _LN10 = math.log(10)
@@ -32,9 +32,10 @@ _LN10 = math.log(10)
 class Lattice:
     """All segmentations of words into an existing vocabulary's pieces.
 
-    The vocabulary orders its pieces by score; a piece of rank r starts with the weight 1 / (r + 3),
-    Zipf's law for ranks.  Weights of `logs`, natural logarithms by piece id, replace them.  A
-    character is always also its UTF-8 bytes, so every word has a segmentation.
+    The vocabulary's scores weigh the pieces.  Scores of a byte-pair vocabulary are ranks, 0 and
+    down, so a piece of score s weighs 1 / (3 - s), Zipf's law for ranks, made to sum to 1; if a
+    score is no whole number they are log probabilities, and the weights are their exponentials.
+    A character is always also its UTF-8 bytes, so every word has a segmentation.
     """
 
     def __init__(self, path: str):
@@ -59,15 +60,11 @@ class Lattice:
             self.length[i] = len(piece)
         self.automaton.make_automaton()
         self.longest = int(self.length.max())
-        ranked = sorted(usual, key=lambda i: (-model.get_score(i), i))
+        scores = np.array([model.get_score(i) for i in usual])
         weight = np.zeros(self.size)
-        weight[ranked] = 1 / (np.arange(len(ranked)) + 3)
-        weight[self.byte_ids] = 1 / (len(ranked) + 3)
-        self.prior = weight / weight.sum()
-        self.use(np.log(np.maximum(self.prior, 1e-300)))
-
-    def use(self, logs: np.ndarray) -> None:
-        self.logs = np.asarray(logs, np.float64)
+        weight[usual] = 1 / (3 - scores) if (scores <= 0).all() and (scores == np.round(scores)).all() else np.exp(scores)
+        weight[self.byte_ids] = weight[usual].min()
+        self.logs = np.log(np.maximum(weight / weight.sum(), 1e-300))
         self.cache: dict[str, float] = {}
 
     def _chunks(self, words: list[str]) -> Iterator[np.ndarray]:
@@ -82,12 +79,11 @@ class Lattice:
             yield order[start:end]
             start = end
 
-    def _edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths of the marked words; log weight and id of the edge of each (word, end, length).
+    def _edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the marked words, and the log weight of the edge of each (word, end, length).
 
         One pass of the automaton over all words: no piece holds the mark after another character,
-        so none crosses from word to word.  Ids are -1 where there is no piece; a lone character
-        without one has its bytes' weight, and the id -2.
+        so none crosses from word to word.  A lone character without a piece has its bytes' weight.
         """
         text = MARK + MARK.join(words)
         sizes = np.array([len(w) + 1 for w in words], np.int64)
@@ -108,8 +104,7 @@ class Lattice:
         for c in np.unique(points):
             here = points == c
             weight[at[here], place[here] + 1, 1] = self.logs[self._bytes(c)].sum()
-        id_of[at, place + 1, 1] = -2
-        return sizes, weight, id_of, (at, place, points)
+        return sizes, weight
 
     def _bytes(self, point: int) -> list[int]:
         return [self.byte_ids[b] for b in chr(point).encode("utf-8", "surrogatepass")]
@@ -122,12 +117,36 @@ class Lattice:
             reach[:, p + longest] = _log_sum(reach[:, p : p + longest][:, ::-1] + weight[:, p, 1:])
         return reach[:, longest:]
 
+    def _long(self, word: str) -> float:
+        """The recursion's last value for one word, of which the last `longest` places are held."""
+        logs, size, longest = self.logs.tolist(), self.length.tolist(), self.longest
+        text = MARK + word
+        found = self.automaton.iter(text)
+        end, piece = next(found, (len(text), -1))
+        reach = deque([0.0], maxlen=longest)
+        for place, character in enumerate(text):
+            terms, alone = [], False
+            while end == place:
+                if size[piece] <= len(reach):
+                    terms.append(reach[-size[piece]] + logs[piece])
+                alone = alone or size[piece] == 1
+                end, piece = next(found, (len(text), -1))
+            if not alone:
+                terms.append(reach[-1] + sum(logs[b] for b in self._bytes(ord(character))))
+            top = max(terms)
+            reach.append(top if len(terms) == 1 else top + math.log(sum(math.exp(x - top) for x in terms)))
+        return reach[-1]
+
     def log10s(self, words: list[str]) -> np.ndarray:
         """Base-10 logarithms of words' probabilities, each summed over its segmentations."""
         out = np.zeros(len(words))
-        for part in self._chunks(words):
-            sizes, weight, _, _ = self._edges([words[k] for k in part])
+        usual = [k for k, w in enumerate(words) if len(w) < LONG]
+        for part in self._chunks([words[k] for k in usual]):
+            part = np.array(usual, np.int64)[part]
+            sizes, weight = self._edges([words[k] for k in part])
             out[part] = self._forward(weight)[np.arange(len(part)), sizes] / _LN10
+        for k in set(range(len(words))).difference(usual):
+            out[k] = self._long(words[k]) / _LN10
         return out
 
     def kept_log10s(self, words: list[str]) -> np.ndarray:
@@ -135,36 +154,11 @@ class Lattice:
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = words
-        self.cache.update(zip(new, self.log10s(new).tolist(), strict=True))
-        return np.fromiter(map(self.cache.__getitem__, words), np.float64, len(words))
-
-    def expect(self, words: list[str], counts: np.ndarray, into: np.ndarray) -> None:
-        """Add the expected uses of each piece in `counts` occurrences of the words."""
-        longest = self.longest
-        for part in self._chunks(words):
-            sizes, weight, id_of, (at, place, points) = self._edges([words[k] for k in part])
-            m, n = weight.shape[0], weight.shape[1] - 1
-            rows = np.arange(m)
-            reach = self._forward(weight)
-            whole = reach[rows, sizes]
-            back = np.full((m, n + 1 + longest), -np.inf)
-            back[rows, sizes] = 0.0
-            steps_on = np.arange(1, longest + 1)
-            padded = np.concatenate([weight, np.full((m, longest, longest + 1), -np.inf)], axis=1)
-            for s in range(n - 1, -1, -1):
-                now = _log_sum(back[:, s + 1 : s + 1 + longest] + padded[:, s + steps_on, steps_on])
-                back[:, s] = np.where(s == sizes, 0.0, np.where(s < sizes, now, -np.inf))
-            w, e, k = np.nonzero(np.isfinite(weight))
-            uses = np.exp(np.minimum(0.0, reach[w, e - k] + weight[w, e, k] + back[w, e] - whole[w])) * counts[part][w]
-            ids = id_of[w, e, k]
-            into += np.bincount(ids[ids >= 0], uses[ids >= 0], len(into))
-            if len(at):
-                by_place = np.zeros((m, n + 1))
-                by_place[w[ids == -2], e[ids == -2]] = uses[ids == -2]
-                for c in np.unique(points):
-                    here = points == c
-                    for i in self._bytes(c):
-                        into[i] += by_place[at[here], place[here] + 1].sum()
+        values = self.log10s(new)
+        here = dict(zip(new, values.tolist(), strict=True))
+        out = np.fromiter((here[w] if w in here else self.cache[w] for w in words), np.float64, len(words))
+        self.cache.update((w, v) for w, v in here.items() if len(w) < LONG)
+        return out
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -173,21 +167,6 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(top), top + np.log(np.exp(x - top[:, None]).sum(axis=1)), -np.inf)
 
 
-_loaded: dict[str, Lattice] = {}
-_using: dict[str, bytes] = {}
-
-
-def lattice(path: str, logs: bytes | None) -> Lattice:
-    """The worker's lattice with the weights `logs` (float64 bytes), kept from task to task."""
-    if path not in _loaded:
-        _loaded[path] = Lattice(path)
-    own = _loaded[path]
-    if _using.get(path) != (logs or b""):
-        own.use(np.frombuffer(logs) if logs else np.log(np.maximum(own.prior, 1e-300)))
-        _using[path] = logs or b""
-    return own
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): occurrences of each lower-cased word, counted in tasks before the shuffle."""
 
@@ -223,35 +202,6 @@ def common_words(words: DataFrame, most: int) -> dict[str, int]:
     return {} if least is None else {r["word"]: r["n"] for r in words.where(kind >= least).select("word", "n").collect()}
 
 
-def fit_lattice(words: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Log weights of pieces: the vocabulary's own, reweighted by their expected uses in `words`.
-
-    Each word counts once, however often it occurs: the lattice is there for words that are rare.
-
-    Each task sums over its words, and rows of one piece are added up: what comes to the driver
-    has a row for each piece of the vocabulary at most.
-    """
-    own = lattice(path, None)
-    total = words.count()
-    logs = None
-    for _ in range(rounds):
-        now = logs.tobytes() if logs is not None else None
-
-        def expect(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            mine = lattice(path, now)
-            into = np.zeros(mine.size)
-            for batch in batches:
-                mine.expect(batch.column("word").to_pylist(), np.ones(batch.num_rows), into)
-            used = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(into[used])], names=["piece", "uses"])
-
-        counts = own.prior * max(1.0, PRIOR_SHARE * total)
-        for piece, uses in words.mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses")).collect():
-            counts[piece] += uses
-        logs = np.log(np.maximum(counts / counts.sum(), 1e-300))
-    return logs if logs is not None else np.log(np.maximum(own.prior, 1e-300))
-
-
 def score_documents(docs: DataFrame, learns: Column, path: str, text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
     """Score every row under the lattice model and a word-count base, both fit where `learns` holds.
 
@@ -263,8 +213,7 @@ def score_documents(docs: DataFrame, learns: Column, path: str, text: str = "tex
 
     Returns a row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     Null texts count as empty: one end token.  Repeated rows are scored, and counted, as often as
-    they occur; a null `learns` holds a row out.  If no row is learned from, every count is zero
-    and pieces keep the vocabulary's weights.
+    they occur; a null `learns` holds a row out.  If no row is learned from, every count is zero.
 
     Counts cover all rows.  The commonest `head_words` words are sent to the tasks; for the rest
     each row's words meet their counts in a join, so nothing that grows with the corpus passes
@@ -278,9 +227,8 @@ def score_documents(docs: DataFrame, learns: Column, path: str, text: str = "tex
     tokens, distinct = seen + ends, distinct + (ends > 0)
     discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
     back_off = min(0.5, discount * distinct / tokens) if distinct else 0.5
-    logs = fit_lattice(words, path).tobytes()
     head = common_words(words, head_words)
-    known = docs.sparkSession.sparkContext.broadcast((head, logs))
+    known = docs.sparkSession.sparkContext.broadcast(head)
     whole = len(head) == distinct - (ends > 0)  # no other words are known
     unit = math.log10(tokens + distinct + 1)
     end_base = math.log10(ends + 1)
@@ -289,8 +237,7 @@ def score_documents(docs: DataFrame, learns: Column, path: str, text: str = "tex
     fields = "doc_id long, held_out boolean, row long, word string, k long, n_tokens long, n_known long, base double, score double"
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, weights = known.value
-        own = lattice(path, weights)
+        counts, own = known.value, Lattice(path)
         for batch in steps(batches, text):
             offsets, codes, distinct_words = split_words(pc.ascii_lower(texts_of(batch, text)))
             names = distinct_words.to_pylist()

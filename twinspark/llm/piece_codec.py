@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from twinspark.llm.shared import steps, texts_of
 
 MARK = "▁"
+#: Characters from which a chunk is not kept.
+LONG = 4096
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -75,19 +78,31 @@ class PieceCodec:
         self.most = most
 
     def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
-        """The parts left when the best pair is merged again and again, and the last pair merged."""
-        parts, last = list(text), None
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = self.score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                break
-            last = (parts[at], parts[at + 1])
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts, last
+        """The parts left when the best pair is merged again and again, the first of equals, and the last pair merged."""
+        n, parts, last = len(text), list(text), None
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        score, heap = self.score.get, []
+        for k in range(n - 1):
+            s = score(parts[k] + parts[k + 1])
+            if s is not None:
+                heap.append((-s, k, 2))
+        heapify(heap)
+        while heap:
+            _, k, size = heappop(heap)
+            m = after[k]
+            if parts[k] is None or m >= n or len(parts[k]) + len(parts[m]) != size:
+                continue  # one of the two has been merged since
+            last = (parts[k], parts[m])
+            parts[k], parts[m] = parts[k] + parts[m], None
+            after[k] = after[m]
+            if after[k] < n:
+                before[after[k]] = k
+            for i in (before[k], k):
+                if i >= 0 and after[i] < n:
+                    s = score(parts[i] + parts[after[i]])
+                    if s is not None:
+                        heappush(heap, (-s, i, len(parts[i]) + len(parts[after[i]])))
+        return [p for p in parts if p is not None], last
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         parts, last = self._merged(piece)
@@ -151,7 +166,9 @@ class PieceCodec:
             if len(self.chunks) > self.most:
                 self.chunks.clear()
             ids = self._ids_of_chunk(chunk)
-            found = self.chunks[chunk] = (",".join(map(str, ids)), len(ids), self._text(ids))
+            found = (",".join(map(str, ids)), len(ids), self._text(ids))
+            if len(chunk) < LONG:
+                self.chunks[chunk] = found
         return found
 
     def encode(self, text: str) -> list[int]:

@@ -11,8 +11,8 @@ from twinspark.llm.shared import read_table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain dialogue of `conversations` as calls (a user's turn) and results (the next assistant's)."""
-    return chat_format.format_chat(chat_format.dialogue_turns(read_table(spark, sf_dir, "conversations")), chat_format.DIALOGUE_SCHEMAS).drop("in_cycle")
+    """The plain dialogue of `conversations` as calls (a user's turn, which needs the one before) and results (the next assistant's)."""
+    return chat_format.format_chat(chat_format.dialogue_turns(read_table(spark, sf_dir, "conversations")), chat_format.DIALOGUE_SCHEMAS, needs=True).drop("in_cycle")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +82,14 @@ ORACLE_SQL = {
                    CASE WHEN role = 'assistant' THEN coalesce(conv_id::VARCHAR, '') || ':' || (turn - 1)::VARCHAR END AS result_of,
                    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
             FROM conversations),
-        c AS (SELECT conv_id AS of_conv, call_id AS of_call, min(turn) AS call_turn, count(*) AS n FROM t WHERE call_id IS NOT NULL GROUP BY ALL)
+        c AS (SELECT conv_id AS of_conv, call_id AS of_call, min(turn) AS call_turn, count(*) AS n FROM t WHERE call_id IS NOT NULL GROUP BY ALL),
+        g AS (SELECT *, call_turn - 2 * row_number() OVER (PARTITION BY of_conv, call_turn & 1 ORDER BY call_turn) AS chain FROM c),
+        v AS (SELECT of_conv AS v_conv, of_call AS v_call, row_number() OVER (PARTITION BY of_conv, call_turn & 1, chain ORDER BY call_turn) - 1 AS level FROM g)
         SELECT t.conv_id, t.turn, t.role, t.call_id, t.result_of,
                CASE WHEN t.call_id IS NULL AND t.result_of IS NOT NULL THEN c.of_call IS NOT NULL END AS linked,
                c.call_turn, coalesce(c.n, 0) AS same_id_calls,
                CASE WHEN t.call_id IS NOT NULL THEN t.text IS NOT NULL AND t.words >= 1 END AS valid_arguments,
-               coalesce(c.call_turn, t.turn) AS order_turn, 0::BIGINT AS order_level,
+               coalesce(c.call_turn, t.turn) AS order_turn, coalesce(v.level, 0)::BIGINT AS order_level,
                CASE WHEN t.result_of IS NOT NULL AND c.of_call IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS order_step,
                '{' || array_to_string(list_filter([
                    '"content":' || to_json(t.text)::VARCHAR,
@@ -97,6 +99,7 @@ ORACLE_SQL = {
                        || '"words":' || t.words || '},"id":' || to_json(t.call_id)::VARCHAR || ',"name":"reply"}]' END,
                    '"turn":' || t.turn], lambda x: x IS NOT NULL), ',') || '}' AS json
         FROM t LEFT JOIN c ON t.conv_id IS NOT DISTINCT FROM c.of_conv AND coalesce(t.call_id, t.result_of) = c.of_call
+        LEFT JOIN v ON c.of_conv IS NOT DISTINCT FROM v.v_conv AND c.of_call = v.v_call
     """,
     "op5_exact_dedup": r"""
         WITH d AS (
