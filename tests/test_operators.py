@@ -219,3 +219,87 @@ def test_line_diff_pairs_long_texts_too(spark):
     left, right = ([r["rel_path"] for r in base if r["repo"] == repo] for repo in ("r0", "r1"))
     assert docs.count() == len(base)
     assert queries.QUERIES["line_diff"](spark, "/root/testdata/sf0.01").count() == sum(left.count(p) * right.count(p) for p in set(left))
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def made_up(found, a, b):
+    left = right = b""
+    for s in found:
+        x, y = a[s["a_start"] : s["a_end"]], b[s["b_start"] : s["b_end"]]
+        assert (x == y) == (s["kind"] == "equal")
+        left, right = left + x, right + y
+    return left == a and right == b
+
+
+def test_alignment_is_longest_and_anchored(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(40):
+        a, b = (bytes(rng.choice(b"abc") for _ in range(rng.randrange(60))) for _ in range(2))
+        found, degraded = align.aligned(a, b)
+        assert made_up(found, a, b) and not degraded
+        assert sum(s["a_end"] - s["a_start"] for s in found if s["kind"] == "equal") == lcs(a, b)
+    long = bytes(rng.randrange(256) for _ in range(9000))
+    found, degraded = align.aligned(long, b"x" + long)
+    assert made_up(found, long, b"x" + long) and not degraded and len(found) == 2
+    other = long[:3000] + b"between" + long[3500:8000] + b"end"
+    found, degraded = align.aligned(long, other)
+    assert made_up(found, long, other) and not degraded and sum(s["a_end"] - s["a_start"] for s in found if s["kind"] == "equal") >= 7500
+    noise = bytes(rng.randrange(256) for _ in range(9000))
+    found, degraded = align.aligned(long, noise)
+    assert made_up(found, long, noise) and degraded
+
+
+def test_hex_rows(spark):
+    pairs = spark.createDataFrame([("abcdefghijklmnopqr", "abcXefghijklmnopq")], "a string, b string")
+    rows = align.hex_rows(align.byte_alignment(pairs)).first()["rows"]
+    assert [r["kinds"] for r in rows] == ["===!============", "=-"] and rows[0]["b_hex"].split()[3] == "58" and rows[1]["a_hex"] == "71 72"
+
+
+def test_registry_rules(spark):
+    from twinspark.operators import registry
+    from twinspark.sources import catalogue as source
+
+    repos, groups = source.repositories(spark), source.sync_groups(spark)
+    for edit in (
+        lambda: registry.create_repo(repos, "r0", "/x"),
+        lambda: registry.rename_repo(repos, groups, "r1", "other"),
+        lambda: registry.remove_repo(repos, groups, "m0"),
+        lambda: registry.create_group(groups, "g", "r3"),
+        lambda: registry.add_sink(groups, "g", "r1", "Mirror"),
+        lambda: registry.add_sink(groups, "g", "r3", "Other"),
+        lambda: registry.remove_sink(groups, "g", "r0"),
+        lambda: registry.set_main(groups, "none", "r1"),
+    ):
+        with pytest.raises(registry.Refused):
+            edit()
+    main = registry.members(registry.set_main(groups, "g", "r1")).collect()
+    assert ("g", "r0", "AddOnly") in [tuple(r) for r in main] and ("g", "r1", "main") in [tuple(r) for r in main]
+    assert registry.delete_group(groups, "g").count() == 0
+
+
+def test_blank_purges_match_nothing(spark):
+    f = table(spark, entry("r0", "a"), entry("r0", "b", missing=True))
+    assert catalogue.purge(f, " ").count() == catalogue.purge(f, None).count() == 0 and catalogue.purge(f, "size:>0").count() == 1
+
+
+def test_wallets_in_either_byte_order(spark):
+    rows = [("x" * 12 + "b1\x05\x00",), ("x" * 12 + "\x00\x051b",), ("x" * 11 + "b1\x05\x00",)]
+    frame = spark.createDataFrame(rows, "content string").select(scalars.sensitive(F.lit("a.bin"), F.lit(None).cast("string"), F.octet_length("content").cast("long"), F.col("content")).alias("c"))
+    assert [r["c"] for r in frame.collect()] == ["Wallet", "Wallet", None]
+
+
+def test_exports_take_free_numbers(spark):
+    from twinspark.operators import views
+
+    f = table(spark, entry("r0", "a/x.txt", 1, "1"), entry("r0", "b/x.txt", 2, "2"), entry("r1", "x.txt", 1, "1"), entry("r1", "c/x.txt", 3, "3"), entry("r1", "d/x.txt", 4, "4"))
+    there = spark.createDataFrame([("1970/01/x (2).txt", 4, "4"), ("1970/01/x.txt", 9, "9")], "path string, size long, hash string")
+    got = {(r["repo"], r["rel_path"]): (r["action"], r["path"]) for r in views.exported_by_date(f, there).collect()}
+    assert got == {("r0", "a/x.txt"): ("copy", "1970/01/x (3).txt"), ("r0", "b/x.txt"): ("copy", "1970/01/x (4).txt"), ("r1", "x.txt"): ("skip", None), ("r1", "c/x.txt"): ("copy", "1970/01/x (5).txt"), ("r1", "d/x.txt"): ("skip", None)}

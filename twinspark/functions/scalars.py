@@ -85,36 +85,138 @@ KEY_HEADERS = ("BEGIN OPENSSH PRIVATE KEY", "BEGIN RSA PRIVATE KEY", "BEGIN EC P
 PROBE_BYTES, SEED_BYTES, JSON_BYTES = 1 << 20, 16 << 10, 256 << 10
 
 
-def sensitive(path: Column, mime: Column, size: Column, content: Column, seed_words: tuple[str, ...] = ()) -> Column:
-    """Category of a file that should not lie about: Wallet, Vault, Key, Financial or Identity; else null.
+def flagged(path: Column, mime: Column, size: Column, content: Column, seed_words: tuple[str, ...] = ()) -> Column:
+    """{category, reason} of a file that should not lie about: Wallet, Vault, Key, Financial or Identity; else null.
 
     Rules by name come first; contents of small files other than media are probed after them.
+    `seed_words` are the words of a wallet's recovery phrase, of which twelve in a row make one.
     """
     lower = F.lower(F.regexp_replace(path, r"\\", "/"))
     name = F.element_at(F.split(lower, "/"), -1)
     stem = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), r"[^\p{L}\p{N}]")
     marked = lambda words: F.arrays_overlap(stem, F.array(*[F.lit(w) for w in words]))
     in_ssh = name.isin("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519") | lower.rlike(r"(^|/)\.ssh/")
-    keyed = name.rlike(r"\.(pem|p12|pfx|gpg)$") | (name.endswith(".key") & ~F.coalesce(mime == "application/zip", F.lit(False)))
     small = (size <= PROBE_BYTES) & ~F.coalesce(mime.rlike("^(image|video|audio)/"), F.lit(False))
-    head = F.substring(content, 1, 200)
-    header = F.lit(False)
-    for h in KEY_HEADERS:
-        header = header | head.contains(h)
+    headed = lambda h: content.contains(h) & (F.octet_length(F.substring_index(content, h, 1)) + len(h) <= 200)
     store = content.contains('"cipher"') & content.contains('"kdfparams"') & (content.contains('"crypto"') | content.contains('"Crypto"'))
     electrum = content.contains('"seed_version"') | (content.contains('"wallet_type"') & content.contains('"keystore"'))
-    out = F.when((name == "wallet.dat") | name.endswith(".wallet"), "Wallet")
-    out = out.when(name.rlike(r"\.(kdbx|kdb|1pif)$"), "Vault")
-    out = out.when(lower.rlike(r"(^|/)\.gnupg/"), "Key").when(in_ssh & ~name.endswith(".pub"), "Key").when(keyed, "Key")
-    out = out.when(marked(FINANCIAL), "Financial").when(marked(IDENTITY), "Identity")
-    out = out.when(small & (F.substring(content, 13, 4) == "\x00\x051b"), "Wallet")
-    out = out.when(small & header, "Key").when(small & (size <= JSON_BYTES) & (store | electrum), "Wallet")
+    magic = F.hex(F.substring(F.encode(content, "utf-8"), 13, 4)).isin("00053162", "62310500")  # either byte order
+    #: The reasons, in the order of the rules.
+    rules = [
+        (name == "wallet.dat", "Wallet", "filename matches wallet.dat"),
+        (name.endswith(".wallet"), "Wallet", "wallet file extension"),
+        (name.rlike(r"\.(kdbx|kdb)$"), "Vault", "KeePass database"),
+        (name.endswith(".1pif"), "Vault", "1Password export"),
+        (lower.rlike(r"(^|/)\.gnupg/"), "Key", "GnuPG keyring path"),
+        (in_ssh & ~name.endswith(".pub"), "Key", "SSH key material"),
+        *[(name.endswith(x), "Key", f"key/cert file ({x})") for x in (".pem", ".p12", ".pfx", ".gpg")],
+        (name.endswith(".key") & ~F.coalesce(mime == "application/zip", F.lit(False)), "Key", "key/cert file (.key)"),
+        (marked(FINANCIAL), "Financial", "financial-document filename keyword"),
+        (marked(IDENTITY), "Identity", "vital-record filename keyword"),
+        (small & magic, "Wallet", "Berkeley DB (wallet.dat family)"),
+        *[(small & headed(h), "Key", f"private key header ({h})") for h in KEY_HEADERS],
+        (small & (size <= JSON_BYTES) & store, "Wallet", "Ethereum keystore JSON (crypto/cipher/kdfparams)"),
+        (small & (size <= JSON_BYTES) & electrum, "Wallet", "Electrum wallet JSON"),
+    ]
     if seed_words:
         known = F.array(*[F.lit(w) for w in seed_words])
-        run = F.aggregate(
-            F.split(F.lower(content), r"[^\p{L}]+"),
-            F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-            lambda s, w: F.struct(F.when(F.array_contains(known, w), s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(F.array_contains(known, w), s["now"] + 1).otherwise(0)).alias("most")),
-        )
-        out = out.when(small & (size <= SEED_BYTES) & (run["most"] >= 12), "Wallet")
+        words = F.filter(F.split(F.lower(content), "[^a-z]+"), lambda w: w != "")
+        count = lambda s, w: F.when(F.array_contains(known, w), s["now"] + 1).otherwise(0)
+        run = F.aggregate(words, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, w: F.struct(count(s, w).alias("now"), F.greatest(s["most"], count(s, w)).alias("most")))
+        rules.append((small & (size <= SEED_BYTES) & (run["most"] >= 12), "Wallet", "contains a BIP-39 seed phrase (12+ wordlist words)"))
+    flag = lambda category, reason: F.struct(F.lit(category).alias("category"), F.lit(reason).alias("reason"))
+    out = F.when(rules[0][0], flag(*rules[0][1:]))
+    for condition, category, reason in rules[1:]:
+        out = out.when(condition, flag(category, reason))
     return out
+
+
+def sensitive(path: Column, mime: Column, size: Column, content: Column, seed_words: tuple[str, ...] = ()) -> Column:
+    """The category of flagged()."""
+    return flagged(path, mime, size, content, seed_words)["category"]
+
+
+def human_size(size: Column) -> Column:
+    """Bytes with two decimals, halves to even, of the largest unit of 1024 that they reach."""
+    out = F.when(size < 1 << 10, F.concat(size.cast("string"), F.lit(" B")))
+    for power, unit in ((2, "KB"), (3, "MB"), (4, "GB")):
+        out = out.when(size < 1 << 10 * power, F.format_string(f"%.2f {unit}", F.bround(size / (1 << 10 * (power - 1)), 2)))
+    return out.otherwise(F.format_string("%.2f TB", F.bround(size / (1 << 40), 2)))
+
+
+def age_in_words(ms: Column, now_ms: Column) -> Column:
+    """How long ago a scan was; 0 is never, and what lies ahead is now."""
+    seconds = F.floor(F.greatest(now_ms - ms, F.lit(0)) / 1000)
+    some = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    out = F.when(ms == 0, "never").when(seconds < 60, "just now").when(seconds < 3600, some(F.floor(seconds / 60), "minute"))
+    return out.when(seconds < 86400, some(F.floor(seconds / 3600), "hour")).otherwise(some(F.floor(seconds / 86400), "day"))
+
+
+def stays_within(path: Column) -> Column:
+    """Whether a relative path cannot leave its root: not absolute, and no step up."""
+    return ~path.startswith("/") & ~F.exists(F.split(path, "/"), lambda s: s == "..")
+
+
+def member_path(name: Column) -> Column:
+    """An archive member's name as a path below the target: ordinary parts only; null if none is left."""
+    parts = F.filter(F.split(F.regexp_replace(name, r"\\", "/"), "/"), lambda s: ~s.isin("", ".", ".."))
+    return F.nullif(F.array_join(parts, "/"), F.lit(""))
+
+
+def is_playlist(mime: Column) -> Column:
+    return F.coalesce(mime.isin("audio/x-mpegurl", "audio/mpegurl", "application/x-mpegurl", "application/vnd.apple.mpegurl", "audio/x-scpls"), F.lit(False))
+
+
+def is_audio(mime: Column) -> Column:
+    return F.coalesce(mime.startswith("audio/"), F.lit(False)) & ~is_playlist(mime)
+
+
+#: MIME types of office documents, magic numbers and name endings.
+OFFICE = (
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "application/vnd.oasis.opendocument.text",
+    "application/vnd.oasis.opendocument.spreadsheet",
+    "application/vnd.oasis.opendocument.presentation",
+    "application/vnd.ms-excel",
+)
+MAGIC = (("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("25504446", "application/pdf"), ("504B0304", "application/zip"), ("1F8B", "application/gzip"), ("494433", "audio/mpeg"), ("664C6143", "audio/x-flac"), ("4F676753", "audio/ogg"))
+ENDINGS = (("txt", "text/plain"), ("md", "text/markdown"), ("csv", "text/csv"), ("eml", "message/rfc822"), ("html", "text/html"), ("json", "application/json"), ("pdf", "application/pdf"), ("png", "image/png"), ("jpg", "image/jpeg"), ("m4a", "audio/m4a"), ("m4b", "audio/m4b"), ("mp3", "audio/mpeg"), ("mp4", "video/mp4"))
+
+
+def is_office(mime: Column) -> Column:
+    return F.coalesce(mime.isin(*OFFICE), F.lit(False))
+
+
+def is_extractable(mime: Column) -> Column:
+    """Whether text can be taken out of it."""
+    return is_office(mime) | F.coalesce(mime.isin("application/pdf", "message/rfc822"), F.lit(False))
+
+
+def detected_mime(path: Column, content: Column) -> Column:
+    """MIME type by magic number, then by the name's ending; an MP4 container that is named as audio is audio."""
+    head = F.hex(F.substring(content.cast("binary"), 1, 16))
+    ending = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    named = F.lit(None).cast("string")
+    for end, mime in ENDINGS:
+        named = F.when(ending == end, mime).otherwise(named)
+    out = F.when(F.substring(head, 9, 8) == "66747970", F.when(named.startswith("audio/"), named).otherwise("video/mp4"))
+    for magic, mime in MAGIC:
+        out = out.when(head.startswith(magic), mime)
+    return out.otherwise(named)
+
+
+def email_identity(message: Column) -> Column:
+    """Identity of a mail: its Message-ID, or else its subject and body; null if it has neither."""
+    parts = F.split(F.regexp_replace(message, "\r\n?", "\n"), "\n\n", 2)
+    header = F.regexp_replace(parts[0], "\n[ \t]+", " ")
+    field = lambda name: F.nullif(F.trim(F.regexp_extract(header, rf"(?im)^{name}:(.*)$", 1)), F.lit(""))
+    number = F.regexp_replace(field("message-id"), "^<|>$", "")
+    body = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+    return text_hash(F.coalesce(F.concat(F.lit("message-id:"), number), F.concat(F.coalesce(field("subject"), F.lit("")), F.lit("\n"), body)))
+
+
+def words_seed(words: Column) -> Column:
+    """Digest of an array of print words; null for none."""
+    return F.when(F.size(words) > 0, F.sha2(F.array_join(F.transform(words, lambda w: w.cast("string")), ","), 256))

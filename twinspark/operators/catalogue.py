@@ -123,8 +123,25 @@ def parents(files: DataFrame) -> DataFrame:
 
 
 def preview(rows: DataFrame, limit: int) -> DataFrame:
-    """The first paths, and how many there are in all."""
-    return rows.select(*PATH, "size").orderBy(*PATH).limit(limit).withColumn("total", F.lit(rows.count()).cast("long"))
+    """The first paths, and how many there are in all; one row with the number is joined to them."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.select(*PATH, "size").orderBy(*PATH).limit(limit).crossJoin(F.broadcast(total))
+
+
+def purge(files: DataFrame, expression: str | None, annotations: DataFrame | None = None, accepted: DataFrame | None = None) -> DataFrame:
+    """Live files that a filter matches; a blank filter, which elsewhere lets all through, matches none here."""
+    from twinspark.functions.filters import matching
+
+    return matching(files, expression, annotations, accepted) if (expression or "").strip() else files.where("false")
+
+
+def refreshed(files: DataFrame, entry: DataFrame) -> DataFrame:
+    """`files` with one walked file (repo, rel_path, size, hash, modified_ms, mime) taken anew; where it came from stays known."""
+    new = [c for c in ("size", "hash", "modified_ms", "mime") if c in entry.columns]
+    own = entry.select("repo", "rel_path", *[F.col(c).alias(f"_{c}") for c in new], F.lit(True).alias("_seen"))
+    out = files.join(F.broadcast(own), ["repo", "rel_path"], "left")
+    changed = {c: F.when(F.col("_seen"), F.col(f"_{c}")).otherwise(F.col(c)) for c in new}
+    return out.withColumns(changed | {"missing": F.when(F.col("_seen"), F.lit(False)).otherwise(F.col("missing"))}).select(*files.columns)
 
 
 def listing(files: DataFrame, repo: str, prefix: str) -> DataFrame:

@@ -21,10 +21,14 @@ def of(files: DataFrame, *repos: str) -> DataFrame:
     return files.where(F.col("repo").isin(*repos))
 
 
-def classified(source: DataFrame, references: DataFrame) -> DataFrame:
-    """Live source files: New, Equal with the first reference's path, or DeletedInReference."""
+def classified(source: DataFrame, references: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Live source files: New, Equal with the first reference's path, or DeletedInReference.
+
+    References come first as `order` names them, or else by repo_ord.
+    """
+    turn = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("repo")) if order else F.col("repo_ord")
     known = references.groupBy(*KEY).agg(
-        F.bool_or(~F.col("missing")).alias("present"), F.min(F.when(~F.col("missing"), F.struct("repo_ord", "rel_path"))).alias("first")
+        F.bool_or(~F.col("missing")).alias("present"), F.min(F.when(~F.col("missing"), F.struct(turn.alias("turn"), "rel_path"))).alias("first")
     )
     relation = F.when(F.col("present").isNull(), "New").when(F.col("present"), "Equal").otherwise("DeletedInReference")
     return live(source).join(known, KEY, "left").select("repo", "rel_path", *KEY, relation.alias("relation"), F.col("first.rel_path").alias("reference_path"))
@@ -69,7 +73,8 @@ def overview(files: DataFrame, reference: str) -> DataFrame:
     held = ref.select(*KEY).distinct().withColumn("held", F.lit(True))
     own = live_files.where(F.col("repo") != reference).join(held, KEY, "left").groupBy("repo").agg(F.count_if(F.col("held").isNull()).alias("unique_files"), F.count_if(F.col("held")).alias("shared_files"))
     has = live_files.where(F.col("repo") != reference).select("repo", *KEY).distinct().join(ref.groupBy(*KEY).agg(F.count("*").alias("n")), KEY).groupBy("repo").agg(F.sum("n").alias("covered"))
-    return own.join(has, "repo", "left").select("repo", "unique_files", "shared_files", (F.lit(ref.count()) - F.coalesce("covered", F.lit(0))).cast("long").alias("missing_files"))
+    total = F.broadcast(ref.agg(F.count("*").alias("total")))  # one row
+    return own.join(has, "repo", "left").crossJoin(total).select("repo", "unique_files", "shared_files", (F.col("total") - F.coalesce("covered", F.lit(0))).cast("long").alias("missing_files"))
 
 
 def sync_back(sink: DataFrame, main: DataFrame) -> DataFrame:

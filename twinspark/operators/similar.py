@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +61,30 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
     return nodes.join(grouped, "leader", "left_semi").select(F.col("v").alias("member"), "leader")
 
 
+def find_similar(images: DataFrame, documents: DataFrame, bits: int, threshold: float) -> DataFrame:
+    """(kind, member, leader): groups of alike images (id, bands), by greedy leaders, and of documents (id, identity) of one identity.
+
+    A threshold says nothing about documents.  Files that are like no other are in no group.
+    """
+    pairs = banded_pairs(images, bits, threshold, "id").select("a", "b")
+    alike = greedy_groups(pairs).select(F.lit("image").alias("kind"), "member", "leader")
+    first = documents.groupBy("identity").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    return alike.unionByName(documents.join(first, "identity").select(F.lit("document").alias("kind"), F.col("id").alias("member"), "leader"))
+
+
+def checkpoint_folder(named: str | None, master: str) -> str:
+    """The folder that spark.checkpoint.dir names; without one, a folder of this machine, if all tasks run here."""
+    if named:
+        return named
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="twinspark-")
+
+
 def _cut(df: DataFrame):
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="twinspark-"))
+        context.setCheckpointDir(checkpoint_folder(context.getConf().get("spark.checkpoint.dir"), context.master))
     return lambda x: x.checkpoint(eager=True)
 
 

@@ -104,8 +104,8 @@ query(
 # The catalogue
 query("repo_stats", "SELECT repo, count(*) FILTER (NOT missing) AS files, coalesce(sum(size) FILTER (NOT missing), 0)::BIGINT AS bytes, count(*) FILTER (missing) AS missing_files FROM files GROUP BY repo")(_only(catalogue.stats))
 query("mime_histogram", "SELECT repo, mime, count(*) AS files FROM live WHERE mime IS NOT NULL GROUP BY repo, mime")(_only(catalogue.mime_histogram))
-query("top_mimes", "SELECT repo, mime, files FROM (SELECT repo, mime, count(*) AS files, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, mime) AS r FROM live WHERE mime IS NOT NULL GROUP BY repo, mime) WHERE r <= 2")(
-    lambda spark, d: catalogue.mime_histogram(source.files(spark, d)).withColumn("r", F.expr("row_number() OVER (PARTITION BY repo ORDER BY files DESC, mime)")).where("r <= 2").drop("r")
+query("top_mimes", "SELECT repo, mime, files FROM (SELECT repo, mime, count(*) AS files, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, mime) AS r FROM live WHERE mime IS NOT NULL GROUP BY repo, mime) WHERE r <= 8")(
+    lambda spark, d: catalogue.mime_histogram(source.files(spark, d)).withColumn("r", F.expr("row_number() OVER (PARTITION BY repo ORDER BY files DESC, mime)")).where("r <= 8").drop("r")
 )
 query(
     "mime_share",

@@ -93,3 +93,31 @@ def sign_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 def durations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select(F.expr("conv_id * 1000 + turn").alias("id"), (F.octet_length("text").cast("long") * 37).alias("ms"))
+
+
+def roots(spark: SparkSession, folder: str) -> DataFrame:
+    """Where repositories lie; m0 overlaps r0."""
+    return spark.createDataFrame([("r0", "/vol/a"), ("r1", "/vol/b"), ("r2", "/vol/c"), ("r3", "/vol/d"), ("m0", "/vol/a")], "repo string, root string")
+
+
+def repositories(spark: SparkSession) -> DataFrame:
+    rows = [("r0", "/vol/a", False, 0), ("r1", "/vol/b", False, 1514764800000), ("r2", "/vol/c", True, 1514761200000), ("r3", "/vol/d", False, 1514764790000), ("m0", "/vol/a", False, 1514592000000)]
+    return spark.createDataFrame(rows, "repo string, abs_path string, remote boolean, last_scan_ms long")
+
+
+def scanned_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files with their contents, some under names, or with contents, that the classifier looks for."""
+    b = base(spark, folder)
+    path = F.expr("""CASE doc_id % 23 WHEN 1 THEN concat('w/', doc_id, '/wallet.dat') WHEN 2 THEN concat('v/pass', doc_id, '.kdbx') WHEN 3 THEN concat('.gnupg/ring', doc_id) WHEN 4 THEN concat('h', doc_id, '/.ssh/id_rsa')
+        WHEN 5 THEN concat('c/cert', doc_id, '.pem') WHEN 6 THEN concat('f/Rechnung-', doc_id, '.txt') WHEN 7 THEN concat('p/my passport ', doc_id, '.jpg') WHEN 8 THEN concat('h', doc_id, '/.ssh/id_rsa.pub') ELSE rel_path END""")
+    content = F.expr("""CASE doc_id % 19 WHEN 1 THEN concat('-----BEGIN EC PRIVATE KEY-----', content) WHEN 2 THEN concat('{"cipher":1,"kdfparams":2,"Crypto":3}', content) WHEN 3 THEN concat('{"seed_version":4}', content)
+        WHEN 4 THEN concat(repeat('abandon ability ', 6), content) WHEN 5 THEN concat(repeat('abandon ability ', 5), content) WHEN 6 THEN concat('twelve bytes', 'b1', chr(5), chr(0), content) ELSE content END""")
+    return b.withColumns({"rel_path": path, "content": content}).withColumn("size", F.octet_length("content").cast("long"))
+
+
+def prints_512(spark: SparkSession, folder: str) -> DataFrame:
+    """512-bit prints of the embeddings, eight bits for each value, as 32 words of 16 bits in `bands`."""
+    levels = [-0.15, -0.1, -0.05, 0.0, 0.05, 0.1, 0.15, 0.2]
+    eight = lambda x: sum((F.when(x > level, 1 << k).otherwise(0) for k, level in enumerate(levels)), F.lit(0))
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", eight).alias("v"))
+    return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda w: F.get("v", 2 * w) + F.get("v", 2 * w + 1) * 256).alias("bands"))

@@ -39,14 +39,15 @@ def rates(progress: DataFrame) -> DataFrame:
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, rate = state.get if state.exists else (None, 0.0)
         out = []
-        for frame in frames:
-            for ms, n in sorted(zip(frame["ms"], frame["bytes"], strict=True)):
-                if last is not None and ms > last:
-                    seconds = (ms - last) / 1000
-                    weight = 1 - 2.718281828459045 ** (-seconds / TAU)
-                    rate = rate + weight * (n / seconds - rate)
-                last = ms if last is None else max(last, ms)
-                out.append((key[0], int(ms), float(rate)))
+        # A micro-batch's rows of one operation come in several frames: they are put in order together.
+        rows = sorted(x for frame in frames for x in zip(frame["ms"].tolist(), frame["bytes"].tolist(), strict=True))
+        for ms, n in rows:
+            if last is not None and ms > last:
+                seconds = (ms - last) / 1000
+                weight = 1 - 2.718281828459045 ** (-seconds / TAU)
+                rate = rate + weight * (n / seconds - rate)
+            last = ms if last is None else max(last, ms)
+            out.append((key[0], int(ms), float(rate)))
         if last is not None:
             state.update((int(last), float(rate)))
         yield pd.DataFrame(out, columns=["operation", "ms", "rate"])
@@ -54,6 +55,19 @@ def rates(progress: DataFrame) -> DataFrame:
     return progress.groupBy("operation").applyInPandasWithState(step, "operation string, ms long, rate double", "last long, rate double", "append", GroupStateTimeout.NoTimeout)
 
 
-def running_total(events: DataFrame) -> DataFrame:
+def first_arrivals(events: DataFrame) -> DataFrame:
     """Arriving contents once each within the watermark: a second push of the same has nothing to do."""
     return events.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["size", "hash"])
+
+
+def time_left(progress: DataFrame) -> DataFrame:
+    """rates() rows (operation, ms, rate) with total and done bytes: seconds left at that rate; null while nothing moves."""
+    from pyspark.sql import functions as F
+
+    rest = F.greatest(F.col("total") - F.col("done"), F.lit(0))
+    return progress.withColumn("seconds_left", F.when(F.col("rate") > 0, rest / F.col("rate")).when(rest == 0, F.lit(0.0)))
+
+
+def read_walks(spark, folder: str, schema: str, files_at_a_time: int = 1000) -> DataFrame:
+    """A stream of walked files from Parquet files, at most so many files in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).parquet(folder)
