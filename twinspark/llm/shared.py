@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinspark.operators.similar import checkpoint_folder
+
 #: Bytes of text that one vectorised step holds; a single longer text is a step of its own.
 STEP_BYTES = 2 << 20
 #: ASCII white space, the only characters that separate words.
@@ -22,10 +23,10 @@ BLANKS = r"[\x20\x09-\x0D]"
 
 
 def _checkpoints(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or one of our own only if none is set."""
+    """The shared folder: spark.checkpoint.dir; one of our own only if none is set and all tasks run on this machine."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="twinspark-"))
+        context.setCheckpointDir(checkpoint_folder(context.getConf().get("spark.checkpoint.dir"), context.master))
     return context._jsc.sc().getCheckpointDir().get()
 
 
