@@ -18,6 +18,8 @@ LENGTH = 400
 MOST_REGIONS = 2000
 #: Starts that share a key when the regions of an anchor are dealt.
 DEALT_STARTS = 32
+#: Classes of texts' hashes, those that hold a wanted text being broadcast: a proven bound of the side's rows.
+TEXT_CLASSES = 1 << 18
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -267,12 +269,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     hot = several.groupBy("h").agg(F.count("*").alias("regions")).where(F.col("regions") > MOST_REGIONS).select("h", F.lit(True).alias("hot"))
     wanted = several.join(hot, "h", "left").groupBy(F.col("doc_id").alias("i"), F.col("tie").alias("t")).agg(F.collect_list(F.struct("h", "lo", "span", "at", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     # Rows that repeat id and text bring their regions more than once; none of these is alone, so that nothing follows from it.
-    cut = source.join(wanted, source["doc_id"].eqNullSafe(wanted["i"]) & (source["tie"] == wanted["t"])).select("doc_id", "tie", F.encode("text", "utf-8").alias("raw"), F.explode("wanted").alias("w"))
+    # Of the texts, only those whose class holds a wanted one are shuffled.
+    classes = several.select(_class_of(F.col("tie")).alias("class")).distinct()
+    near = source.withColumn("class", _class_of(F.col("tie"))).join(F.broadcast(classes), "class", "left_semi").drop("class")
+    cut = near.join(wanted, near["doc_id"].eqNullSafe(wanted["i"]) & (near["tie"] == wanted["t"])).select("doc_id", "tie", F.encode("text", "utf-8").alias("raw"), F.explode("wanted").alias("w"))
     cut = cut.select("doc_id", "tie", F.col("w.h").alias("h"), F.col("w.alone").alias("alone"), F.col("w.hot").alias("hot"), F.col("w.lo").cast("long").alias("lo"), F.col("w.at").alias("at"), F.expr("substring(raw, w.lo + 1, w.span)").alias("bytes"))
     usual = cut.where("not hot").repartition("h").sortWithinPartitions("h").select("doc_id", "tie", "h", "alone", "lo", "bytes").mapInArrow(sort, "doc_id long, tie long, start long, end long")
     return whole.unionByName(usual).unionByName(_dealt(cut.where("hot"), length)).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
+def _class_of(tie):
+    return F.pmod(tie, F.lit(TEXT_CLASSES))
+
+
 def _dealt(cut: DataFrame, length: int) -> DataFrame:
     """(doc_id, tie, start, end) of repeated strings among regions (doc_id, tie, h, alone, lo, at, bytes) of hot anchors.
 
@@ -311,10 +320,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """`docs` with the column _spans."""
-    spans = repeated_spans(docs, text, length).select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t"), F.col("spans").alias("_spans"))
-    tie = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(spans, docs["doc_id"].eqNullSafe(spans["_i"]) & (tie == spans["_t"]), "left").drop("_i", "_t")
+    """`docs` with the column _spans; rows whose text's class has none are not shuffled."""
+    spans = cut_lineage(repeated_spans(docs, text, length).select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t"), F.col("spans").alias("_spans")))
+    classes = spans.select(_class_of(F.col("_t")).alias("_class"), F.lit(True).alias("_hit")).distinct()
+    tied = docs.withColumn("_tie", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    tied = tied.withColumn("_class", _class_of(F.col("_tie"))).join(F.broadcast(classes), "_class", "left")
+    hit = tied.where("_hit")
+    found = hit.join(spans, hit["doc_id"].eqNullSafe(spans["_i"]) & (hit["_tie"] == spans["_t"]), "left").drop("_i", "_t")
+    others = tied.where("_hit IS NULL").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
+    return found.unionByName(others).drop("_tie", "_class", "_hit")
 
 
 def removed_passages(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
