@@ -74,8 +74,10 @@ def rendered(template: str) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
-def printable_runs(text: Column, least: int = 4, most: int = 100) -> Column:
-    return F.slice(F.regexp_extract_all(text, F.lit(f"[ -~]{{{least},}}"), F.lit(0)), 1, most)
+def printable_runs(text: Column, least: int = 4, most: int | None = 100) -> Column:
+    """Runs of at least `least` printable ASCII characters: the first `most` as an excerpt, or with None all."""
+    runs = F.regexp_extract_all(text, F.lit(f"[ -~]{{{least},}}"), F.lit(0))
+    return runs if most is None else F.slice(runs, 1, most)
 
 
 #: Words that mark a file's name, and headers that mark a private key.

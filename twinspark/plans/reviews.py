@@ -289,3 +289,6 @@ query("diff_in_order", _BY_HASH + "SELECT row_number() OVER (ORDER BY lower(coal
     .withColumn("place", F.expr("row_number() OVER (ORDER BY lower(first), first, relation)").cast("long"))
 )
 query("hex_rows")(lambda spark, d: align.hex_rows(align.byte_alignment(_pairs_of_paths(spark, d))))
+query("printable_runs_counted", "WITH d AS (SELECT url, regexp_extract_all(html, '[ -~]{20,}') AS runs FROM pages) SELECT url, len(runs) AS runs, runs[-1] AS last FROM d")(
+    lambda spark, d: source.table(spark, d, "pages").select("url", scalars.printable_runs(F.col("html"), 20, None).alias("r")).select("url", F.size("r").cast("long").alias("runs"), F.try_element_at("r", F.lit(-1)).alias("last"))
+)
