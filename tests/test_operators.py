@@ -303,3 +303,20 @@ def test_exports_take_free_numbers(spark):
     there = spark.createDataFrame([("1970/01/x (2).txt", 4, "4"), ("1970/01/x.txt", 9, "9")], "path string, size long, hash string")
     got = {(r["repo"], r["rel_path"]): (r["action"], r["path"]) for r in views.exported_by_date(f, there).collect()}
     assert got == {("r0", "a/x.txt"): ("copy", "1970/01/x (3).txt"), ("r0", "b/x.txt"): ("copy", "1970/01/x (4).txt"), ("r1", "x.txt"): ("skip", None), ("r1", "c/x.txt"): ("copy", "1970/01/x (5).txt"), ("r1", "d/x.txt"): ("skip", None)}
+
+
+def test_large_groups_are_ranked_over_several_tasks(spark):
+    rows = [entry(f"r{i % 3}", f"p{i * 37 % 101:03d}", 5, f"h{i % 2}", 1000 + i % 7, w=i % 4, h=3) for i in range(300)] + [entry("r0", "x", 6, "s"), entry("r1", "y", 6, "s")]
+    f = table(spark, *rows).dropDuplicates(["repo", "rel_path"]).repartition(7)
+    whole = {(r["repo"], r["rel_path"]): r["rank"] for r in duplicates.ranked(f).collect()}
+    assert {(r["repo"], r["rel_path"]): r["rank"] for r in duplicates.ranked(f, most=10).collect()} == whole and max(whole.values()) > 100
+    for guard in (None, F.col("repo") == "r1"):
+        assert sorted(r["rel_path"] for r in duplicates.ranked(f, guard).where("rank > 1").collect()) == sorted(r["rel_path"] for r in duplicates.rest(f, guard).collect())
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=24))
+def test_groups_of_distinct_hashes_are_groups_of_all(spark, bands):
+    rows = spark.createDataFrame([(i, list(b)) for i, b in enumerate(bands)], "vec_id long, bands array<long>")
+    want = similar.greedy_groups(similar.banded_pairs(rows, 4, 75.0))
+    assert sorted(map(tuple, similar.similar_groups(rows, 4, 75.0).collect())) == sorted(map(tuple, want.collect()))

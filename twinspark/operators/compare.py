@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.operators.duplicates import KEY, live, ranked
+from twinspark.operators.duplicates import KEY, live, rest
 
 
 def content_index(files: DataFrame) -> DataFrame:
@@ -86,5 +86,5 @@ def sync_back(sink: DataFrame, main: DataFrame) -> DataFrame:
 
 def folder_export(source: DataFrame, references: DataFrame, redundant: bool = False) -> DataFrame:
     """Live source files unknown to the references: one of each content, or else the rest of the copies."""
-    copies = ranked(source).where("rank > 1").select("repo", "rel_path")
+    copies = rest(source).select("repo", "rel_path")
     return unseen(source, references).join(copies, ["repo", "rel_path"], "left_semi" if redundant else "left_anti")

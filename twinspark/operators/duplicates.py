@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinspark.operators.similar import cut
+
 KEY = ["size", "hash"]
+#: Members of a group that one task orders.
+MOST_MEMBERS = 100_000
 
 
 def live(files: DataFrame) -> DataFrame:
@@ -18,23 +22,53 @@ def group_keys(files: DataFrame) -> DataFrame:
     return live(files).groupBy(*KEY).agg(F.count("*").alias("copies")).where("copies > 1").withColumn("wasted", (F.col("copies") - 1) * F.col("size"))
 
 
-def ranked(files: DataFrame, protected: Column | None = None) -> DataFrame:
-    """Members of each group with their rank: the best copy is 1."""
-    members = live(files).join(group_keys(files), KEY)
-    order = [F.desc("protected")] if protected is not None else []
-    order += [
-        F.desc(F.coalesce(F.col("img_w") * F.col("img_h"), F.lit(-1))),
-        F.desc(F.col("taken_ms").isNotNull() | F.col("camera").isNotNull()),
-        F.asc_nulls_last("taken_ms"),
-        F.desc("size"),
-        F.asc("modified_ms"),
-        F.asc(F.lower("rel_path")),
-        F.asc("repo_ord"),
-        F.asc("rel_path"),
+def _order(protected: Column | None) -> list[Column]:
+    """What makes a copy better than another, as columns that all ascend."""
+    return [
+        *([(~protected).alias("o0")] if protected is not None else []),
+        (-F.coalesce(F.col("img_w") * F.col("img_h"), F.lit(-1))).alias("o1"),
+        (F.col("taken_ms").isNull() & F.col("camera").isNull()).alias("o2"),
+        F.col("taken_ms").isNull().alias("o3"),
+        F.col("taken_ms").alias("o4"),
+        F.col("modified_ms").alias("o5"),
+        F.lower("rel_path").alias("o6"),
+        F.col("repo_ord").alias("o7"),
+        F.col("rel_path").alias("o8"),
     ]
+
+
+def ranked(files: DataFrame, protected: Column | None = None, most: int = MOST_MEMBERS) -> DataFrame:
+    """Members of each group with their rank: the best copy is 1.
+
+    Groups of more than `most` members are not ordered in one task: their rows are dealt by ranges
+    of content and order, numbered within a range, and lifted by what stands in the ranges before.
+    """
+    keys = group_keys(files)
+    members = live(files).join(keys, KEY)
+    if protected is not None:
+        members = members.withColumn("protected", protected)
+    order = _order(protected)
+    by_rank = F.row_number().over(W.partitionBy(*KEY).orderBy(*order)).cast("long")
+    if keys.where(F.col("copies") > most).isEmpty():
+        return members.withColumn("rank", by_rank)
+    usual = members.where(F.col("copies") <= most).withColumn("rank", by_rank)
+    large = members.where(F.col("copies") > most).repartitionByRange(*KEY, *order).sortWithinPartitions(*KEY, *order)
+    large = cut(large.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    ranges = large.groupBy(*KEY, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy(*KEY).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("_before", before).drop("_rows")
+    lifted = large.join(ranges, [*KEY, "_range"]).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    return usual.unionByName(lifted.drop("_range", "_at", "_first", "_before"))
+
+
+def rest(files: DataFrame, protected: Column | None = None) -> DataFrame:
+    """Members of each group but the best, which an aggregation finds: no group is ordered."""
+    order = F.struct(*_order(protected))
+    members = live(files)
     if protected is not None:
         members = members.withColumn("protected", protected)
-    return members.withColumn("rank", F.row_number().over(W.partitionBy(*KEY).orderBy(*order)).cast("long"))
+    best = members.groupBy(*KEY).agg(F.count("*").alias("copies"), F.min(order).alias("_best")).where("copies > 1").drop("copies")
+    return members.join(best.hint("merge"), KEY).where(order != F.col("_best")).drop("_best")
 
 
 def with_accepted(files: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -45,7 +79,7 @@ def with_accepted(files: DataFrame, accepted: DataFrame) -> DataFrame:
 def to_delete(files: DataFrame, accepted: DataFrame, read_only: tuple[str, ...] = ()) -> DataFrame:
     """Copies beyond the best that neither are accepted nor lie in a read-only repository."""
     guarded = F.col("is_accepted") | F.col("repo").isin(*read_only) if read_only else F.col("is_accepted")
-    return ranked(with_accepted(files, accepted), guarded).where((F.col("rank") > 1) & ~F.col("protected"))
+    return rest(with_accepted(files, accepted), guarded).where(~F.col("protected"))
 
 
 def groups_with_any(files: DataFrame, matching: DataFrame) -> DataFrame:

@@ -11,23 +11,46 @@ from pyspark.sql import functions as F
 from twinspark.functions.scalars import similarity
 
 
+def heads(hashes: DataFrame, id: str = "vec_id") -> DataFrame:
+    """(rep, bands, n): each distinct hash with the least id that has it, and how many do."""
+    return hashes.groupBy("bands").agg(F.min(id).alias("rep"), F.count("*").alias("n"))
+
+
+def head_pairs(distinct: DataFrame, bits: int, threshold: float) -> DataFrame:
+    """Pairs (rep, rep2, similarity) of the distinct hashes that share a band and are at least so similar, in percent."""
+    dealt = distinct.select("rep", "bands", F.posexplode("bands").alias("band", "value"))
+    other = dealt.select(F.col("rep").alias("rep2"), F.col("bands").alias("bands2"), "band", "value")
+    near = dealt.join(other, ["band", "value"]).where("rep < rep2").select("rep", "rep2", "bands", "bands2").dropDuplicates(["rep", "rep2"])
+    return near.withColumn("similarity", similarity(F.col("bands"), F.col("bands2"), bits)).where(F.col("similarity") >= threshold).select("rep", "rep2", "similarity")
+
+
 def banded_pairs(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id") -> DataFrame:
     """Pairs (a, b, similarity) of hashes that share a band and are at least so similar, in percent.
 
     `hashes` has the id and `bands`, the hash as an array of bands.  Equal hashes are one row
-    while pairs are sought, and are paired with each other at the end.
+    while pairs are sought, and are paired with each other at the end: n of them make n * (n - 1) / 2
+    pairs, so use similar_groups where groups are all that is wanted.
     """
-    same = hashes.groupBy("bands").agg(F.min(id).alias("rep"), F.sort_array(F.collect_list(id)).alias("ids"))
-    dealt = same.select("rep", "bands", F.posexplode("bands").alias("band", "value"))
-    other = dealt.select(F.col("rep").alias("rep2"), F.col("bands").alias("bands2"), "band", "value")
-    near = dealt.join(other, ["band", "value"]).where("rep < rep2").select("rep", "rep2", "bands", "bands2").dropDuplicates(["rep", "rep2"])
-    scored = near.withColumn("similarity", similarity(F.col("bands"), F.col("bands2"), bits)).where(F.col("similarity") >= threshold)
-    ids = same.select("rep", "ids")
-    out = scored.select("rep", "rep2", "similarity").join(ids, "rep").withColumn("a", F.explode("ids")).drop("ids", "rep")
-    out = out.join(ids.withColumnRenamed("rep", "rep2"), "rep2").withColumn("b", F.explode("ids"))
-    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-    twins = same.where(F.size("ids") > 1).select(F.explode("ids").alias("a"), "ids").withColumn("b", F.explode("ids")).where("a < b").select("a", "b", F.lit(100.0).alias("similarity"))
-    return out.unionByName(twins)
+    distinct = heads(hashes, id)
+    members = hashes.select(F.col(id).alias("a"), "bands").join(distinct.select("bands", "rep"), "bands").select("a", "rep")
+    others = members.select(F.col("a").alias("b"), F.col("rep").alias("rep2"))
+    out = head_pairs(distinct, bits, threshold).join(members, "rep").join(others, "rep2")
+    twins = members.join(others, F.col("rep") == F.col("rep2")).where("a < b").select("a", "b", F.lit(100.0).alias("similarity"))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").unionByName(twins)
+
+
+def similar_groups(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id") -> DataFrame:
+    """(member, leader): the groups of greedy_groups(banded_pairs(...)), with one row for each of many equal hashes, not pairs of them.
+
+    Equal hashes have the same neighbours and one of them leads only if it has the least id, so
+    groups of the distinct hashes' least ids are groups of all.
+    """
+    distinct = heads(hashes, id)
+    led = leaders(head_pairs(distinct, bits, threshold).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+    named = distinct.join(led, F.col("rep") == F.col("v"), "left").select("bands", "n", F.coalesce("leader", "rep").alias("leader"))
+    grouped = named.groupBy("leader").agg(F.sum("n").alias("members")).where("members > 1").select("leader")
+    named = named.join(grouped, "leader", "left_semi").select("bands", "leader")
+    return hashes.select(F.col(id).alias("member"), "bands").join(named, "bands").select("member", "leader")
 
 
 def interval_pairs(rows: DataFrame, tolerance: int = 2000) -> DataFrame:
@@ -38,14 +61,20 @@ def interval_pairs(rows: DataFrame, tolerance: int = 2000) -> DataFrame:
 
 
 def greedy_groups(pairs: DataFrame) -> DataFrame:
-    """(member, leader): in order of id, a free item leads and takes all free later ones that pair with it.
+    """(member, leader) as leaders() finds them; a leader without members is no group."""
+    nodes = leaders(pairs)
+    grouped = nodes.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader")
+    return nodes.join(grouped, "leader", "left_semi").select(F.col("v").alias("member"), "leader")
+
+
+def leaders(pairs: DataFrame) -> DataFrame:
+    """(v, leader): in order of id, a free item leads and takes all free later ones that pair with it.
 
     The leaders are the first maximal independent set in order of id.  Each round decides every
     item that has no undecided smaller neighbour; rounds are cut at the checkpoint folder, so
-    use it with spark.checkpoint.dir set.  A leader without members is no group.
+    use it with spark.checkpoint.dir set.
     """
     edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cut = _cut(edges)
     edges = cut(edges)
     nodes = cut(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("leader", F.lit(None).cast("long")))
     while True:
@@ -56,9 +85,7 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
         free = F.coalesce("open", F.lit(0)).eqNullSafe(F.lit(0)) & F.col("led_by").isNull()
         nodes = cut(nodes.join(around, "v", "left").select("v", F.coalesce("leader", F.when(sure, F.col("led_by")), F.when(free, F.col("v"))).alias("leader")))
         if nodes.where("leader IS NULL").isEmpty():
-            break
-    grouped = nodes.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader")
-    return nodes.join(grouped, "leader", "left_semi").select(F.col("v").alias("member"), "leader")
+            return nodes
 
 
 def find_similar(images: DataFrame, documents: DataFrame, bits: int, threshold: float) -> DataFrame:
@@ -66,8 +93,7 @@ def find_similar(images: DataFrame, documents: DataFrame, bits: int, threshold:
 
     A threshold says nothing about documents.  Files that are like no other are in no group.
     """
-    pairs = banded_pairs(images, bits, threshold, "id").select("a", "b")
-    alike = greedy_groups(pairs).select(F.lit("image").alias("kind"), "member", "leader")
+    alike = similar_groups(images, bits, threshold, "id").select(F.lit("image").alias("kind"), "member", "leader")
     first = documents.groupBy("identity").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     return alike.unionByName(documents.join(first, "identity").select(F.lit("document").alias("kind"), F.col("id").alias("member"), "leader"))
 
@@ -81,11 +107,12 @@ def checkpoint_folder(named: str | None, master: str) -> str:
     return tempfile.mkdtemp(prefix="twinspark-")
 
 
-def _cut(df: DataFrame):
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_folder(context.getConf().get("spark.checkpoint.dir"), context.master))
-    return lambda x: x.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 def audio_similarity(pairs: DataFrame) -> DataFrame:

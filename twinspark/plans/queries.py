@@ -341,7 +341,7 @@ query(
     s(rn, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.rn, CASE WHEN list_has_any(s.leaders, n.before) THEN s.leaders ELSE list_append(s.leaders, n.v) END FROM s JOIN n ON n.rn = s.rn + 1),
     l AS (SELECT leaders FROM s ORDER BY rn DESC LIMIT 1), g AS (SELECT v AS member, coalesce(list_min(list_intersect(before, leaders)), v) AS leader FROM n, l)
     SELECT member, leader FROM g WHERE leader IN (SELECT leader FROM g GROUP BY leader HAVING count(*) > 1)""",
-)(lambda spark, d: similar.greedy_groups(similar.banded_pairs(source.sign_hashes(spark, d), 64, 70.0)))
+)(lambda spark, d: similar.similar_groups(source.sign_hashes(spark, d), 64, 70.0))
 query("duration_window_pairs", "WITH d AS (SELECT conv_id * 1000 + turn AS id, strlen(text) * 37 AS ms FROM conversations) SELECT x.id AS a, y.id AS b FROM d x JOIN d y ON x.id < y.id AND abs(x.ms - y.ms) <= 2000")(
     lambda spark, d: similar.interval_pairs(source.durations(spark, d))
 )
