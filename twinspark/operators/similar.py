@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,43 +11,59 @@ from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import similarity
 
+#: Bits of a band of the prints whose pairs are to be found without loss.
+WIDTH = 16
+
 
 def heads(hashes: DataFrame, id: str = "vec_id") -> DataFrame:
     """(rep, bands, n): each distinct hash with the least id that has it, and how many do."""
     return hashes.groupBy("bands").agg(F.min(id).alias("rep"), F.count("*").alias("n"))
 
 
-def head_pairs(distinct: DataFrame, bits: int, threshold: float) -> DataFrame:
-    """Pairs (rep, rep2, similarity) of the distinct hashes that share a band and are at least so similar, in percent."""
-    dealt = distinct.select("rep", "bands", F.posexplode("bands").alias("band", "value"))
-    other = dealt.select(F.col("rep").alias("rep2"), F.col("bands").alias("bands2"), "band", "value")
-    near = dealt.join(other, ["band", "value"]).where("rep < rep2").select("rep", "rep2", "bands", "bands2").dropDuplicates(["rep", "rep2"])
+def sure_radius(bits: int, threshold: float, width: int = WIDTH) -> int:
+    """Bits by which one band of a pair at the threshold may differ at most, whatever bits differ: their mean over all bands."""
+    return int((100 - threshold) / 100 * bits + 1e-9) // (bits // width)
+
+
+def head_pairs(distinct: DataFrame, bits: int, threshold: float, radius: int = 0) -> DataFrame:
+    """Pairs (rep, rep2, similarity) of the distinct hashes that share a band and are at least so similar, in percent.
+
+    A band of WIDTH bits is shared if at most `radius` bits of it differ: one side is dealt to all such values.
+    Ids alone are dealt to bands; the hashes join what pairs come of it.
+    """
+    masks = [sum(1 << k for k in at) for r in range(radius + 1) for at in combinations(range(WIDTH), r)]
+    other = distinct.select("rep", F.posexplode("bands").alias("band", "value"))
+    dealt = other.withColumn("value", F.explode(F.array(*[F.col("value").bitwiseXOR(F.lit(m)) for m in masks]))) if radius else other
+    near = dealt.hint("merge").join(other.withColumnRenamed("rep", "rep2"), ["band", "value"]).where("rep < rep2").select("rep", "rep2").distinct()
+    own = distinct.select("rep", "bands")
+    near = near.join(own.hint("merge"), "rep").join(own.select(F.col("rep").alias("rep2"), F.col("bands").alias("bands2")).hint("merge"), "rep2")
     return near.withColumn("similarity", similarity(F.col("bands"), F.col("bands2"), bits)).where(F.col("similarity") >= threshold).select("rep", "rep2", "similarity")
 
 
-def banded_pairs(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id") -> DataFrame:
+def banded_pairs(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id", radius: int = 0) -> DataFrame:
     """Pairs (a, b, similarity) of hashes that share a band and are at least so similar, in percent.
 
     `hashes` has the id and `bands`, the hash as an array of bands.  Equal hashes are one row
     while pairs are sought, and are paired with each other at the end: n of them make n * (n - 1) / 2
-    pairs, so use similar_groups where groups are all that is wanted.
+    pairs, so use similar_groups where groups are all that is wanted.  With a radius of
+    sure_radius(bits, threshold) no pair at the threshold is missed, without comparing all pairs.
     """
     distinct = heads(hashes, id)
     members = hashes.select(F.col(id).alias("a"), "bands").join(distinct.select("bands", "rep"), "bands").select("a", "rep")
     others = members.select(F.col("a").alias("b"), F.col("rep").alias("rep2"))
-    out = head_pairs(distinct, bits, threshold).join(members, "rep").join(others, "rep2")
+    out = head_pairs(distinct, bits, threshold, radius).join(members, "rep").join(others, "rep2")
     twins = members.join(others, F.col("rep") == F.col("rep2")).where("a < b").select("a", "b", F.lit(100.0).alias("similarity"))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").unionByName(twins)
 
 
-def similar_groups(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id") -> DataFrame:
+def similar_groups(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id", radius: int = 0) -> DataFrame:
     """(member, leader): the groups of greedy_groups(banded_pairs(...)), with one row for each of many equal hashes, not pairs of them.
 
     Equal hashes have the same neighbours and one of them leads only if it has the least id, so
     groups of the distinct hashes' least ids are groups of all.
     """
     distinct = heads(hashes, id)
-    led = leaders(head_pairs(distinct, bits, threshold).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+    led = leaders(head_pairs(distinct, bits, threshold, radius).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
     named = distinct.join(led, F.col("rep") == F.col("v"), "left").select("bands", "n", F.coalesce("leader", "rep").alias("leader"))
     grouped = named.groupBy("leader").agg(F.sum("n").alias("members")).where("members > 1").select("leader")
     named = named.join(grouped, "leader", "left_semi").select("bands", "leader")

@@ -33,6 +33,13 @@ _512 = """lv AS (SELECT * FROM (VALUES (0, -0.15), (1, -0.1), (2, -0.05), (3, 0.
     pairs AS (SELECT c.a, c.b, (1 - sum(bit_count(xor(x.v, y.v))) / 512) * 100 AS similarity FROM c JOIN w x ON x.vec_id = c.a JOIN w y ON y.vec_id = c.b AND y.w = x.w GROUP BY c.a, c.b)"""
 query("similar_pairs_512", f"WITH {_512} SELECT a, b, similarity::DOUBLE AS similarity FROM pairs WHERE similarity >= 75")(lambda spark, d: similar.banded_pairs(source.prints_512(spark, d), 512, 75.0))
 
+_1536 = """o AS (SELECT vec_id, j * 16 + k AS w, ('0x' || substr(sha256('v' || vec_id || ':' || j), k * 4 + 1, 4))::BIGINT AS v FROM embeddings, range(6) a(j), range(16) b(k)),
+    w AS (SELECT * FROM o UNION ALL SELECT vec_id + 1000000, w, CASE WHEN vec_id % 3 = 0 THEN xor(v, 1) WHEN vec_id % 3 = 1 AND w < 10 THEN xor(v, 3) ELSE v END FROM o),
+    pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, (1 - sum(bit_count(xor(a.v, b.v))) / 1536) * 100 AS similarity FROM w a JOIN w b ON a.w = b.w AND a.vec_id < b.vec_id GROUP BY ALL)"""
+query("video_pairs", f"WITH {_1536} SELECT a, b, similarity::DOUBLE AS similarity FROM pairs WHERE similarity >= 93")(
+    lambda spark, d: similar.banded_pairs(source.prints_1536(spark, d), 1536, 93.0, radius=similar.sure_radius(1536, 93.0))
+)
+
 
 def _kinds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Live files with the print of an image, or the identity of a document, one row for each path on disk."""

@@ -121,3 +121,11 @@ def prints_512(spark: SparkSession, folder: str) -> DataFrame:
     eight = lambda x: sum((F.when(x > level, 1 << k).otherwise(0) for k, level in enumerate(levels)), F.lit(0))
     e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", eight).alias("v"))
     return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda w: F.get("v", 2 * w) + F.get("v", 2 * w + 1) * 256).alias("bands"))
+
+
+def prints_1536(spark: SparkSession, folder: str) -> DataFrame:
+    """1536-bit prints, as of videos, in 96 words of 16 bits: random ones, and copies with a bit of every word, two of ten words, or none changed."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda w: F.conv(F.substr(F.sha2(F.concat(F.lit("v"), "vec_id", F.lit(":"), F.floor(w / 16)), 256), (w % 16) * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    own = table(spark, folder, "embeddings").select("vec_id", words.alias("bands"))
+    change = F.transform("bands", lambda v, w: v.bitwiseXOR(F.expr("CASE vec_id % 3 WHEN 0 THEN 1L WHEN 1 THEN 3L ELSE 0L END") * ((F.col("vec_id") % 3 == 0) | (w < 10)).cast("long")))
+    return own.unionByName(own.withColumn("bands", change).withColumn("vec_id", F.col("vec_id") + 1000000))
