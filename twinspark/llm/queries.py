@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.llm import chat_format, exact_dedup, fingerprints, lm_score, ngram_join, packing, piece_codec, quality, suffix_dedup, toxicity
+from twinspark.llm import chat_format, exact_dedup, fill_middle, fingerprints, lm_score, ngram_join, packing, piece_codec, quality, suffix_dedup, toxicity
 from twinspark.llm.shared import read_table
 
 
@@ -60,6 +60,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(read_table(spark, sf_dir, "documents"), ~lm_score.sampled_out("doc_id", 7, 2), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c, 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", fill_middle.restored(F.col("output"), F.col("form"))))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
@@ -72,6 +78,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -112,4 +119,25 @@ ORACLE_SQL = {
             FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
     """,
+    "op12_fill_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents),
+        u AS (SELECT *, len(tokens)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS w FROM t),
+        v AS (
+            SELECT *, least(w[1] % (n + 1), w[2] % (n + 1)) AS a, greatest(w[1] % (n + 1), w[2] % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR w[3] % 100 >= 90 THEN 'plain'
+                        WHEN w[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM u),
+        p AS (
+            SELECT doc_id, n, form, text, coalesce(array_to_string(tokens[1:a], ''), '') AS prefix, coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle,
+                   coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix
+            FROM v)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
