@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.llm import chat_format, exact_dedup, fill_middle, fingerprints, lm_score, ngram_join, packing, piece_codec, quality, suffix_dedup, toxicity
+from twinspark.llm import chat_format, exact_dedup, fill_middle, fingerprints, lm_score, ngram_join, packing, piece_codec, quality, suffix_dedup, toxicity, turn_repair
 from twinspark.llm.shared import read_table
 
 
@@ -60,6 +60,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(read_table(spark, sf_dir, "documents"), ~lm_score.sampled_out("doc_id", 7, 2), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_conversations(turn_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
     digests = [F.sha2(c, 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", fill_middle.restored(F.col("output"), F.col("form"))))]
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_turn_repair": op11_turn_repair,
     "op12_fill_middle": op12_fill_middle,
 }
 
