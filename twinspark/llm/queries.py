@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.llm import chat_format, exact_dedup, fill_middle, fingerprints, lm_score, ngram_join, packing, piece_codec, quality, suffix_dedup, toxicity, turn_repair
+from twinspark.llm import chat_format, cover_search, exact_dedup, fill_middle, fingerprints, lm_score, ngram_join, packing, piece_codec, quality, suffix_dedup, toxicity, turn_repair
 from twinspark.llm.shared import read_table
 
 
@@ -70,6 +70,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_inner_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
@@ -84,6 +88,7 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
     "op11_turn_repair": op11_turn_repair,
     "op12_fill_middle": op12_fill_middle,
+    "op13_cover_search": op13_cover_search,
 }
 
 ORACLE_SQL = {
@@ -145,4 +150,17 @@ ORACLE_SQL = {
                sha256(text) AS restored_sha256
         FROM p
     """,
+    "op13_cover_search": r"""
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.r AS q, q.vec_id AS query_id, c.r, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.r <> c.r AND len(q.e) = len(c.e)
+            WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r)::INT AS rank FROM s)
+        WHERE rank <= 5
+    """,
 }
