@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from twinspark.plans.reviews import ORACLE_SQL, QUERIES
+from twinspark.plans.registered import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
 

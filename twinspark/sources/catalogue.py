@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -129,3 +129,36 @@ def prints_1536(spark: SparkSession, folder: str) -> DataFrame:
     own = table(spark, folder, "embeddings").select("vec_id", words.alias("bands"))
     change = F.transform("bands", lambda v, w: v.bitwiseXOR(F.expr("CASE vec_id % 3 WHEN 0 THEN 1L WHEN 1 THEN 3L ELSE 0L END") * ((F.col("vec_id") % 3 == 0) | (w < 10)).cast("long")))
     return own.unionByName(own.withColumn("bands", change).withColumn("vec_id", F.col("vec_id") + 1000000))
+
+
+def pictures(spark: SparkSession, folder: str, side: int) -> DataFrame:
+    """Square pictures (vec_id, n, p: brightness row by row), each pixel from two components of an embedding."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    y, x = (lambda i: F.floor(i / side)), (lambda i: i % side)
+    value = lambda i: F.floor(128 + 300 * (F.get("e", ((y(i) * 7 + x(i) * 3) % 64).cast("int")) + F.get("e", ((y(i) * x(i)) % 64).cast("int"))))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.greatest(F.lit(0), F.least(F.lit(255), value(i))).cast("int"))
+    return e.select("vec_id", F.lit(side).alias("n"), pixels.alias("p"))
+
+
+def turned(pixels: Column, side: int, turn: Column) -> Column:
+    """A square picture in one of its eight turns and mirrorings, by number."""
+    last = side - 1
+    y, x = (lambda i: F.floor(i / side)), (lambda i: i % side)
+    places = [
+        lambda i: i,
+        lambda i: (last - x(i)) * side + y(i),
+        lambda i: side * side - 1 - i,
+        lambda i: x(i) * side + last - y(i),
+        lambda i: y(i) * side + last - x(i),
+        lambda i: (last - y(i)) * side + x(i),
+        lambda i: x(i) * side + y(i),
+        lambda i: (last - x(i)) * side + last - y(i),
+    ]
+
+    def moved(place) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get(pixels, place(i).cast("int")))
+
+    out = F.when(turn == 0, moved(places[0]))
+    for k, place in enumerate(places[1:], 1):
+        out = out.when(turn == k, moved(place))
+    return out
