@@ -23,6 +23,8 @@ AFTER = (USER, USER, ASSISTANT, USER)
 DELETE, INSERT, REROLE, TRUNCATED = 2, 5, 1, 5
 #: Cost-to-go after the last turn: what is still open is closed by insertions.
 AT_END = (0, 2 * INSERT, INSERT, 0)
+#: Rows that are given back together.
+BATCH_ROWS = 8192
 #: Symbols of turns: absent (a dropped row), one that must go, else the initial (s, u, a, another) and whether truncated.
 ABSENT, MUST_GO, FIRST_SYMBOL = -1, 0, 1
 
@@ -221,11 +223,18 @@ def _edited(turns: DataFrame) -> DataFrame:
                 schema = pa.schema([*batch.schema, ("edits", pa.string())])
                 yield batch
 
+        held: dict[str, list] = {c: [] for c in (*names, "edits")}
         for part, conv, columns in _runs(seen(), names):
             rows = dict(zip(names, columns, strict=True))
             after, state = split.get((part, conv), (AT_END, START))
             rows["edits"] = edits_of(rows["symbol"], after, state)[0]
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            for c, values in rows.items():
+                held[c].extend(values)
+            if len(held["edits"]) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pydict(held, schema=schema)
+                held = {c: [] for c in held}
+        if held["edits"]:
+            yield pa.RecordBatch.from_pydict(held, schema=schema)
 
     return turns.mapInArrow(run, T.StructType([*turns.schema.fields, T.StructField("edits", T.StringType())]))
 
