@@ -39,9 +39,14 @@ def normal_path(path: Column) -> Column:
     return F.when(~F.exists(parts, lambda s: s == ".."), F.nullif(F.array_join(clean, "/"), F.lit("")))
 
 
+def utc_date(ms: Column) -> Column:
+    """The day of a time in milliseconds, by UTC whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
+
+
 def tokens() -> dict[str, Column]:
     """What a name template can hold, from a file's row."""
-    best = F.timestamp_millis(F.coalesce("taken_ms", "modified_ms"))
+    best = utc_date(F.coalesce("taken_ms", "modified_ms"))
     name = F.element_at(F.split("rel_path", "/"), -1)
     safe = lambda c: F.regexp_replace(c, r"[/\\\p{Cntrl}]", "_")
     return {

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinspark.functions.scalars import utc_date
 from twinspark.operators.duplicates import KEY, live
+from twinspark.operators.naming import free_names
 
 
 def selected(rows: DataFrame, side: str, only: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -93,29 +95,21 @@ def copied_entries(candidates: DataFrame, to: str, on_disk: DataFrame) -> DataFr
 
 
 def exported_by_date(files: DataFrame, target: DataFrame) -> DataFrame:
-    """Where each live file goes under year/month: action copy or skip, and its path.
+    """Where each live file goes under year/month, by UTC: action copy, skip or exhausted, and its path.
 
-    `target` (path, size, hash) is what is there.  A file whose content is there under its name, or
-    a numbered form of it, is skipped; so is any but the first, by repo_ord and path, of files of
-    one content and name.  The others take, in that order, the numbers that are free: the plain
-    name, then ` (2)`, ` (3)` and so on.
+    `target` (path, size, hash) is what is there.  By repo_ord and path, each file takes the first
+    free of its name and its numbered forms; it is skipped if one that it passes holds its content,
+    be it there from before or from this export.  Nothing is overwritten: naming.free_names.
     """
-    best = F.timestamp_millis(F.coalesce("taken_ms", "modified_ms"))
+    best = utc_date(F.coalesce("taken_ms", "modified_ms"))
     name = F.element_at(F.split("rel_path", "/"), -1)
-    wanted = live(files).withColumn("wish", F.concat(F.date_format(best, "yyyy/MM/"), name))
+    folder = F.concat(F.year(best).cast("string"), F.lit("/"), F.lpad(F.month(best).cast("string"), 2, "0"), F.lit("/"))
     turn = F.struct("repo_ord", "rel_path")
-    distinct = wanted.groupBy("wish", *KEY).agg(F.min(turn).alias("turn"))
-    number = F.regexp_extract("path", r" \((\d+)\)(\.[^./]*)?$", 1)
-    there = target.select(F.regexp_replace("path", r" \(\d+\)(?=(\.[^./]*)?$)", "").alias("wish"), F.when(number == "", 1).otherwise(number.cast("int")).alias("number"), *KEY)
-    held = there.select("wish", *KEY).distinct().withColumn("held", F.lit(True))
-    fresh = distinct.join(held, ["wish", *KEY], "left_anti")
-    # The numbers of one name: those of the target are taken; the n-th new file gets the n-th of the rest.
-    taken = there.groupBy("wish").agg(F.array_sort(F.collect_set("number")).alias("taken"))
-    order = fresh.join(taken, "wish", "left").withColumn("n", F.expr("row_number() OVER (PARTITION BY wish ORDER BY turn)"))
-    taken_ones = F.coalesce("taken", F.array().cast("array<int>"))
-    free = F.filter(F.sequence(F.lit(1), F.size(taken_ones) + F.col("n")), lambda k: ~F.array_contains(taken_ones, k))
-    placed = order.withColumn("number", F.element_at(free, F.col("n"))).select("wish", *KEY, "turn", "number")
-    stem, ext = F.regexp_replace("wish", r"(?<=[^/])\.[^./]*$", ""), F.regexp_extract("wish", r"(?<=[^/])(\.[^./]*)$", 1)
-    out = wanted.join(placed, ["wish", *KEY], "left")
-    copies = F.col("number").isNotNull() & (F.col("turn.repo_ord") == F.col("repo_ord")) & (F.col("turn.rel_path") == F.col("rel_path"))
-    return out.select("repo", "rel_path", F.when(copies, "copy").otherwise("skip").alias("action"), F.when(copies, F.when(F.col("number") == 1, F.col("wish")).otherwise(F.concat(stem, F.lit(" ("), F.col("number").cast("string"), F.lit(")"), ext))).alias("path"))
+    wanted = live(files).withColumns({"wish": F.concat(folder, name), "turn": turn})
+    # Of files of one wish and content all but the first meet the first's.
+    distinct = wanted.groupBy("wish", *KEY).agg(F.min("turn").alias("turn"))
+    placed = free_names(distinct, target, same_in_run=True, dotfiles=True).select("wish", *KEY, "turn", "skip", "path").withColumnRenamed("turn", "first")
+    out = wanted.join(placed, ["wish", *KEY])
+    copies = (F.col("turn") == F.col("first")) & ~F.col("skip")
+    action = F.when(copies, F.when(F.col("path").isNull(), "exhausted").otherwise("copy")).otherwise("skip")
+    return out.select("repo", "rel_path", action.alias("action"), F.when(copies, F.col("path")).alias("path"))

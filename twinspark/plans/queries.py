@@ -62,7 +62,7 @@ def query(name: str, sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = sql if sql.lstrip().startswith("WITH") else f"WITH {_FILES} {sql}"
+            ORACLE_SQL[name] = sql.replace("{files}", _FILES) if sql.lstrip().startswith("WITH") else f"WITH {_FILES} {sql}"
         return f
 
     return register
