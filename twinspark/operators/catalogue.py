@@ -49,13 +49,19 @@ def accepted_paths(files: DataFrame, accepted: DataFrame) -> DataFrame:
     return files.where(~F.col("missing")).join(accepted, ["repo", "size", "hash"], "left_semi")
 
 
-def is_stale(mime: Column, version: Column) -> Column:
-    """The entry version from which each kind has its fingerprint."""
+#: Names of sounds in MP4 containers, which were once taken for videos.
+MP4_SOUNDS = r"(?i)\.(m4a|m4b|m4p|m4r)$"
+
+
+def is_stale(mime: Column, version: Column, path: Column | None = None) -> Column:
+    """The entry version from which each kind has its fingerprint, and names of sounds their type."""
     audio = mime.startswith("audio/")
     office = mime.rlike("officedocument|opendocument|msword|ms-excel|ms-powerpoint")
     out = F.when(mime.startswith("image/"), version < 4).when(audio, version < 10).when(office, version < 5)
-    out = out.when(mime.startswith("text/"), version < 6).when(mime == "message/rfc822", version < 7).when(mime.startswith("video/"), version < 8)
-    return F.coalesce(out, F.lit(False))
+    out = out.when(mime.startswith("text/"), version < 6).when(mime == "message/rfc822", version < 7)
+    if path is not None:
+        out = out.when((mime == "video/mp4") & path.rlike(MP4_SOUNDS), version < 9)
+    return F.coalesce(out.when(mime.startswith("video/"), version < 8), F.lit(False))
 
 
 def stats(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import similarity
@@ -124,11 +124,17 @@ def checkpoint_folder(named: str | None, master: str) -> str:
     return tempfile.mkdtemp(prefix="twinspark-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it was not."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_folder(context.getConf().get("spark.checkpoint.dir"), context.master))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -71,3 +71,18 @@ def time_left(progress: DataFrame) -> DataFrame:
 def read_walks(spark, folder: str, schema: str, files_at_a_time: int = 1000) -> DataFrame:
     """A stream of walked files from Parquet files, at most so many files in a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).parquet(folder)
+
+
+def append_batch(batch: DataFrame, number: int, folder: str) -> None:
+    """Put a micro-batch into the log at `folder`, under its number: one that comes again takes its own place, and adds no line."""
+    batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
+def log_events(events: DataFrame, folder: str, checkpoint: str):
+    """Start a query that appends what has come of `events` to the log at `folder`, each batch once."""
+    return events.writeStream.foreachBatch(lambda batch, number: append_batch(batch, number, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_log(spark, folder: str) -> DataFrame:
+    """The log's lines with the number of their batch."""
+    return spark.read.option("basePath", folder).parquet(folder)
