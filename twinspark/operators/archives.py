@@ -94,6 +94,13 @@ def members_by_content(members: DataFrame) -> DataFrame:
     return members.where("hash IS NOT NULL").groupBy(*KEY).agg(F.count("*").alias("occurrences"), F.array_join(F.sort_array(F.collect_list(place)), "|").alias("places"))
 
 
+def member_places(members: DataFrame) -> DataFrame:
+    """Where each content lies in archives, a row for each place, with the number of them."""
+    known = members.where("hash IS NOT NULL")
+    counts = known.groupBy(*KEY).agg(F.count("*").alias("occurrences"))
+    return known.join(counts, KEY).select(*KEY, "occurrences", "repo", "archive_rel", "member_name")
+
+
 def listings(contents: DataFrame, most_members: int = MOST_MEMBERS, most_ratio: int = MOST_RATIO, most_bytes: int = MOST_BYTES) -> DataFrame:
     """LISTINGS of zip, tar and tar.gz files (path, content): a row for each member, and one, `last`, for each archive.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.operators.duplicates import KEY, live, rest
@@ -44,20 +44,48 @@ def known_elsewhere(source: DataFrame, references: DataFrame, accepted: DataFram
     return live(source).join(references, KEY, "left_semi").join(accepted, ["repo", *KEY], "left_anti")
 
 
-def rows_by_hash(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row for each content: the paths on both sides, how they relate, and deletions."""
-    side = lambda x, n: live(x).groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_list("rel_path")), "|").alias(n))
-    both = side(left, "left_paths").join(side(right, "right_paths"), KEY, "full_outer")
-    relation = F.when(F.col("right_paths").isNull(), "OnlyLeft").when(F.col("left_paths").isNull(), "OnlyRight").when(F.col("left_paths") == F.col("right_paths"), "Equal").otherwise("Renamed")
+def path_set(path: Column) -> Column:
+    """{n, a, b}: an aggregate that tells sets of paths apart without gathering them, in whatever order they come.
+
+    `n` paths, and the sums of two independent 64-bit hashes of them: sets that differ agree with a
+    probability of about 2 ** -128.
+    """
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), path).cast("decimal(38,0)"))
+    return F.struct(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b"))
+
+
+def relations(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row for each content: how many paths and which least one either side has, how the sides relate, and deletions.
+
+    Equal is the same set of paths on both sides.  No content's paths are gathered: their number may
+    be any; path_rows() has them as rows.
+    """
+    side = lambda x, n: live(x).groupBy(*KEY).agg(path_set(F.col("rel_path")).alias(n), F.min("rel_path").alias(f"{n}_path"))
+    both = side(left, "left").join(side(right, "right"), KEY, "full_outer")
+    relation = F.when(F.col("right").isNull(), "OnlyLeft").when(F.col("left").isNull(), "OnlyRight").when(F.col("left") == F.col("right"), "Equal").otherwise("Renamed")
     gone = lambda x, n: tombstoned(x).select(*KEY, F.lit(True).alias(n))
     out = both.withColumn("relation", relation).join(gone(right, "gone_right"), KEY, "left").join(gone(left, "gone_left"), KEY, "left")
+    count = lambda n: F.coalesce(F.col(f"{n}.n"), F.lit(0).cast("long")).alias(f"{n}_count")
     return out.select(
-        *KEY, "left_paths", "right_paths", "relation",
+        *KEY, count("left"), count("right"), "left_path", "right_path", "relation",
         ((F.col("relation") == "OnlyLeft") & F.coalesce("gone_right", F.lit(False))).alias("deleted_in_right"),
         ((F.col("relation") == "OnlyRight") & F.coalesce("gone_left", F.lit(False))).alias("deleted_in_left"),
     )
 
 
+def path_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The paths of relations() as rows: size, hash, relation, side, rel_path."""
+    every = live(left).select(*KEY, "rel_path", F.lit("left").alias("side")).unionByName(live(right).select(*KEY, "rel_path", F.lit("right").alias("side")))
+    return every.join(relations(left, right).select(*KEY, "relation"), KEY).select(*KEY, "relation", "side", "rel_path")
+
+
+def rows_by_hash(left: DataFrame, right: DataFrame) -> DataFrame:
+    """relations() with the paths of each side as one text to be shown, joined by `|`; nothing is read back from these texts."""
+    listed = lambda x, n: live(x).groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_list("rel_path")), "|").alias(n))
+    shown = relations(left, right).join(listed(left, "left_paths"), KEY, "left").join(listed(right, "right_paths"), KEY, "left")
+    return shown.select(*KEY, "left_paths", "right_paths", "relation", "deleted_in_right", "deleted_in_left", "left_count", "right_count", "left_path", "right_path")
+
+
 def rows_by_path(left: DataFrame, right: DataFrame) -> DataFrame:
     side = lambda x, n: live(x).select("rel_path", F.col("size").alias(f"{n}_size"), F.col("hash").alias(f"{n}_hash"))
     both = side(left, "left").join(side(right, "right"), "rel_path", "full_outer")

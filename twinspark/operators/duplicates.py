@@ -98,6 +98,12 @@ def paths_by_repo(files: DataFrame) -> DataFrame:
     return out.where(F.size("paths") > 1).select("repo", *KEY, F.array_join("paths", "|").alias("paths"))
 
 
+def path_rows_by_repo(files: DataFrame) -> DataFrame:
+    """Within each repository, a row for each path of a content that it holds more than once, with their number."""
+    counts = live(files).groupBy("repo", *KEY).agg(F.count("*").alias("copies")).where("copies > 1")
+    return live(files).join(counts, ["repo", *KEY]).select("repo", *KEY, "copies", "rel_path")
+
+
 def page(files: DataFrame, number: int, rows: int = 50) -> DataFrame:
     """One page of groups, most wasteful first."""
     return group_keys(files).orderBy(F.desc("wasted"), F.desc("size"), "hash").offset(number * rows).limit(rows)

@@ -6,7 +6,8 @@ import tempfile
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import similarity
@@ -70,11 +71,41 @@ def similar_groups(hashes: DataFrame, bits: int, threshold: float, id: str = "ve
     return hashes.select(F.col(id).alias("member"), "bands").join(named, "bands").select("member", "leader")
 
 
+def running(rows: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """`rows` with the sum of `amount` over all rows up to each in `order`, which no two rows share: sorted by ranges, summed in each, and lifted by the ranges before."""
+    ranged = rows.withColumn("_amount", amount.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumns({"_range": F.spark_partition_id()}))
+    ranges = ranged.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    ranges = ranges.withColumn("_before", before).drop("_sum")
+    within = F.sum("_amount").over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn("_within", within).join(ranges, "_range").withColumn(name, F.col("_within") + F.col("_before")).drop("_amount", "_range", "_within", "_before")
+
+
+def interval_runs(rows: DataFrame, tolerance: int = 2000) -> DataFrame:
+    """(id, ms, place, last_place): rows numbered by value and id, and the last whose value is within the tolerance above.
+
+    Each row pairs with those after it up to last_place: a row for each row, however many values are
+    alike.  Ids are distinct; a null value pairs with nothing and is left out.
+    """
+    known = rows.where("ms IS NOT NULL").select("id", F.col("ms").cast("long").alias("ms"))
+    # Up to a value, rows come before the probes that ask how many there are.
+    probes = known.select("ms").distinct().select((F.col("ms") + tolerance).alias("at"), F.lit(1).alias("probe"), F.lit(None).cast(known.schema["id"].dataType).alias("id"))
+    marks = known.select(F.col("ms").alias("at"), F.lit(0).alias("probe"), "id").unionByName(probes)
+    counted = cut(running(marks, ["at", "probe", "id"], 1 - F.col("probe"), "count"))
+    ends = counted.where("probe = 1").select((F.col("at") - tolerance).alias("ms"), F.col("count").alias("last_place"))
+    return counted.where("probe = 0").select("id", F.col("at").alias("ms"), F.col("count").alias("place")).join(ends, "ms").select("id", "ms", "place", "last_place")
+
+
 def interval_pairs(rows: DataFrame, tolerance: int = 2000) -> DataFrame:
-    """Pairs of ids whose values lie within the tolerance: an equi-join on buckets as wide as it."""
-    b = rows.withColumn("bucket", F.floor(F.col("ms") / tolerance))
-    probe = b.select(F.col("id").alias("b"), F.col("ms").alias("ms2"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
-    return b.join(probe, "bucket").where((F.col("id") < F.col("b")) & (F.abs(F.col("ms") - F.col("ms2")) <= tolerance)).select(F.col("id").alias("a"), "b")
+    """Pairs of ids whose values lie within the tolerance, the smaller id first: the runs of interval_runs() written out.
+
+    The output has all pairs, and so may be far larger than the input; no join key has more rows than one.
+    """
+    runs = cut(interval_runs(rows, tolerance))
+    wanted = runs.where("last_place > place").select(F.col("id").alias("x"), F.explode(F.sequence(F.col("place") + 1, F.col("last_place"))).alias("place"))
+    both = wanted.join(runs.select("place", F.col("id").alias("y")), "place")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def greedy_groups(pairs: DataFrame) -> DataFrame:

@@ -28,23 +28,22 @@ def first_of_path(files: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def states(diff: DataFrame, left_locked: bool = False, right_locked: bool = False) -> DataFrame:
-    """relation, left_paths, right_paths and the deleted_in flags as states of either side and the commands on offer.
+    """Rows of compare.relations() as states of either side and the commands on offer, and the least paths as key.
 
-    Paths of one side are joined by `|`.  A side that once had the content and deleted it is to be
+    A side that once had the content and deleted it is to be
     resurrected; commands that delete or overwrite in a locked repository are left out.
     """
-    several = lambda c: F.contains(c, F.lit("|"))
     r = F.col("relation")
     there = lambda deleted: F.when(deleted, "resurrect").otherwise("absent")
     left = F.when(r == "Equal", "same").when(r == "OnlyLeft", "only_here").when(r == "OnlyRight", there(F.col("deleted_in_left"))).otherwise("differs")
     right = F.when(r == "Equal", "same").when(r == "OnlyRight", "only_here").when(r == "OnlyLeft", there(F.col("deleted_in_right"))).otherwise("differs")
     words = lambda *w: F.array(*[F.lit(x) for x in w]).cast("array<string>")
-    renamed = lambda side: F.when(several(F.col(f"{side}_paths")), words(f"delete_all_{side}", f"keep_one_{side}")).otherwise(words(f"rename_{side}"))
+    renamed = lambda side: F.when(F.col(f"{side}_count") > 1, words(f"delete_all_{side}", f"keep_one_{side}")).otherwise(words(f"rename_{side}"))
     commands = F.when(r == "OnlyLeft", words("copy_right", "delete_left")).when(r == "OnlyRight", words("copy_left", "delete_right"))
     commands = commands.when(r == "Renamed", F.concat(renamed("left"), renamed("right"))).when(r == "Conflict", words("compare", "overwrite_right", "overwrite_left", "delete_left", "delete_right")).otherwise(words())
     locked = [f"{verb}_{side}" for side, on in (("left", left_locked), ("right", right_locked)) if on for verb in ("delete", "delete_all", "keep_one", "overwrite")]
     allowed = F.array_except(F.concat(commands, words("hide")), words(*locked)) if locked else F.concat(commands, words("hide"))
-    key = F.concat(F.coalesce(F.split("left_paths", r"\|")[0], F.lit("")), F.lit("|"), F.coalesce(F.split("right_paths", r"\|")[0], F.lit("")))
+    key = F.concat(F.coalesce("left_path", F.lit("")), F.lit("|"), F.coalesce("right_path", F.lit("")))
     return diff.select(key.alias("key"), "relation", left.alias("left_state"), right.alias("right_state"), allowed.alias("commands"))
 
 
@@ -55,9 +54,11 @@ def board(rows: DataFrame, hidden: DataFrame | None = None, unchanged: bool = Fa
     return out if hidden is None else out.join(hidden.select("key"), "key", "left_anti")
 
 
-def operation(command: Column, left: Column, right: Column) -> Column:
-    """What a command does to files: {op, from, to}; a choice among several paths is op `pick`, others are null."""
-    several = F.contains(F.coalesce(left, F.lit("")), F.lit("|")) | F.contains(F.coalesce(right, F.lit("")), F.lit("|"))
+def operation(command: Column, left: Column, right: Column, several: Column) -> Column:
+    """What a command does to files: {op, from, to}; a choice where a side has `several` paths is op `pick`, others are null.
+
+    A copy goes to the path it comes from, an overwrite and a rename to the other side's.
+    """
     act = lambda op, a, b: F.struct(F.lit(op).alias("op"), a.cast("string").alias("from"), b.cast("string").alias("to"))
     none = F.lit(None)
     out = F.when(several & command.rlike("^(copy|overwrite|rename|keep_one)_"), act("pick", none, none))

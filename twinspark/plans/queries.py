@@ -208,15 +208,23 @@ _BY_HASH = """, l AS (SELECT size, hash, string_agg(rel_path, '|' ORDER BY rel_p
           FROM l FULL JOIN r USING (size, hash)),
     byhash AS (SELECT *, relation = 'OnlyLeft' AND (size, hash) IN (SELECT (size, hash) FROM m0 GROUP BY size, hash HAVING bool_and(missing)) AS deleted_in_right,
           relation = 'OnlyRight' AND (size, hash) IN (SELECT (size, hash) FROM r0 GROUP BY size, hash HAVING bool_and(missing)) AS deleted_in_left FROM h) """
-query("repo_diff_by_hash", _BY_HASH + "SELECT * FROM byhash")(_only(lambda f: compare.rows_by_hash(compare.of(f, "r0"), compare.of(f, "m0"))))
+query("repo_diff_by_hash", _BY_HASH + "SELECT * FROM byhash")(_only(lambda f: compare.rows_by_hash(compare.of(f, "r0"), compare.of(f, "m0")).drop("left_count", "right_count", "left_path", "right_path")))
+query("content_relations", _BY_HASH + """, n AS (SELECT size, hash, count(*) FILTER (repo = 'r0') AS left_count, count(*) FILTER (repo = 'm0') AS right_count, min(rel_path) FILTER (repo = 'r0') AS left_path, min(rel_path) FILTER (repo = 'm0') AS right_path
+    FROM live WHERE repo IN ('r0', 'm0') GROUP BY ALL) SELECT size, hash, left_count, right_count, left_path, right_path, relation, deleted_in_right, deleted_in_left FROM byhash JOIN n USING (size, hash)""")(
+    _only(lambda f: compare.relations(compare.of(f, "r0"), compare.of(f, "m0")))
+)
+query("content_path_rows", _BY_HASH + "SELECT size, hash, relation, CASE WHEN repo = 'r0' THEN 'left' ELSE 'right' END AS side, rel_path FROM live JOIN byhash USING (size, hash) WHERE repo IN ('r0', 'm0')")(
+    _only(lambda f: compare.path_rows(compare.of(f, "r0"), compare.of(f, "m0")))
+)
+query("per_repo_duplicate_path_rows", "SELECT * FROM (SELECT repo, size, hash, count(*) OVER (PARTITION BY repo, size, hash) AS copies, rel_path FROM live) WHERE copies > 1")(_only(duplicates.path_rows_by_repo))
 query("repo_diff_tombstone_flags", _BY_HASH + "SELECT relation, deleted_in_right, deleted_in_left, count(*) AS rows FROM byhash GROUP BY ALL")(
-    _only(lambda f: compare.rows_by_hash(compare.of(f, "r0"), compare.of(f, "m0")).groupBy("relation", "deleted_in_right", "deleted_in_left").agg(F.count("*").alias("rows")))
+    _only(lambda f: compare.relations(compare.of(f, "r0"), compare.of(f, "m0")).groupBy("relation", "deleted_in_right", "deleted_in_left").agg(F.count("*").alias("rows")))
 )
 query("repo_diff_totals", _BY_HASH + "SELECT relation, count(*) AS rows FROM byhash GROUP BY ALL")(
-    _only(lambda f: compare.rows_by_hash(compare.of(f, "r0"), compare.of(f, "m0")).groupBy("relation").agg(F.count("*").alias("rows")))
+    _only(lambda f: compare.relations(compare.of(f, "r0"), compare.of(f, "m0")).groupBy("relation").agg(F.count("*").alias("rows")))
 )
 query("bulk_renames", _BY_HASH + "SELECT left_paths AS old_path, right_paths AS new_path FROM byhash WHERE relation = 'Renamed' AND NOT contains(left_paths, '|') AND NOT contains(right_paths, '|')")(
-    _only(lambda f: compare.rows_by_hash(compare.of(f, "r0"), compare.of(f, "m0")).where("relation = 'Renamed' AND NOT contains(left_paths, '|') AND NOT contains(right_paths, '|')").select(F.col("left_paths").alias("old_path"), F.col("right_paths").alias("new_path")))
+    _only(lambda f: compare.relations(compare.of(f, "r0"), compare.of(f, "m0")).where("relation = 'Renamed' AND left_count = 1 AND right_count = 1").select(F.col("left_path").alias("old_path"), F.col("right_path").alias("new_path")))
 )
 query(
     "repo_diff_by_path",
@@ -290,6 +298,7 @@ query(
 query("members_by_content", "SELECT size, hash, count(*) AS occurrences, string_agg(repo || '/' || archive_rel || '/' || member_name, '|' ORDER BY repo || '/' || archive_rel || '/' || member_name) AS places FROM members WHERE hash IS NOT NULL GROUP BY size, hash")(
     lambda spark, d: archives.members_by_content(source.archive_members(spark, d))
 )
+query("member_places", "SELECT size, hash, count(*) OVER (PARTITION BY size, hash) AS occurrences, repo, archive_rel, member_name FROM members WHERE hash IS NOT NULL")(lambda spark, d: archives.member_places(source.archive_members(spark, d)))
 query("text_hash_groups", "SELECT sha256(lower(regexp_replace(text, '\\s+', '', 'g'))) AS text_hash, count(*) AS files FROM documents GROUP BY 1 HAVING count(*) > 1".replace("SELECT", "WITH d AS (SELECT 1) SELECT", 1))(
     lambda spark, d: source.table(spark, d, "documents").groupBy(scalars.text_hash(F.col("text")).alias("text_hash")).agg(F.count("*").alias("files")).where("files > 1")
 )
@@ -342,6 +351,9 @@ query(
     l AS (SELECT leaders FROM s ORDER BY rn DESC LIMIT 1), g AS (SELECT v AS member, coalesce(list_min(list_intersect(before, leaders)), v) AS leader FROM n, l)
     SELECT member, leader FROM g WHERE leader IN (SELECT leader FROM g GROUP BY leader HAVING count(*) > 1)""",
 )(lambda spark, d: similar.similar_groups(source.sign_hashes(spark, d), 64, 70.0))
+query("duration_runs", "WITH d AS (SELECT conv_id * 1000 + turn AS id, strlen(text) * 37 AS ms FROM conversations) SELECT id, ms, row_number() OVER (ORDER BY ms, id) AS place, count(*) OVER (ORDER BY ms RANGE BETWEEN UNBOUNDED PRECEDING AND 2000 FOLLOWING) AS last_place FROM d")(
+    lambda spark, d: similar.interval_runs(source.durations(spark, d))
+)
 query("duration_window_pairs", "WITH d AS (SELECT conv_id * 1000 + turn AS id, strlen(text) * 37 AS ms FROM conversations) SELECT x.id AS a, y.id AS b FROM d x JOIN d y ON x.id < y.id AND abs(x.ms - y.ms) <= 2000")(
     lambda spark, d: similar.interval_pairs(source.durations(spark, d))
 )

@@ -138,7 +138,7 @@ _STATES = (
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
     f = source.files(spark, d)
-    return views.states(compare.rows_by_hash(compare.of(f, "r0"), compare.of(f, "m0")), right_locked=True)
+    return views.states(compare.relations(compare.of(f, "r0"), compare.of(f, "m0")), right_locked=True)
 
 
 query("diff_states_and_commands", _STATES + "SELECT key, relation, left_state, right_state, commands FROM st")(lambda spark, d: _states(spark, d).withColumn("commands", F.array_join("commands", ",")))
@@ -152,9 +152,9 @@ query(
     FROM (SELECT left_paths, right_paths, contains(coalesce(left_paths, ''), '|') OR contains(coalesce(right_paths, ''), '|') AS several, unnest(string_split(commands, ',')) AS command FROM st)""",
 )(
     lambda spark, d: compare.rows_by_hash(compare.of(source.files(spark, d), "r0"), compare.of(source.files(spark, d), "m0"))
-    .select("left_paths", "right_paths", F.concat(F.coalesce(F.split("left_paths", r"\|")[0], F.lit("")), F.lit("|"), F.coalesce(F.split("right_paths", r"\|")[0], F.lit(""))).alias("key"))
+    .withColumn("key", F.concat(F.coalesce("left_path", F.lit("")), F.lit("|"), F.coalesce("right_path", F.lit(""))))
     .join(_states(spark, d).select("key", F.explode("commands").alias("command")), "key")
-    .select("left_paths", "right_paths", "command", views.operation(F.col("command"), F.col("left_paths"), F.col("right_paths"))["op"].alias("op"))
+    .select("left_paths", "right_paths", "command", views.operation(F.col("command"), F.col("left_path"), F.col("right_path"), (F.col("left_count") > 1) | (F.col("right_count") > 1))["op"].alias("op"))
 )
 query(
     "listing_rows",
