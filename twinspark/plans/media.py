@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.functions import pictures
-from twinspark.plans.queries import query
+from twinspark.functions import pictures, scalars
+from twinspark.operators import similar, sounds
+from twinspark.plans.queries import _FILES, query
+from twinspark.plans.reviews import _1536, _512, _PLACED, _placed
 from twinspark.sources import catalogue as source
 
 # Pixels: values of a picture come from two components each; every picture also lies turned or mirrored
@@ -55,3 +57,66 @@ query(
 def _turned(spark: SparkSession, d: str, side: int, turns: int) -> DataFrame:
     """Pictures of side x side pixels from the embeddings, in some of their eight turns and mirrorings (turn, p, n)."""
     return source.pictures(spark, d, side).crossJoin(F.broadcast(spark.range(turns).select(F.col("id").cast("int").alias("turn")))).withColumn("p", source.turned(F.col("p"), side, F.col("turn")))
+
+
+# Sounds: an index of words' keys, whose votes align two prints
+_SOUNDS = """own AS (SELECT vec_id AS id, vec_id % 7 * 1500 AS ms, list_transform(embedding, lambda x: floor((greatest(-1.0, least(0.9999::DOUBLE, x::DOUBLE)) + 1) * 2147483648.0::DOUBLE)::BIGINT) AS print FROM embeddings),
+    s AS (SELECT * FROM own UNION ALL SELECT id + 1000000, ms + id % 3 * 900, list_transform(range(id % 5, 64), lambda k: CASE WHEN k % 10 = 0 THEN xor(print[k + 1], 3) ELSE print[k + 1] END) FROM own),
+    {more}
+    seat AS (SELECT id, ms, print[k + 1] >> 16 AS key, min(k) AS k FROM s, range(64) r(k) WHERE k < len(print) GROUP BY ALL),
+    votes AS (SELECT a.id AS x, b.id AS y, a.k - b.k AS o, count(*) AS n FROM seat a JOIN seat b ON a.key = b.key AND (b.ms, b.id) > (a.ms, a.id) AND b.ms - a.ms <= 2000 GROUP BY ALL),
+    tuned AS (SELECT x, y, arg_max(o, (n, -abs(o), -o)) AS o FROM votes GROUP BY x, y),
+    off AS (SELECT x, y, o, least(len(a.print), len(b.print)) AS shorter, list_filter(list_transform(range(0, least(len(a.print) - greatest(o, 0), len(b.print) - greatest(-o, 0))), lambda k: bit_count(xor(a.print[k + 1 + greatest(o, 0)], b.print[k + 1 + greatest(-o, 0)]))), lambda w: w < 16) AS w
+        FROM tuned JOIN s a ON a.id = x JOIN s b ON b.id = y),
+    heard AS (SELECT x, y, o AS "offset", CASE WHEN len(w) > 0 AND len(w) >= shorter * 0.8 THEN (1 - list_sum(w) / len(w) / 32) * 100 ELSE 0 END::DOUBLE AS similarity FROM off)"""
+query("sound_pairs", "WITH " + _SOUNDS.format(more="") + ' SELECT x, y, "offset", round(similarity, 9) AS similarity FROM heard')(
+    lambda spark, d: sounds.sound_pairs(source.sounds(spark, d).withColumnRenamed("vec_id", "id")).withColumns({"offset": F.col("offset").cast("long"), "similarity": F.round("similarity", 9)})
+)
+
+
+def _kinds(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Live files, one row for each path on disk, as images, videos, documents and sounds by their ids; and those in English."""
+    placed = _placed(spark, d).withColumn("id", F.col("doc_id") * 8 + F.col("repo_ord"))
+    of = lambda rest, prints, vec: placed.where(rest).withColumn("vec_id", F.expr(vec)).join(prints, "vec_id")
+    late = "CASE WHEN doc_id % 8 >= 4 THEN doc_id - 4 + 1000000 ELSE doc_id END"
+    texts = source.table(spark, d, "documents").select("doc_id", scalars.text_hash(F.col("text")).alias("identity"))
+    images = of("doc_id % 4 = 0", source.prints_512(spark, d), "doc_id").select("id", "bands")
+    videos = of("doc_id % 4 = 1", source.prints_1536(spark, d), late).select("id", "bands")
+    heard = of("doc_id % 4 = 3", source.sounds(spark, d), late).select("id", "ms", "print")
+    return placed, images, videos, placed.where("doc_id % 4 = 2").join(texts, "doc_id").select("id", "identity"), heard, placed.where("rel_path LIKE '%en/%'").select("id")
+
+
+def _similar_files(spark: SparkSession, d: str) -> DataFrame:
+    files, images, videos, documents, heard, english = _kinds(spark, d)
+    return sounds.similar_files(files, 93.0, images, videos, documents, heard, english)
+
+
+#: One order of nodes for all kinds: the kind, for sounds the duration, then the id.
+_PLACES = 10_000_000_000_000
+query(
+    "similar_files",
+    "WITH RECURSIVE "
+    + _FILES
+    + _PLACED
+    + """, f AS (SELECT *, doc_id * 8 + repo_ord AS id, CASE WHEN doc_id % 8 >= 4 THEN doc_id - 4 + 1000000 ELSE doc_id END AS late FROM placed), """
+    + _512.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 4 = 0)").replace("pairs AS", "pairs5 AS").replace("c AS (", "c5 AS (").replace("FROM c JOIN", "FROM c5 c JOIN").replace("x AS (", "x5 AS (").replace("FROM x, lv", "FROM x5 x, lv").replace("w AS (", "w5 AS (").replace("FROM w a JOIN w b", "FROM w5 a JOIN w5 b").replace("JOIN w x ON", "JOIN w5 x ON").replace("JOIN w y ON", "JOIN w5 y ON")
+    + ", "
+    + _1536
+    + ", "
+    + _SOUNDS.format(more="").replace("s AS (SELECT * FROM own", "s AS (SELECT * FROM own", 1)
+    + f""", heard_of AS (SELECT f.id, s.ms FROM f JOIN s ON s.id = f.late WHERE doc_id % 4 = 3),
+    node AS (SELECT f.id, CASE doc_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'document' ELSE 'audio' END AS kind, CASE doc_id % 4 WHEN 0 THEN doc_id WHEN 2 THEN doc_id ELSE late END AS vec,
+        (doc_id % 4) * {_PLACES} + coalesce(h.ms, 0) * 10000000 + f.id AS v FROM f LEFT JOIN heard_of h ON h.id = f.id),
+    near AS (SELECT 'image' AS kind, a, b FROM pairs5 WHERE similarity >= 93 UNION ALL SELECT 'image', vec_id, vec_id FROM embeddings UNION ALL SELECT 'video', a, b FROM pairs WHERE similarity >= 93 UNION ALL SELECT 'video', vec_id, vec_id FROM w
+        UNION ALL SELECT 'audio', x, y FROM heard WHERE similarity >= 93 UNION ALL SELECT 'audio', id, id FROM s
+        UNION ALL SELECT 'document', a.doc_id, b.doc_id FROM documents a JOIN documents b ON lower(regexp_replace(a.text, '\\s+', '', 'g')) = lower(regexp_replace(b.text, '\\s+', '', 'g')) WHERE a.doc_id % 4 = 2 AND b.doc_id % 4 = 2 AND regexp_replace(a.text, '\\s+', '', 'g') <> ''),
+    p AS (SELECT DISTINCT least(i.v, j.v) AS a, greatest(i.v, j.v) AS b FROM near JOIN node i ON i.vec = near.a AND i.kind = near.kind JOIN node j ON j.vec = near.b AND j.kind = near.kind WHERE i.v <> j.v),
+    n AS (SELECT v, row_number() OVER (ORDER BY v) AS rn, (SELECT coalesce(list(a), []) FROM p WHERE b = v) AS before FROM (SELECT a AS v FROM p UNION SELECT b FROM p)),
+    st(rn, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.rn, CASE WHEN list_has_any(st.leaders, n.before) THEN st.leaders ELSE list_append(st.leaders, n.v) END FROM st JOIN n ON n.rn = st.rn + 1),
+    l AS (SELECT leaders FROM st ORDER BY rn DESC LIMIT 1), g0 AS (SELECT v, coalesce(list_min(list_intersect(before, leaders)), v) AS lead FROM n, l),
+    g AS (SELECT a.kind, b.id AS leader, a.id AS member FROM g0 JOIN node a ON a.v = g0.v JOIN node b ON b.v = g0.lead WHERE lead IN (SELECT lead FROM g0 GROUP BY lead HAVING count(*) > 1)),
+    r AS (SELECT g.*, f.rel_path, size, row_number() OVER (PARTITION BY kind, leader ORDER BY coalesce(img_w * img_h, -1) DESC, (taken_ms IS NOT NULL OR camera IS NOT NULL) DESC, taken_ms IS NULL, taken_ms, modified_ms, lower(rel_path), repo_ord, rel_path, id) = 1 AS best FROM g JOIN f ON f.id = member),
+    t AS (SELECT kind, leader, sum(size) FILTER (NOT best)::BIGINT AS wasted FROM r GROUP BY ALL HAVING bool_or(rel_path LIKE '%en/%')),
+    pl AS (SELECT *, row_number() OVER (ORDER BY wasted DESC, kind, leader) AS place FROM t)
+    SELECT place, kind, leader, member, best, wasted FROM r JOIN pl USING (kind, leader)""",
+)(_similar_files)

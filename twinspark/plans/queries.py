@@ -372,5 +372,5 @@ def _texts_of_one_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("byte_alignment")(lambda spark, d: align.byte_alignment(_pairs_of_paths(spark, d)))
-query("line_diff")(lambda spark, d: align.line_diff(_texts_of_one_path(spark, d)).select("rel_path", "segments"))
+query("line_diff")(lambda spark, d: align.line_rows(_texts_of_one_path(spark, d)).select("rel_path", "segments", "degraded", "rows"))
 query("name_diff")(lambda spark, d: align.name_diff(_pairs_of_paths(spark, d)))

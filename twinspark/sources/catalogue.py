@@ -162,3 +162,11 @@ def turned(pixels: Column, side: int, turn: Column) -> Column:
     for k, place in enumerate(places[1:], 1):
         out = out.when(turn == k, moved(place))
     return out
+
+
+def sounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Prints of 64 words from the embeddings (vec_id, ms, print), and copies, as vec_id + 1000000, that begin later and differ in a few bits."""
+    word = lambda x: F.floor((F.greatest(F.lit(-1.0), F.least(F.lit(0.9999), x.cast("double"))) + 1) * 2147483648.0)
+    own = table(spark, folder, "embeddings").select("vec_id", (F.col("vec_id") % 7 * 1500).alias("ms"), F.transform("embedding", word).alias("print"))
+    late = F.slice(F.transform("print", lambda w, k: F.when(k % 10 == 0, w.bitwiseXOR(F.lit(3).cast("long"))).otherwise(w)), (F.col("vec_id") % 5 + 1).cast("int"), F.lit(64))
+    return own.unionByName(own.select((F.col("vec_id") + 1000000).alias("vec_id"), (F.col("ms") + F.col("vec_id") % 3 * 900).alias("ms"), late.alias("print")))
