@@ -89,6 +89,14 @@ def plan_totals(plan: DataFrame) -> DataFrame:
     return plan.groupBy("name", "sink").agg(F.count_if(copied).alias("copies"), F.coalesce(F.sum(F.when(copied, F.col("size"))), zero).alias("copy_bytes"), F.count_if(deleted).alias("deletes"), F.coalesce(F.sum(F.when(deleted, F.col("size"))), zero).alias("delete_bytes"))
 
 
+def transfer_totals(classified: DataFrame, move: bool = False) -> DataFrame:
+    """One row of what a copy or a move of compare.classified() rows does: files and bytes that come, files that go, stay as they are, or are left out as the target deleted them."""
+    new = F.col("relation") == "New"
+    comes = F.coalesce(F.sum(F.when(new, F.col("size"))), F.lit(0)).cast("long")
+    goes = F.count_if(new) if move else F.lit(0).cast("long")
+    return classified.agg(F.count_if(new).alias("copies"), comes.alias("copy_bytes"), goes.alias("deletes"), F.count_if(F.col("relation") == "Equal").alias("unchanged"), F.count_if(F.col("relation") == "DeletedInReference").alias("skipped"))
+
+
 def copied_entries(candidates: DataFrame, to: str, on_disk: DataFrame) -> DataFrame:
     """Rows of the files that a copy adds to `to`: not missing, with their time on disk (rel_path, disk_ms) and their provenance."""
     out = candidates.join(on_disk, "rel_path", "left")
