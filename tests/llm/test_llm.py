@@ -220,14 +220,15 @@ def test_fewer_edits_are_nearer():
 
 def read_by_walk(text):
     """What a walk reads, step by step, and the fingerprint, by their definitions."""
-    chars, read, i = fingerprints.characters(text), [], 0
+    of, read, i = fingerprints.points(text), [], 0
+    chars = fingerprints.characters(of)
     while i < len(chars):
-        read.append(chars[i])
+        read.append(int(of[i]))
         i += fingerprints._STAYS[chars[i]][(len(read) - 1) % fingerprints.PERIOD] == 1
     slots = []
-    for positions in fingerprints._AT.tolist():
+    for slot, positions in enumerate(fingerprints._AT.tolist()):
         taken = [p for p in positions if p < len(read)]
-        slots.append(read[taken[-1]] if taken else 0)
+        slots.append(fingerprints.values(np.array([read[taken[-1]]]), np.array([slot]))[0] if taken else 0)
     return read, bytes(slots).hex()
 
 
@@ -254,6 +255,25 @@ def test_any_changed_character_changes_the_embedding():
     assert all(read_by_walk(text[:k] + "Z" + text[k + 1 :])[0] != whole for k in range(len(text)))
 
 
+def test_no_two_characters_are_taken_for_each_other():
+    """Replacing every one of a character by another changes about all slots that read it, whichever the two are."""
+    rng = random.Random(4)
+    plain = [chr(c) for c in (*range(32, 127), *range(0xA0, 0x250), 0x4E2D, 0x65E5, 0x1F642, 0x1F643)]
+    rows = [fingerprints.characters(fingerprints.points(c))[0] for c in plain[:-4]]
+    assert len(set(rows)) == len(rows)
+    of, slots = fingerprints.points("".join(plain)), np.arange(fingerprints.SLOTS)
+    as_bytes = np.stack([fingerprints.values(np.full(fingerprints.SLOTS, p), slots) for p in of])
+    alike = (as_bytes[:, None, :] == as_bytes[None, :, :]).mean(axis=2) - np.eye(len(of))
+    assert alike.max() < 0.05 and as_bytes.min() > 0
+    changed = 0
+    for _ in range(300):
+        a, b = rng.sample(plain, 2)
+        text = "".join(rng.choice([a, *"the of and"]) for _ in range(400))
+        x, y = fingerprints.embed([text, text.replace(a, b)])
+        changed += (x != y).any()
+    assert changed >= 299
+
+
 def test_near_documents_find_like_fingerprints(spark):
     """Ids divisible by 100 against all rows of sf0.01: links of at least 0.8 that brute force finds, and no class without a chain of links."""
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -14,6 +14,8 @@ from twinspark.llm.shared import components, cut_lineage, mixed, release, steps,
 
 #: Sampled positions of a walk, a byte each.
 SLOTS = 256
+#: Characters below OWN have random bits of their own; the others share SHARED more rows of them, but are sampled as themselves.
+OWN, SHARED = 2048, 2048
 #: Steps after which the walks' shared random bits come round again.
 PERIOD = 1024
 #: Bands, and the sampled slots of each: a pair of likeness 0.8 shares a band with a probability of 0.99.
@@ -25,11 +27,12 @@ _rng = np.random.default_rng(11)
 
 
 def _stays() -> list[bytes]:
-    """For each byte that stands for a character, and each step at which it is first read, the steps until the walk has moved on."""
-    moves = np.tile(_rng.random((256, PERIOD)) < 0.5, 2)
+    """For each row of random bits, and each step at which it is first read, the steps until the walk has moved on."""
+    more = np.random.default_rng(12).random((OWN + SHARED - 256, PERIOD))
+    moves = np.tile(np.concatenate([_rng.random((256, PERIOD)), more]) < 0.5, 2)
     moves[:, -1] = True
-    out = np.zeros((256, 2 * PERIOD), np.uint8)
-    since = np.zeros(256, np.int64)
+    out = np.zeros((OWN + SHARED, 2 * PERIOD), np.uint8)
+    since = np.zeros(OWN + SHARED, np.int64)
     for j in range(2 * PERIOD - 1, -1, -1):
         since = np.where(moves[:, j], 1, since + 1)
         out[:, j] = since
@@ -52,13 +55,22 @@ _STAYS, _AT = _stays(), _positions()
 _BAND = np.stack([_rng.choice(SLOTS, BAND, replace=False) for _ in range(BANDS)])
 
 
-def characters(text: str) -> bytes:
-    """A byte from 1 to 255 for each character."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return ((points * np.uint32(0x9E3779B1) >> np.uint32(12)) % np.uint32(255) + np.uint32(1)).astype(np.uint8).tobytes()
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def walk(chars: bytes, steps_at: list[int], step: int = 0) -> int:
+def characters(of: np.ndarray) -> list[int]:
+    """The row of random bits of each character."""
+    return np.where(of < OWN, of, OWN + (of * np.uint32(0x9E3779B1) >> np.uint32(12)) % np.uint32(SHARED)).tolist()
+
+
+def values(of: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The byte, from 1 to 255, that a character is in a slot: two characters agree in one of 255 slots, and no two in all."""
+    keys = (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + slots.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    return (mixed(keys) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+
+
+def walk(chars: list[int], steps_at: list[int], step: int = 0) -> int:
     """Append the step at which each character is first read, from `step` on; the step after the last.
 
     A walk reads a character at each step, and moves on to the next if the bit that all walks share
@@ -72,20 +84,21 @@ def walk(chars: bytes, steps_at: list[int], step: int = 0) -> int:
     return step
 
 
-def sampled(chars: bytes, steps_at: list[int], length: int) -> np.ndarray:
+def sampled(of: np.ndarray, steps_at: list[int], length: int) -> np.ndarray:
     """The slots: what the walk reads at the sampled positions; zeros where there is no character."""
-    if not chars:
+    if not len(of):
         return np.zeros(SLOTS, np.uint8)
-    at = _AT[np.arange(SLOTS), (_AT < length).sum(axis=1) - 1]
-    return np.frombuffer(chars, np.uint8)[np.searchsorted(np.array(steps_at), at, side="right") - 1]
+    slots = np.arange(SLOTS)
+    at = _AT[slots, (_AT < length).sum(axis=1) - 1]
+    return values(of[np.searchsorted(np.array(steps_at), at, side="right") - 1], slots)
 
 
 def embed(texts: list[str]) -> np.ndarray:
     """The slots of each text; the share of equal slots is the likeness of two texts."""
     out = np.zeros((len(texts), SLOTS), np.uint8)
     for k, text in enumerate(texts):
-        chars, steps_at = characters(text), []
-        out[k] = sampled(chars, steps_at, walk(chars, steps_at))
+        of, steps_at = points(text), []
+        out[k] = sampled(of, steps_at, walk(characters(of), steps_at))
     return out
 
 
@@ -93,11 +106,11 @@ def embed_edited(texts: list[str], edited: list[str], same: list[int]) -> tuple[
     """Slots of texts and of edited ones, whose first `same` characters are the text's: these are walked once."""
     out = np.zeros((2, len(texts), SLOTS), np.uint8)
     for k, (text, other, n) in enumerate(zip(texts, edited, same, strict=True)):
-        chars, steps_at = characters(text), []
-        end = walk(chars, steps_at)
-        out[0, k] = sampled(chars, steps_at, end)
-        chars, steps_at, end = characters(other), steps_at[:n], steps_at[n] if n < len(steps_at) else end
-        out[1, k] = sampled(chars, steps_at, walk(chars[n:], steps_at, end))
+        of, steps_at = points(text), []
+        end = walk(characters(of), steps_at)
+        out[0, k] = sampled(of, steps_at, end)
+        of, steps_at, end = points(other), steps_at[:n], steps_at[n] if n < len(steps_at) else end
+        out[1, k] = sampled(of, steps_at, walk(characters(of[n:]), steps_at, end))
     return out[0], out[1]
 
 
