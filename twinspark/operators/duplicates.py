@@ -109,8 +109,14 @@ def page(files: DataFrame, number: int, rows: int = 50) -> DataFrame:
     return group_keys(files).orderBy(F.desc("wasted"), F.desc("size"), "hash").offset(number * rows).limit(rows)
 
 
+def survive_only_in_archives(files: DataFrame, marked: DataFrame, members: DataFrame) -> DataFrame:
+    """Contents all of whose live copies are `marked` (repo, rel_path) to go, though an archive still holds them."""
+    chosen = marked.select("repo", "rel_path").distinct().withColumn("_marked", F.lit(True))
+    copies = live(files).join(chosen, ["repo", "rel_path"], "left").groupBy(*KEY).agg(F.count("*").alias("copies"), F.count("_marked").alias("marked"))
+    held = members.where("hash IS NOT NULL").select(*KEY)
+    return copies.where("marked = copies").join(held, KEY, "left_semi").select(*KEY, "copies")
+
+
 def only_in_archives(files: DataFrame, accepted: DataFrame, members: DataFrame) -> DataFrame:
-    """Contents all of whose live copies are to go, though an archive still holds them."""
-    gone = to_delete(files, accepted).groupBy(*KEY).agg(F.count("*").alias("marked"))
-    all_gone = live(files).groupBy(*KEY).agg(F.count("*").alias("copies")).join(gone, KEY).where("marked = copies")
-    return all_gone.join(members.where("hash IS NOT NULL"), KEY, "left_semi").select(*KEY, "copies")
+    """survive_only_in_archives() of what to_delete() would take: none, as long as the best copy stays."""
+    return survive_only_in_archives(files, to_delete(files, accepted), members)

@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.operators import archives, records
+from twinspark.functions import scalars
+from twinspark.operators import archives, duplicates, records, registry, sync
+from twinspark.operators.duplicates import live
 from twinspark.operators.similar import shared_folder
 from twinspark.plans.queries import query
 from twinspark.sources import catalogue as source
@@ -103,3 +105,51 @@ def _logged(spark: SparkSession, d: str) -> DataFrame:
     for number in (0, 1, 0):
         updates.append_batch(events.where(F.col("event_id") % 2 == number), number, folder)
     return updates.read_log(spark, folder).groupBy(F.col("batch").cast("long").alias("batch"), "event_type").agg(F.count("*").alias("lines"), F.sum("event_id").alias("ids"))
+
+
+# Archives that hold what is to go, sinks that would lose all, a registry of folders
+query("marked_but_archived", "SELECT size, hash, count(*) AS copies FROM live WHERE (size, hash) IN (SELECT (size, hash) FROM members WHERE hash IS NOT NULL) GROUP BY size, hash HAVING bool_and(doc_id % 3 = 0)")(
+    lambda spark, d: duplicates.survive_only_in_archives(source.files(spark, d), live(source.files(spark, d)).where("doc_id % 3 = 0"), source.archive_members(spark, d))
+)
+
+
+def _wholesale(spark: SparkSession, d: str) -> DataFrame:
+    """A mirror of r3 that holds nothing of it, beside one that holds some."""
+    files = source.files(spark, d)
+    kept = live(files).where("repo = 'r3'").select("size", "hash")
+    mirror = files.where("repo = 'm0'").join(kept, ["size", "hash"], "left_anti").select(*files.columns)
+    groups = spark.createDataFrame([("g", "r3", [("m0", "Mirror"), ("r1", "Mirror")])], "name string, main string, sinks array<struct<repo: string, mode: string>>")
+    return sync.wholesale(files.where("repo <> 'm0'").unionByName(mirror), groups)
+
+
+query("wholesale_mirrors", "SELECT 'g' AS name, 'm0' AS sink, count(*) AS deletes, count(*) AS live_files FROM live WHERE repo = 'm0' AND (size, hash) NOT IN (SELECT (size, hash) FROM live WHERE repo = 'r3')")(_wholesale)
+
+
+def _folders(spark: SparkSession, d: str) -> DataFrame:
+    """A repository for each source of documents, last scanned when its newest file was written."""
+    rows = source.table(spark, d, "documents").selectExpr("source AS repo", "concat('/vol/', source) AS abs_path", "1514764800000 + ((doc_id * 7919) % 2500) * 86400000 AS ms")
+    return rows.groupBy("repo", "abs_path").agg((F.count("*") % 2 == 0).alias("remote"), F.max("ms").alias("last_scan_ms"))
+
+
+def _edited_folders(spark: SparkSession, d: str) -> DataFrame:
+    repos = _folders(spark, d)
+    first, last = repos.agg(F.min("repo"), F.max("repo")).first()
+    groups = spark.createDataFrame([], "name string, main string, sinks array<struct<repo: string, mode: string>>")
+    repos = registry.relocate_repo(registry.create_repo(repos, "newer", "/vol/e"), first, "/mnt/moved", True)
+    return registry.rename_repo(repos, groups, last, "renamed")
+
+
+_FOLDERS = "WITH r AS (SELECT source AS repo, '/vol/' || source AS abs_path, count(*) % 2 = 0 AS remote, max(1514764800000 + ((doc_id * 7919) % 2500) * 86400000) AS last_scan_ms FROM documents GROUP BY source)"
+query(
+    "registry_of_folders",
+    _FOLDERS + """ SELECT CASE WHEN repo = (SELECT max(repo) FROM r) THEN 'renamed' ELSE repo END AS repo, CASE WHEN repo = (SELECT min(repo) FROM r) THEN '/mnt/moved' ELSE abs_path END AS abs_path,
+    remote OR repo = (SELECT min(repo) FROM r) AS remote, last_scan_ms FROM r UNION ALL SELECT 'newer', '/vol/e', false, 0""",
+)(_edited_folders)
+query(
+    "folder_ages",
+    _FOLDERS + """, a AS (SELECT repo, ((SELECT max(last_scan_ms) FROM r) + 7200000 * (1 + length(repo)) - last_scan_ms) // 1000 AS s FROM r)
+    SELECT repo, CASE WHEN s < 86400 THEN (s // 3600) || CASE WHEN s // 3600 = 1 THEN ' hour ago' ELSE ' hours ago' END ELSE (s // 86400) || CASE WHEN s // 86400 = 1 THEN ' day ago' ELSE ' days ago' END END AS age FROM a""",
+)(
+    lambda spark, d: _folders(spark, d).join(F.broadcast(_folders(spark, d).agg(F.max("last_scan_ms").alias("latest"))))  # one row
+    .select("repo", scalars.age_in_words(F.col("last_scan_ms"), F.col("latest") + 7200000 * (1 + F.length("repo"))).alias("age"))
+)
