@@ -32,11 +32,13 @@ def with_suffixes(moves: DataFrame, files: DataFrame | None = None) -> DataFrame
 
     Sources are taken in the order of their paths.  Targets that `files` has live are not free,
     those of files that move away neither, so that moves can be carried out in any order; where one
-    that is passed holds the file's content, the file stays: naming.free_names.
+    that is passed holds the file's content, the file stays: naming.free_names.  Moves without size
+    and hash have no content that could be there.
     """
     within = lambda path: F.concat("repo", F.lit("/"), path)
-    wanted = moves.withColumns({"wish": within("target"), "turn": F.struct("repo", "rel_path")})
-    held = (moves if files is None else live(files)).select(within("rel_path").alias("path"), *KEY)
+    unknown = {c: F.lit(None).cast(t) for c, t in zip(KEY, ("long", "string"), strict=True) if c not in moves.columns}
+    wanted = moves.withColumns(unknown).withColumns({"wish": within("target"), "turn": F.struct("repo", "rel_path")})
+    held = (wanted if files is None else live(files)).select(within("rel_path").alias("path"), *KEY)
     placed = free_names(wanted, held.where("false") if files is None else held, same_in_run=False, dotfiles=False)
     return placed.select(*moves.columns, F.when(~F.col("skip"), F.expr("substr(path, length(repo) + 2)")).alias("final"))
 
