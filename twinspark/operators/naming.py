@@ -49,8 +49,11 @@ def positions(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return ranged.join(ranges, [*keys, "_range"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_range", "_at", "_first", "_before")
 
 
-def sum_before(rows: DataFrame, key: str, at: str, amount: Column, name: str) -> DataFrame:
-    """`rows` with the sum of `amount` over the rows of their key whose `at` is smaller; SPAN values of `at` are one task's."""
+def sum_before(rows: DataFrame, key: str, at: str, amount: Column, name: str, large: bool = True) -> DataFrame:
+    """`rows` with the sum of `amount` over the rows of their key whose `at` is smaller; SPAN values of `at` are one task's, or with `large` false a key's."""
+    if not large:
+        before = W.partitionBy(key).orderBy(F.col(at).cast("long")).rangeBetween(W.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum(amount.cast("long")).over(before), F.lit(0)))
     rows = rows.withColumns({"_span": F.floor(F.col(at) / SPAN), "_amount": amount.cast("long")})
     spans = rows.groupBy(key, "_span").agg(F.sum("_amount").alias("_sum"))
     earlier = F.coalesce(F.sum("_sum").over(W.partitionBy(key).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -93,20 +96,21 @@ def free_names(files: DataFrame, held: DataFrame, same_in_run: bool, dotfiles: b
     known = fixed.select("wish", *KEY).distinct().withColumn("skip", F.lit(True))
     files = cut(files.join(known, ["wish", *KEY], "left").withColumns({"skip": F.coalesce("skip", F.lit(False)), "number": F.lit(None).cast("int")}))
     gaps = fixed.withColumn("holds", F.lit(True))
+    large = (files.agg(F.max("pos")).first()[0] or 0) > SPAN  # whether any wish has more files than one task counts
     now, before = (None if met.isEmpty() else _state(files, gaps)), None
     while now != before:
         before = now
-        ranks = sum_before(files.drop("number"), "wish", "pos", F.when(F.col("skip"), 0).otherwise(1), "k").withColumn("k", F.col("k") + 1)
+        ranks = sum_before(files.drop("number"), "wish", "pos", F.when(F.col("skip"), 0).otherwise(1), "k", large).withColumn("k", F.col("k") + 1)
         # A name that another took in this run is lost to the file that would take it only if it was taken before.
-        below = sum_before(gaps, "wish", "n", F.when(F.col("holds"), 1).otherwise(0), "below").withColumn("_k", F.col("n") - F.col("below"))
+        below = sum_before(gaps, "wish", "n", F.when(F.col("holds"), 1).otherwise(0), "below", large).withColumn("_k", F.col("n") - F.col("below"))
         reached = ranks.where("not skip").select("wish", F.col("k").alias("_k"), F.col("turn").alias("reached"))
         holds = F.col("since").isNull() | F.col("reached").isNull() | (F.col("since") < F.col("reached"))
         gaps = below.join(reached, ["wish", "_k"], "left").withColumn("holds", holds).drop("reached", "below", "_k")
         # Numbers: the rank among files that are placed, moved on by the names that are not free.
-        below = sum_before(gaps.where("holds").select("wish", "n"), "wish", "n", F.lit(1), "below")
+        below = sum_before(gaps.where("holds").select("wish", "n"), "wish", "n", F.lit(1), "below", large)
         marks = below.select("wish", (2 * (F.col("n") - 1 - F.col("below")) + 1).cast("long").alias("at"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("pos"))
         seats = ranks.select("wish", (2 * F.col("k")).cast("long").alias("at"), F.lit(0).alias("one"), "pos")
-        passed = sum_before(seats.unionByName(marks), "wish", "at", F.col("one"), "passed").where("pos is not null").select("wish", "pos", "passed")
+        passed = sum_before(seats.unionByName(marks), "wish", "at", F.col("one"), "passed", large).where("pos is not null").select("wish", "pos", "passed")
         placed = ranks.join(passed, ["wish", "pos"]).withColumn("number", (F.col("k") + F.col("passed")).cast("int"))
         there = gaps.where(F.lit(same_in_run) | ~F.col("in_run")).select("wish", *KEY, "n", "since")
         met = placed.join(there, ["wish", *KEY]).where("n < number and (since is null or since < turn)").select("wish", "pos").distinct().withColumn("met", F.lit(True))

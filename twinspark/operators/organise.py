@@ -9,6 +9,7 @@ from twinspark.functions.filters import parse, predicate
 from twinspark.functions.scalars import normal_path, rendered, utc_date
 from twinspark.operators.duplicates import KEY, live
 from twinspark.operators.naming import free_names
+from twinspark.operators.similar import cut
 
 
 def timeline(files: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def with_suffixes(moves: DataFrame, files: DataFrame | None = None) -> DataFrame
     unknown = {c: F.lit(None).cast(t) for c, t in zip(KEY, ("long", "string"), strict=True) if c not in moves.columns}
     wanted = moves.withColumns(unknown).withColumns({"wish": within("target"), "turn": F.struct("repo", "rel_path")})
     held = (wanted if files is None else live(files)).select(within("rel_path").alias("path"), *KEY)
-    placed = free_names(wanted, held.where("false") if files is None else held, same_in_run=False, dotfiles=False)
+    placed = free_names(cut(wanted), held.where("false") if files is None else held, same_in_run=False, dotfiles=False)
     return placed.select(*moves.columns, F.when(~F.col("skip"), F.expr("substr(path, length(repo) + 2)")).alias("final"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinspark.functions.scalars import utc_date
 from twinspark.operators.duplicates import KEY, live
 from twinspark.operators.naming import free_names
+from twinspark.operators.similar import cut
 
 
 def selected(rows: DataFrame, side: str, only: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -114,7 +115,7 @@ def exported_by_date(files: DataFrame, target: DataFrame) -> DataFrame:
     name = F.element_at(F.split("rel_path", "/"), -1)
     folder = F.concat(F.year(best).cast("string"), F.lit("/"), F.lpad(F.month(best).cast("string"), 2, "0"), F.lit("/"))
     turn = F.struct("repo_ord", "rel_path")
-    wanted = live(files).withColumns({"wish": F.concat(folder, name), "turn": turn})
+    wanted = cut(live(files).select("repo", "rel_path", *KEY, F.concat(folder, name).alias("wish"), turn.alias("turn")))
     # Of files of one wish and content all but the first meet the first's.
     distinct = wanted.groupBy("wish", *KEY).agg(F.min("turn").alias("turn"))
     placed = free_names(distinct, target, same_in_run=True, dotfiles=True).select("wish", *KEY, "turn", "skip", "path").withColumnRenamed("turn", "first")
