@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -10,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinspark.functions.scalars import similarity
-
 #: Bits of a band of the prints whose pairs are to be found without loss.
 WIDTH = 16
 
@@ -26,22 +25,49 @@ def sure_radius(bits: int, threshold: float, width: int = WIDTH) -> int:
     return int((100 - threshold) / 100 * bits + 1e-9) // (bits // width)
 
 
-def head_pairs(distinct: DataFrame, bits: int, threshold: float, radius: int = 0) -> DataFrame:
-    """Pairs (rep, rep2, similarity) of the distinct hashes that share a band and are at least so similar, in percent.
+def _words(bits: int, width: int) -> list[Column]:
+    """The array `bands` as words of 64 bits; null if a band of theirs is."""
+    per = 64 // width
+    at = lambda k: F.when(F.size("bands") > k, F.get("bands", F.lit(k)).cast("long")).otherwise(F.lit(0).cast("long"))
+    some = lambda w: [F.shiftleft(at(per * w + j), width * j) for j in range(per)]
+    return [reduce(Column.bitwiseOR, some(w)) for w in range(-(-bits // (per * width)))]
 
-    A band of WIDTH bits is shared if at most `radius` bits of it differ: one side is dealt to all such values.
-    Ids alone are dealt to bands; the hashes join what pairs come of it.
-    """
-    masks = [sum(1 << k for k in at) for r in range(radius + 1) for at in combinations(range(WIDTH), r)]
-    other = distinct.select("rep", F.posexplode("bands").alias("band", "value"))
-    dealt = other.withColumn("value", F.explode(F.array(*[F.col("value").bitwiseXOR(F.lit(m)) for m in masks]))) if radius else other
-    near = dealt.hint("merge").join(other.withColumnRenamed("rep", "rep2"), ["band", "value"]).where("rep < rep2").select("rep", "rep2").distinct()
-    own = distinct.select("rep", "bands")
-    near = near.join(own.hint("merge"), "rep").join(own.select(F.col("rep").alias("rep2"), F.col("bands").alias("bands2")).hint("merge"), "rep2")
-    return near.withColumn("similarity", similarity(F.col("bands"), F.col("bands2"), bits)).where(F.col("similarity") >= threshold).select("rep", "rep2", "similarity")
 
+def head_pairs(distinct: DataFrame, bits: int, threshold: float, radius: int = 0, width: int = WIDTH) -> DataFrame:
+    """Pairs (rep, rep2, similarity) of the distinct hashes that share a band and are at least so similar, in percent.
 
-def banded_pairs(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id", radius: int = 0) -> DataFrame:
+    A band is an integer of at most `width` bits, and an array has no more bands than `bits` need, in whole words of 64; others raise.
+    A band is shared if at most `radius` bits of it differ: one side is dealt to all such values.  The
+    words that are dealt with an id are as many as tell random hashes from similar ones, so a pair is
+    dropped where it meets; what is left is compared whole.  Hashes with a null band, or of different lengths, are no pair.
+    """
+    masks = [sum(1 << k for k in at) for r in range(radius + 1) for at in combinations(range(width), r)]
+    words, most = _words(bits, width), (1 << width) - 1
+    bands = len(words) * (64 // width)
+    # Half of a random pair's bits differ, 32 in each word; two words more than the differing bits allow hardly let one through.
+    carried = min(len(words), int((100 - threshold) / 100 * bits) // 32 + 3)
+    sound = F.forall("bands", lambda x: F.coalesce(x.between(0, most), F.lit(True))) & (F.size("bands") <= bands)
+    checked = F.when(F.coalesce(sound, F.lit(True)), F.size("bands")).otherwise(F.raise_error(F.lit(f"bands have {width} bits, and an array has {bands} at most")).cast("int"))
+    # Written: it is read up to four times, and filters on words would else be worked out from the hashes' own sources.
+    coded = cut(distinct.select("rep", checked.alias("size"), "bands", *[w.alias(f"w{k}") for k, w in enumerate(words)]))
+    few = [f"w{k}" for k in range(carried)]
+    left = coded.select("rep", "size", *few, F.posexplode("bands").alias("band", "value"))
+    right = left.toDF("rep2", "size2", *[f"{w}_2" for w in few], "band", "value")
+    if radius:
+        left = left.withColumn("value", F.explode(F.array(*[F.col("value").bitwiseXOR(F.lit(m)) for m in masks])))
+
+    def alike(names: list[str]) -> Column:
+        return (1 - sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in names), F.lit(0)) / bits) * 100
+
+    met = left.hint("merge").join(right, ["band", "value"]).where((F.col("rep") < F.col("rep2")) & (F.col("size") == F.col("size2")) & (alike(few) >= threshold))
+    if carried == len(words):
+        return met.select("rep", "rep2", alike(few).alias("similarity")).distinct()
+    own = coded.drop("size", "bands")
+    near = met.select("rep", "rep2").distinct().join(own.hint("merge"), "rep").join(own.toDF("rep2", *[f"w{k}_2" for k in range(len(words))]).hint("merge"), "rep2")
+    return near.withColumn("similarity", alike([f"w{k}" for k in range(len(words))])).where(F.col("similarity") >= threshold).select("rep", "rep2", "similarity")
+
+
+def banded_pairs(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id", radius: int = 0, width: int = WIDTH) -> DataFrame:
     """Pairs (a, b, similarity) of hashes that share a band and are at least so similar, in percent.
 
     `hashes` has the id and `bands`, the hash as an array of bands.  Equal hashes are one row
@@ -52,19 +78,19 @@ def banded_pairs(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_
     distinct = heads(hashes, id)
     members = hashes.select(F.col(id).alias("a"), "bands").join(distinct.select("bands", "rep"), "bands").select("a", "rep")
     others = members.select(F.col("a").alias("b"), F.col("rep").alias("rep2"))
-    out = head_pairs(distinct, bits, threshold, radius).join(members, "rep").join(others, "rep2")
+    out = head_pairs(distinct, bits, threshold, radius, width).join(members, "rep").join(others, "rep2")
     twins = members.join(others, F.col("rep") == F.col("rep2")).where("a < b").select("a", "b", F.lit(100.0).alias("similarity"))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").unionByName(twins)
 
 
-def similar_groups(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id", radius: int = 0) -> DataFrame:
+def similar_groups(hashes: DataFrame, bits: int, threshold: float, id: str = "vec_id", radius: int = 0, width: int = WIDTH) -> DataFrame:
     """(member, leader): the groups of greedy_groups(banded_pairs(...)), with one row for each of many equal hashes, not pairs of them.
 
     Equal hashes have the same neighbours and one of them leads only if it has the least id, so
     groups of the distinct hashes' least ids are groups of all.
     """
     distinct = heads(hashes, id)
-    led = leaders(head_pairs(distinct, bits, threshold, radius).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+    led = leaders(head_pairs(distinct, bits, threshold, radius, width).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
     named = distinct.join(led, F.col("rep") == F.col("v"), "left").select("bands", "n", F.coalesce("leader", "rep").alias("leader"))
     grouped = named.groupBy("leader").agg(F.sum("n").alias("members")).where("members > 1").select("leader")
     named = named.join(grouped, "leader", "left_semi").select("bands", "leader")
@@ -124,6 +150,8 @@ def leaders(pairs: DataFrame) -> DataFrame:
     """
     edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = cut(edges)
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("v"), F.lit(None).cast("long").alias("leader"))
     nodes = cut(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("leader", F.lit(None).cast("long")))
     while True:
         small = edges.join(nodes.select(F.col("v").alias("a"), F.col("leader").alias("of")), "a")

@@ -343,14 +343,14 @@ query(
 _PAIRS = """e AS (SELECT vec_id, [list_sum([CASE WHEN embedding[k * 8 + i + 1] > 0 THEN 1 << i ELSE 0 END FOR i IN range(8)])::BIGINT FOR k IN range(8)] AS bands FROM embeddings),
     u AS (SELECT vec_id, unnest(range(8)) AS k, unnest(bands) AS v FROM e), c AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.k = b.k AND a.v = b.v AND a.vec_id < b.vec_id),
     pairs AS (SELECT a, b, (1 - list_sum([bit_count(xor(x.bands[k], y.bands[k])) FOR k IN range(1, 9)]) / 64) * 100 AS similarity FROM c JOIN e x ON x.vec_id = a JOIN e y ON y.vec_id = b)"""
-query("similar_pairs_banded", f"WITH {_PAIRS} SELECT a, b, similarity::DOUBLE AS similarity FROM pairs WHERE similarity >= 70")(lambda spark, d: similar.banded_pairs(source.sign_hashes(spark, d), 64, 70.0))
+query("similar_pairs_banded", f"WITH {_PAIRS} SELECT a, b, similarity::DOUBLE AS similarity FROM pairs WHERE similarity >= 70")(lambda spark, d: similar.banded_pairs(source.sign_hashes(spark, d), 64, 70.0, width=8))
 query(
     "similar_groups_greedy",
     f"""WITH RECURSIVE {_PAIRS}, p AS (SELECT a, b FROM pairs WHERE similarity >= 70), n AS (SELECT v, row_number() OVER (ORDER BY v) AS rn, (SELECT coalesce(list(a), []) FROM p WHERE b = v) AS before FROM (SELECT a AS v FROM p UNION SELECT b FROM p)),
     s(rn, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.rn, CASE WHEN list_has_any(s.leaders, n.before) THEN s.leaders ELSE list_append(s.leaders, n.v) END FROM s JOIN n ON n.rn = s.rn + 1),
     l AS (SELECT leaders FROM s ORDER BY rn DESC LIMIT 1), g AS (SELECT v AS member, coalesce(list_min(list_intersect(before, leaders)), v) AS leader FROM n, l)
     SELECT member, leader FROM g WHERE leader IN (SELECT leader FROM g GROUP BY leader HAVING count(*) > 1)""",
-)(lambda spark, d: similar.similar_groups(source.sign_hashes(spark, d), 64, 70.0))
+)(lambda spark, d: similar.similar_groups(source.sign_hashes(spark, d), 64, 70.0, width=8))
 query("duration_runs", "WITH d AS (SELECT conv_id * 1000 + turn AS id, strlen(text) * 37 AS ms FROM conversations) SELECT id, ms, row_number() OVER (ORDER BY ms, id) AS place, count(*) OVER (ORDER BY ms RANGE BETWEEN UNBOUNDED PRECEDING AND 2000 FOLLOWING) AS last_place FROM d")(
     lambda spark, d: similar.interval_runs(source.durations(spark, d))
 )
