@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -63,6 +64,26 @@ def test_piece_codec(spark, frame):
     assert piece_codec.round_trip(frame.where("false"), PIECES).count() == 0
 
 
+def test_short_words_share_one_table(spark, monkeypatch):
+    """Words of up to SHORT characters are coded many at a time, none by itself; small lots and a cache that is always full change nothing."""
+    rng, library = random.Random(9), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    parts = [*map(chr, range(33, 127)), "\n", "\x00", "\x1c", "\xa0", "é", "ß", "日", "本", "e\u0301", "🙂", "\U0001f9ff", "\ufffd", "<s>", "<unk>", "<0x0A>", "the", "tion", "ing", "ation", ".\n"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    words += [c * n for c in ("a", "é", "🙂", "the", "\n") for n in (1, 2, 5, 12)] + ["a" * 63, "x" * 64, "日" * 63, "🙂" * 65]
+    monkeypatch.setattr(piece_codec, "LOT", 100, raising=False)
+    for most in (10, 400_000):
+        own, single = piece_codec.PieceCodec(PIECES, most), []
+        monkeypatch.setattr(own, "_ids_of_chunk", lambda c, f=own._ids_of_chunk: single.append(c) or f(c))
+        texts = [" ".join(words[k : k + 7]) for k in range(0, len(words), 7)]
+        for lo in (0, 50, 0):
+            some = texts[lo : lo + 300]
+            for text, (n, ids, back) in zip(some, piece_codec.coded(pa.array(some), own), strict=True):
+                want = library.encode(text)
+                assert (n, ids, back) == (len(want), ",".join(map(str, want)), library.decode(want))
+        assert [n for n, _, _ in piece_codec.coded(pa.array(texts), own)] == [len(library.encode(t)) for t in texts]
+        assert {len(c) for c in single} == {65, 66}
+
+
 def test_word_tokens_equal_the_library():
     """Latin-1 words take a shorter way; a bound of one piece makes every call start afresh."""
     rng, plain = random.Random(7), [chr(c) for c in (*range(33, 127), *range(0xA1, 0x100))]

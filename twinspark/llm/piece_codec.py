@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ from twinspark.llm.shared import steps, texts_of
 MARK = "▁"
 #: Characters from which a chunk is not kept.
 LONG = 4096
+#: Chunks of up to SHORT characters are coded LOT at a time.
+SHORT, LOT = 64, 1 << 14
+#: Bits of the slots that hold tested pairs.
+SLOTS = 20
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -31,6 +36,7 @@ class PieceCodec:
     edge of one token's merge tree and the left edge of the other's.  Ids are read backwards.
     No piece holds the space mark after another character, so no merge crosses into a mark, and
     texts are coded chunk by chunk (marks, then other characters), each distinct chunk once.
+    Short chunks share a table: the k-th prefixes of all of them are filled in one step.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -62,7 +68,7 @@ class PieceCodec:
                 if tree is None:
                     continue
                 split[p] = tree
-            self.automaton.add_word(p, (self.id_of[p], len(p)))
+            self.automaton.add_word(p, self.id_of[p])
             for side, edges in ((0, self.left), (1, self.right)):
                 edge, at, used = [], p, 1 << 60
                 while True:
@@ -73,6 +79,12 @@ class PieceCodec:
                     at, used = split[at][side], made
                 edges[self.id_of[p]] = edge
         self.automaton.make_automaton()
+        self.length = [len(p) for p in self.pieces]
+        self.lengths = np.array(self.length, np.int64)
+        self.numbers = pa.array([str(i) for i in range(n)], pa.large_string())
+        # A byte below 128 is a character wherever it stands; the text of other bytes depends on those beside them.
+        self.shown = pa.array([(chr(self.byte_of[i]) if self.byte_of[i] < 128 else None) if i in self.byte_of else self._text([i]) for i in range(n)], pa.large_string())
+        self.slot_key, self.slot_found = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, tuple[str, int, str]] = {}
         self.most = most
@@ -136,8 +148,8 @@ class PieceCodec:
         last, size = [-1] * (n + 1), [0] * (n + 1)
         last[0], done = -2, 0
         can_follow = self.can_follow
-        for end, (token, length) in self.automaton.iter(chunk):
-            end += 1
+        for end, token in self.automaton.iter(chunk):
+            end, length = end + 1, self.length[token]
             while done < end - 1:  # a character without a piece: its bytes, and no merge on either side
                 done += 1
                 if last[done] == -1:
@@ -159,6 +171,92 @@ class PieceCodec:
             at -= size[at]
         return ids[::-1]
 
+    def _can_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """can_follow of many pairs; each slot holds the pair last tested of those that share it."""
+        key = a * len(self.pieces) + b
+        slot = (key * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - SLOTS)
+        found = self.slot_found[slot]
+        new = np.flatnonzero(self.slot_key[slot] != key)
+        if len(new):
+            keys, at = np.unique(key[new], return_inverse=True)
+            tested = np.array([self.can_follow(*divmod(k, len(self.pieces))) for k in keys.tolist()], bool)
+            found[new] = tested[at]
+            self.slot_key[slot[new]], self.slot_found[slot[new]] = key[new], found[new]
+        return found
+
+    def _short_chunks(self, chunks: list[str]) -> list[tuple[str, int, str]]:
+        """What `chunk` gives, of many chunks that have a mark only in front, through one table."""
+        joined = " ".join(chunks)  # no piece holds a space, so no token crosses into another chunk
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        start = np.cumsum(sizes + 1) - sizes - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+        end, token = found[:, 0] + 1, found[:, 1]
+        place = (end - np.repeat(start, sizes + 1)[end - 1]).astype(np.uint8)
+        order = np.argsort(place, kind="stable")
+        end, token = end[order], token[order]
+        before = end - self.lengths[token]
+        # A prefix that no token ends is empty or ends with a character's bytes.
+        last, size = np.full(len(joined) + 1, -2, np.int64), np.ones(len(joined) + 1, np.int64)
+        lots = np.cumsum(np.bincount(place, minlength=1)).tolist()
+        for lo, hi in zip(lots, lots[1:]):
+            e, t, b = end[lo:hi], token[lo:hi], last[before[lo:hi]]
+            fits = b == -2
+            rest = np.flatnonzero(~fits)
+            fits[rest] = self._can_follow(b[rest], t[rest])
+            last[e[fits]] = t[fits]
+        ends = np.flatnonzero(last >= 0)
+        size[ends] = self.lengths[last[ends]]
+        # Backwards, one token of every chunk that has any left.
+        live, at, steps_back = np.arange(len(chunks)), start + sizes, []
+        count = np.zeros(len(chunks), np.int64)
+        while len(live):
+            steps_back.append((live, at))
+            count[live] += 1
+            at = at - size[at]
+            left = at > start[live]
+            live, at = live[left], at[left]
+        after = np.cumsum(count)
+        ends = np.empty(after[-1], np.int64)
+        for k, (live, at) in enumerate(steps_back):
+            ends[after[live] - 1 - k] = at
+        ids, offsets = last[ends], np.append(0, after)
+        byte = np.flatnonzero(ids == -2)
+        if len(byte):
+            kinds, kind = np.unique(np.frombuffer(joined.encode("utf-32-le"), "<u4")[ends[byte] - 1], return_inverse=True)
+            raw = [[self.id_of_byte[x] for x in chr(c).encode()] for c in kinds.tolist()]
+            of = np.array([x + [-1] * (4 - len(x)) for x in raw], np.int64)
+            width = np.ones(len(ids), np.int64)
+            width[byte] = (of >= 0).sum(1)[kind]
+            to = np.append(0, np.cumsum(width))
+            wide = np.repeat(ids, width)
+            for k in range(4):
+                own = of[kind, k] >= 0
+                wide[to[byte[own]] + k] = of[kind[own], k]
+            ids, offsets = wide, to[offsets]
+        flat = pa.array(ids)
+        numbers = listed(joined_strings(self.numbers.take(flat), offsets, ","))
+        texts = listed(joined_strings(self.shown.take(flat), offsets, ""))
+        for k in [k for k, x in enumerate(texts) if x is None]:
+            texts[k] = self._text(ids[offsets[k] : offsets[k + 1]].tolist())
+        return list(zip(numbers, np.diff(offsets).tolist(), texts, strict=True))
+
+    def words(self, words: list[str]) -> list[tuple[str, int, str]]:
+        """What `chunk` gives, of words that hold no space mark, each with a mark in front."""
+        found = {c: self.chunks.get(c) for c in [MARK + w for w in words]}
+        new = [c for c, x in found.items() if x is None]
+        if len(self.chunks) + len(new) > self.most:  # those in use stay
+            self.chunks = {c: x for c, x in found.items() if x is not None}
+        short = [c for c in new if len(c) <= SHORT]
+        for k in range(0, len(short), LOT):
+            lot = short[k : k + LOT]
+            found.update(zip(lot, self._short_chunks(lot), strict=True))
+        if len(found) <= self.most:
+            self.chunks.update((c, found[c]) for c in short)
+        for c in new:
+            if len(c) > SHORT:
+                found[c] = self.chunk(c)
+        return [found[MARK + w] for w in words]
+
     def chunk(self, chunk: str) -> tuple[str, int, str]:
         """Decimal ids joined by commas, their number, and their text with the leading space."""
         found = self.chunks.get(chunk)
@@ -197,6 +295,16 @@ class PieceCodec:
         return text[1:] if spoken and self.pieces[spoken[0]].startswith(MARK) else text
 
 
+def joined_strings(strings: pa.Array, offsets: np.ndarray, between: str) -> pa.Array:
+    """Strings from each offset to the next as one."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, strings), pa.scalar(between, pa.large_string()))
+
+
+def listed(strings: pa.Array) -> list[str | None]:
+    """to_pylist, many times faster."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def _replaced(raw: bytes) -> str:
     """UTF-8 text, each byte that is in no character as U+FFFD."""
     try:
@@ -231,13 +339,13 @@ def coded(texts: pa.Array, own: PieceCodec) -> Iterator[tuple[int, str, str]]:
     odd = pc.match_substring_regex(texts, f"^ | $|  |{MARK}").to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(texts, " ")
     encoded = lists.flatten().dictionary_encode()
-    words = [own.chunk(MARK + w) for w in encoded.dictionary.to_pylist()]
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    counts = np.concatenate([[0], np.cumsum(np.array([w[1] for w in words], np.int64)[encoded.indices.to_numpy(zero_copy_only=False)])])
+    words = own.words(listed(encoded.dictionary))
+    codes = encoded.indices
+    offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    counts = np.append(0, np.cumsum(np.array([w[1] for w in words], np.int64)[codes.to_numpy(zero_copy_only=False)]))
     counts = counts[offsets[1:]] - counts[offsets[:-1]]
-    codes = encoded.indices.to_pylist()
-    ids_of, text_of = [w[0] for w in words], [w[2] for w in words]
+    ids = joined_strings(pa.array([w[0] for w in words], pa.large_string()).take(codes), offsets, ",")
+    back = joined_strings(pa.array([w[2] for w in words], pa.large_string()).take(codes), offsets, "")
     for k, text in enumerate(texts.to_pylist()):
         if not text:
             yield 0, "", ""
@@ -245,8 +353,7 @@ def coded(texts: pa.Array, own: PieceCodec) -> Iterator[tuple[int, str, str]]:
             parts = [own.chunk(c) for c in _CHUNK.findall(MARK + text.replace(" ", MARK)) if c]
             yield sum(p[1] for p in parts), ",".join(p[0] for p in parts), "".join(p[2] for p in parts)[1:]
         else:
-            own_codes = codes[offsets[k] : offsets[k + 1]]
-            yield int(counts[k]), ",".join([ids_of[c] for c in own_codes]), "".join([text_of[c] for c in own_codes])[1:]
+            yield int(counts[k]), ids[k].as_py(), back[k].as_py()[1:]
 
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
