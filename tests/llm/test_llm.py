@@ -201,6 +201,23 @@ def test_repeated_passages(spark, monkeypatch, most):
     assert suffix_dedup.removed_passages(frame.where("false")).count() == 0
 
 
+def test_repeated_passages_beyond_16_mib_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_REGIONS", 0)
+    noise = np.random.default_rng(3).integers(97, 123, (1 << 24) - 300).astype(np.uint8).tobytes().decode()
+    rows = [(1, noise + "ab" * 275), (2, "ab" * 203 + "xyz" * 20), (3, "q" * 30 + "ab" * 202)]
+    got = suffix_dedup.removed_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got} == {1: (550, 1), 2: (406, 1), 3: (404, 1)}
+
+
+@pytest.mark.parametrize("places", [8, 64])
+def test_least_places_are_the_first_of_equals_in_any_part(monkeypatch, places):
+    monkeypatch.setattr(suffix_dedup, "PLACES", places)
+    rng = np.random.default_rng(4)
+    for n in range(5, 150):
+        x = rng.integers(0, 4, n).astype(np.uint64) << np.uint64(40)
+        assert suffix_dedup._least_places(x, 5).tolist() == [k + int(np.argmin(x[k : k + 5])) for k in range(n - 4)]
+
+
 def test_suffix_sort_finds_all_equal_starts():
     rng = np.random.default_rng(1)
     data = np.concatenate([rng.integers(97, 99, 300), np.tile([97, 98, 97], 60)]).astype(np.uint8)
