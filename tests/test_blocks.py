@@ -57,3 +57,27 @@ def test_sound_pairs_of_blocks(spark, monkeypatch, sizes, held, votes):
     assert {(r["x"], r["y"]): (r["offset"], round(r["similarity"], 9)) for r in found.collect()} == {k: (d, round(v, 9)) for k, (d, v) in loud(rows).items()}
     plan = found._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
     assert plan[1] and "Exchange" not in plan[0] and "Join" not in plan[0]
+
+
+@pytest.mark.parametrize(("dense", "blocks", "radius"), [(1 << 30, 1, 0), (1 << 30, 7, 1), (0, 7, 0)])
+def test_hashes_of_blocks(spark, monkeypatch, dense, blocks, radius):
+    """Hashes whose bands have few values, some equal, short, null or with a null band."""
+    for name, value in {"DENSE": dense, "BLOCKS": blocks, "LEAST_ROWS": 3, "STEP_ROWS": 4, "STEP_COLUMNS": 5}.items():
+        monkeypatch.setattr(similar, name, value, raising=False)
+    rng = random.Random(6)
+    rows = [[rng.choice([0, 1, 3, 7, 65535]) for _ in range(8)] for _ in range(40)]
+    rows += [rows[0], rows[0], rows[1][:7], [], [None, *rows[2][1:]], None]
+    want = {}
+    for k, x in enumerate(rows):
+        for m in range(k + 1, len(rows)):
+            y = rows[m]
+            if x and y and len(x) == len(y) and None not in (*x, *y):
+                likeness = (1 - sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) / 128) * 100
+                if likeness >= 70 and any((a ^ b).bit_count() <= radius for a, b in zip(x, y, strict=True)):
+                    want[k, m] = likeness
+    hashes = spark.createDataFrame(list(enumerate(rows)), "vec_id long, bands array<long>").repartition(3)
+    pairs = similar.banded_pairs(hashes, 128, 70.0, radius=radius)
+    assert sorted(map(tuple, pairs.collect())) == sorted((a, b, v) for (a, b), v in want.items()) and len(want) > 10
+    if dense:
+        above = similar.head_pairs(similar.heads(hashes), 128, 70.0, radius)._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
+        assert above[1] and "Exchange" not in above[0] and "Join" not in above[0]
