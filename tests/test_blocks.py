@@ -59,10 +59,10 @@ def test_sound_pairs_of_blocks(spark, monkeypatch, sizes, held, votes):
     assert plan[1] and "Exchange" not in plan[0] and "Join" not in plan[0]
 
 
-@pytest.mark.parametrize(("dense", "blocks", "radius"), [(1 << 30, 1, 0), (1 << 30, 7, 1), (0, 7, 0)])
+@pytest.mark.parametrize(("dense", "blocks", "radius"), [(1 << 30, 1, 0), (1 << 30, 7, 1), (0, 7, 0), (0, 7, 1)])
 def test_hashes_of_blocks(spark, monkeypatch, dense, blocks, radius):
     """Hashes whose bands have few values, some equal, short, null or with a null band."""
-    for name, value in {"DENSE": dense, "BLOCKS": blocks, "LEAST_ROWS": 3, "STEP_ROWS": 4, "STEP_COLUMNS": 5}.items():
+    for name, value in {"DENSE": dense, "DEALT": dense, "BLOCKS": blocks, "LEAST_ROWS": 3, "STEP_ROWS": 4, "STEP_COLUMNS": 5}.items():
         monkeypatch.setattr(similar, name, value, raising=False)
     rng = random.Random(6)
     rows = [[rng.choice([0, 1, 3, 7, 65535]) for _ in range(8)] for _ in range(40)]
@@ -81,3 +81,15 @@ def test_hashes_of_blocks(spark, monkeypatch, dense, blocks, radius):
     if dense:
         above = similar.head_pairs(similar.heads(hashes), 128, 70.0, radius)._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
         assert above[1] and "Exchange" not in above[0] and "Join" not in above[0]
+
+
+def test_videos_are_compared_without_a_join(spark):
+    """Bands of 16 bits that may differ in one would be dealt to 17 values each."""
+    rng = random.Random(7)
+    rows = [[rng.getrandbits(16) for _ in range(96)] for _ in range(10)]
+    rows += [[w ^ 1 for w in rows[3]], [w ^ (1 << rng.randrange(16)) if k else w ^ 2047 for k, w in enumerate(rows[4])]]
+    hashes = spark.createDataFrame(list(enumerate(rows)), "rep long, bands array<long>")
+    pairs = similar.head_pairs(hashes, 1536, 93.0, similar.sure_radius(1536, 93.0))
+    assert [tuple(r)[:2] for r in sorted(pairs.collect())] == [(3, 10), (4, 11)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
