@@ -118,8 +118,8 @@ def written(slots: np.ndarray) -> list[str]:
     return [x.tobytes().hex() for x in slots]
 
 
-def _slots(written_ones: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex("".join(written_ones.to_pylist())), np.uint8).reshape(-1, SLOTS)
+def _slots(stored: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(stored.to_pylist()), np.uint8).reshape(-1, SLOTS)
 
 
 def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -196,11 +196,12 @@ def near_documents(docs: DataFrame, likeness: float = 0.8, text: str = "text") -
     """(doc_id, class_id) of every row: rows linked by fingerprints of at least `likeness`.
 
     Equal fingerprints are one class from the start; null and empty texts are such a class, and
-    repeated rows have one class.  Each band of sampled slots deals the distinct ones into groups, and all pairs of a group are compared; large groups are
-    cut into blocks, and blocks of pairs go to different tasks.  What comes out of one is a row
+    repeated rows have one class.  Each band of sampled slots deals the distinct ones' numbers into groups; those of groups of
+    one go no further, the others get their fingerprints, and all pairs of a group are compared; large
+    groups are cut into blocks, and blocks of pairs go to different tasks.  What comes out of one is a row
     for each linked fingerprint and a connected one.  A class has its least doc_id.
     """
-    prints = cut_lineage(fingerprint_documents(docs, text))
+    prints = cut_lineage(fingerprint_documents(docs, text).select("doc_id", F.unhex("fingerprint").alias("fingerprint")))
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -212,14 +213,14 @@ def near_documents(docs: DataFrame, likeness: float = 0.8, text: str = "text") -
                 for k in _BAND[b]:
                     keys[:, b] = mixed(keys[:, b] * np.uint64(257) + slots[:, k] + np.uint64(1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("fingerprint"), lists], names=["node", "fingerprint", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "keys"])
 
-    dealt = nodes.select("node", "fingerprint").mapInArrow(banded, "node long, fingerprint string, keys array<long>").select("node", "fingerprint", F.posexplode("keys").alias("band", "key"))
+    dealt = nodes.select("node", "fingerprint").mapInArrow(banded, "node long, keys array<long>").select("node", F.posexplode("keys").alias("band", "key"))
     sizes = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("band", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     placed = dealt.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(pair))
-    placed = placed.select("band", "key", "pair.i", "pair.j", "block", "node", "fingerprint")
+    placed = placed.select("band", "key", "pair.i", "pair.j", "block", "node").join(nodes.select("node", "fingerprint"), "node")
 
     def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
